@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference works on one static table and has no stream, watermark or
+stateful operator, so nothing is built here.  Every operator in
+``cadenza.operators`` is a plain DataFrame transformation and therefore
+also runs inside ``foreachBatch`` of a Structured Streaming query if a
+caller wants to re-evaluate on each micro-batch.
+"""
