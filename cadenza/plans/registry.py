@@ -623,3 +623,7 @@ for _n in ("precision_at_k", "recall_at_k", "ndcg_at_k", "hit_rate_at_k", "accur
            "intra_list_diversity", "genre_coverage", "shannon_entropy", "gini", "novelty",
            "user_profile", "unexpectedness", "serendipity_metrics", "all_metrics"):
     ORACLE[_n] = with_views("SELECT 1", list(_FX)).rsplit("\nSELECT 1", 1)[0] + ORACLE[_n]
+
+
+# more checked queries register themselves on import
+from cadenza.plans import registry_vectors  # noqa: E402,F401
