@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.prepare import interaction_triples
-from cadenza.operators.vectors import similar, topk, unit_vectors
+from cadenza.operators.vectors import similar, topk
 
 
 def _check(n: int, name: str = "n") -> None:
@@ -27,12 +27,14 @@ def _check(n: int, name: str = "n") -> None:
 
 def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None, n: int = 5,
                  users: DataFrame | None = None, user_col: str = "user_id", item_col: str = "item_id",
-                 vec_col: str = "embedding", block_size: int = 2048) -> DataFrame:
+                 vec_col: str = "embedding", block_size: int = 2048,
+                 with_vectors: bool = False) -> DataFrame:
     """M4: the ``n`` highest dot-product items per user among items the user
     has not seen; fewer when the catalogue runs out.
 
     ``seen`` is ``(user, item)``; ``users`` optionally restricts who gets a
-    list.  Result: ``user, rank, item, score``.
+    list.  Result: ``user, rank, item, score`` (and ``item_vec``, the item's
+    vector, with ``with_vectors``).
     """
     _check(n)
     left = user_vecs.select(user_col, vec_col)
@@ -42,9 +44,13 @@ def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | N
     if seen is not None:
         ex = seen.select(F.col(user_col).alias("left_id"), F.col(item_col).alias("right_id"))
     out = topk(left, item_vecs.select(item_col, vec_col), n, left_id=user_col, right_id=item_col,
-               left_vec=vec_col, right_vec=vec_col, exclude=ex, block_size=block_size)
-    return out.select(F.col("left_id").alias(user_col), F.col("rank").cast("int").alias("rank"),
-                      F.col("right_id").alias(item_col), "score")
+               left_vec=vec_col, right_vec=vec_col, exclude=ex, block_size=block_size,
+               carry_right_vec=with_vectors)
+    cols = [F.col("left_id").alias(user_col), F.col("rank").cast("int").alias("rank"),
+            F.col("right_id").alias(item_col), "score"]
+    if with_vectors:
+        cols.append(F.col("right_vec").alias("item_vec"))
+    return out.select(*cols)
 
 
 def candidate_pool(user_vecs, item_vecs, seen, pool_size: int = 20, **kw) -> DataFrame:
@@ -53,51 +59,112 @@ def candidate_pool(user_vecs, item_vecs, seen, pool_size: int = 20, **kw) -> Dat
     return top_n_unseen(user_vecs, item_vecs, seen, pool_size, **kw)
 
 
-def _greedy_mmr(lam: float, n: int, user_col: str, item_col: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable")
-        rel = pdf["score"].to_numpy(dtype=np.float64)
-        v = np.vstack(pdf["uvec"].to_numpy()).astype(np.float64)
-        sim = v @ v.T
-        m = len(rel)
-        chosen: list[int] = []
-        maxsim = np.zeros(m)          # max(0, max cosine to the chosen ones)
-        free = np.ones(m, dtype=bool)
-        while len(chosen) < n and free.any():
-            score = lam * rel - (1.0 - lam) * maxsim
-            score[~free] = -np.inf
-            best = int(np.argmax(score))   # first maximum = more relevant candidate
-            chosen.append(best)
-            free[best] = False
-            maxsim = np.maximum(maxsim, sim[:, best])
-        idx = np.array(chosen, dtype=np.int64)
-        return pd.DataFrame({user_col: pdf[user_col].to_numpy()[idx],
-                             "rank": np.arange(1, len(idx) + 1, dtype=np.int32),
-                             item_col: pdf[item_col].to_numpy()[idx], "score": rel[idx]})
+def _greedy_batch(user, item, rel, vecs, lam: float, n: int):
+    """Greedy MMR for many users at once.  Rows are sorted by (user, rank);
+    returns (row index, output rank) of the chosen rows.
+
+    Pools are padded to a (users x pool) grid; each of the ``n`` steps is
+    one vectorised argmax over all users.  ``argmax`` keeps the first
+    maximum, i.e. the more relevant candidate on ties.  A pool of at most
+    ``n`` items is returned in relevance order without reranking.
+    """
+    m = len(user)
+    starts = np.flatnonzero(np.r_[True, user[1:] != user[:-1]])
+    counts = np.diff(np.r_[starts, m])
+    g = np.repeat(np.arange(len(starts)), counts)
+    pos = np.arange(m) - np.repeat(starts, counts)
+    b, p = len(starts), int(counts.max())
+    v = np.vstack(vecs).astype(np.float64, copy=False)
+    norms = np.linalg.norm(v, axis=1)
+    v = np.divide(v, norms[:, None], out=np.zeros_like(v), where=norms[:, None] > 0)
+    grid_v = np.zeros((b, p, v.shape[1]))
+    grid_v[g, pos] = v
+    grid_r = np.zeros((b, p))
+    grid_r[g, pos] = rel
+    sim = np.matmul(grid_v, grid_v.transpose(0, 2, 1))
+    free = np.zeros((b, p), dtype=bool)
+    free[g, pos] = True
+    maxsim = np.zeros((b, p))
+    rows = np.arange(b)
+    chosen = np.full((b, n), -1, dtype=np.int64)
+    for step in range(min(n, p)):
+        score = lam * grid_r - (1.0 - lam) * maxsim
+        score[~free] = -np.inf
+        best = np.argmax(score, axis=1)
+        ok = free[rows, best]
+        chosen[ok, step] = best[ok]
+        free[rows[ok], best[ok]] = False
+        maxsim[ok] = np.maximum(maxsim[ok], sim[rows[ok], :, best[ok]])
+    small = counts <= n
+    keep_pos = np.where(small[:, None], np.arange(n)[None, :], chosen)
+    keep_pos[small[:, None] & (np.arange(n)[None, :] >= counts[:, None])] = -1
+    users_i, ranks_i = np.nonzero(keep_pos >= 0)
+    idx = starts[users_i] + keep_pos[users_i, ranks_i]
+    return idx, ranks_i + 1
+
+
+def _mmr_partitions(lam: float, n: int, user_col: str, item_col: str, vec: str):
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+                carry = None
+            if pdf.empty:
+                continue
+            # a user's rows may continue in the next batch: hold them back
+            last = pdf[user_col].iat[-1]
+            tail = (pdf[user_col] == last).to_numpy()
+            cut = int(np.argmax(tail))
+            carry, pdf = pdf.iloc[cut:].reset_index(drop=True), pdf.iloc[:cut].reset_index(drop=True)
+            if not pdf.empty:
+                yield _mmr_frame(pdf, lam, n, user_col, item_col, vec)
+        if carry is not None and not carry.empty:
+            yield _mmr_frame(carry, lam, n, user_col, item_col, vec)
     return run
 
 
-def mmr_rerank(pool: DataFrame, item_vecs: DataFrame, lambda_param: float = 0.5, n: int = 5,
-               user_col: str = "user_id", item_col: str = "item_id",
-               vec_col: str = "embedding") -> DataFrame:
+def _mmr_frame(pdf, lam, n, user_col, item_col, vec):
+    idx, ranks = _greedy_batch(pdf[user_col].to_numpy(), pdf[item_col].to_numpy(),
+                               pdf["score"].to_numpy(dtype=np.float64), pdf[vec].to_numpy(), lam, n)
+    return pd.DataFrame({user_col: pdf[user_col].to_numpy()[idx], "rank": ranks.astype(np.int32),
+                         item_col: pdf[item_col].to_numpy()[idx],
+                         "score": pdf["score"].to_numpy(dtype=np.float64)[idx]})
+
+
+def mmr_rerank(pool: DataFrame, item_vecs: DataFrame | None = None, lambda_param: float = 0.5, n: int = 5,
+               user_col: str = "user_id", item_col: str = "item_id", vec_col: str = "embedding",
+               pool_vec_col: str | None = None, n_partitions: int | None = None) -> DataFrame:
     """M8: greedy MMR over each user's candidate pool.
 
     Step score ``λ·relevance − (1−λ)·max(0, max cosine to chosen items)``;
     ties go to the more relevant candidate; the output score is the raw
-    relevance.  One ``applyInPandas`` group per user holding only that
-    user's pool (bounded by the pool size) with unit vectors joined in;
-    the item-item matrix is never built.
+    relevance.  A pool of at most ``n`` items keeps its relevance order
+    (M9).  Candidate vectors come from ``pool_vec_col`` when the pool
+    carries them, else from ``item_vecs``; the item-item matrix is never
+    built.
+
+    Pools are hash-partitioned by user and sorted by (user, rank); one
+    ``mapInPandas`` pass runs the greedy steps for all users of an Arrow
+    batch at once, holding back only the last user of a batch.  Memory is
+    bounded by the batch size, whatever the number of users.
     """
     if not 0.0 <= lambda_param <= 1.0:
         raise ValueError("lambda_param must be in [0, 1]")
     _check(n)
-    uv = unit_vectors(item_vecs.select(item_col, vec_col), vec_col).withColumnRenamed(vec_col, "uvec")
-    rows = pool.select(user_col, "rank", item_col, "score").join(uv, item_col)
+    if pool_vec_col is None:
+        vecs = item_vecs.select(item_col, F.col(vec_col).cast("array<double>").alias("_vec"))
+        rows = pool.select(user_col, "rank", item_col, "score").join(vecs, item_col)
+    else:
+        rows = pool.select(user_col, "rank", item_col, "score",
+                           F.col(pool_vec_col).cast("array<double>").alias("_vec"))
+    spark = pool.sparkSession
+    parts = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     utype = pool.schema[user_col].dataType.simpleString()
     itype = pool.schema[item_col].dataType.simpleString()
     schema = f"{user_col} {utype}, rank int, {item_col} {itype}, score double"
-    return rows.groupBy(user_col).applyInPandas(_greedy_mmr(float(lambda_param), n, user_col, item_col),
-                                                schema)
+    return (rows.repartition(parts, user_col).sortWithinPartitions(user_col, "rank")
+                .mapInPandas(_mmr_partitions(float(lambda_param), n, user_col, item_col, "_vec"), schema))
 
 
 def mmr_recommend(user_vecs, item_vecs, seen, n: int = 5, use_mmr: bool = True,
@@ -110,16 +177,8 @@ def mmr_recommend(user_vecs, item_vecs, seen, n: int = 5, use_mmr: bool = True,
               block_size=block_size)
     if not use_mmr:
         return top_n_unseen(user_vecs, item_vecs, seen, n, **kw)
-    pool = candidate_pool(user_vecs, item_vecs, seen, candidate_pool_size, **kw)
-    return _mmr_from_pool(pool, item_vecs, lambda_param, n, user_col, item_col, vec_col)
-
-
-def _mmr_from_pool(pool, item_vecs, lambda_param, n, user_col, item_col, vec_col):
-    sizes = pool.groupBy(user_col).agg(F.count(F.lit(1)).alias("_m"))
-    tagged = pool.join(sizes, user_col)
-    small = tagged.where(F.col("_m") <= n).drop("_m")
-    big = tagged.where(F.col("_m") > n).drop("_m")
-    return small.unionByName(mmr_rerank(big, item_vecs, lambda_param, n, user_col, item_col, vec_col))
+    pool = candidate_pool(user_vecs, item_vecs, seen, candidate_pool_size, with_vectors=True, **kw)
+    return mmr_rerank(pool, None, lambda_param, n, user_col, item_col, pool_vec_col="item_vec")
 
 
 def compare_methods(user_vecs, item_vecs, seen, n: int = 5, lambda_param: float = 0.5,
@@ -130,10 +189,10 @@ def compare_methods(user_vecs, item_vecs, seen, n: int = 5, lambda_param: float
     from one scored pool.  The pool is at least ``n`` long, so its first
     ``n`` rows are exactly the standard list."""
     pool = candidate_pool(user_vecs, item_vecs, seen, max(candidate_pool_size, n), users=users,
-                          user_col=user_col, item_col=item_col, vec_col=vec_col)
-    std = pool.where(F.col("rank") <= n).withColumn("method", F.lit("standard"))
-    mmr = _mmr_from_pool(pool.where(F.col("rank") <= candidate_pool_size), item_vecs, lambda_param, n,
-                         user_col, item_col, vec_col).withColumn("method", F.lit("mmr"))
+                          user_col=user_col, item_col=item_col, vec_col=vec_col, with_vectors=True)
+    std = pool.where(F.col("rank") <= n).drop("item_vec").withColumn("method", F.lit("standard"))
+    mmr = mmr_rerank(pool.where(F.col("rank") <= candidate_pool_size), None, lambda_param, n,
+                     user_col, item_col, pool_vec_col="item_vec").withColumn("method", F.lit("mmr"))
     return std.unionByName(mmr)
 
 

@@ -34,6 +34,7 @@ from cadenza.functions.columns import cosine, dot, normalize
 
 _BLOCK_SCHEMA = "lb int, rb int, side string, id long, other long, vec array<double>"
 _PAIR_SCHEMA = "left_id long, right_id long, score double"
+_PAIR_VEC_SCHEMA = _PAIR_SCHEMA + ", right_vec array<double>"
 
 
 def score_pairs(pairs: DataFrame, left_vec: str, right_vec: str, out: str = "score") -> DataFrame:
@@ -55,14 +56,16 @@ def _n_blocks(df: DataFrame, block_size: int) -> int:
     return max(1, math.ceil(df.count() / block_size))
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _block_topk(k: int, exclude_self: bool, carry: bool = False):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["side"] == "L"]
         right = pdf[pdf["side"] == "R"]
         if left.empty or right.empty:
-            return pd.DataFrame({"left_id": pd.Series([], dtype="int64"),
-                                 "right_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
+            empty = {"left_id": pd.Series([], dtype="int64"), "right_id": pd.Series([], dtype="int64"),
+                     "score": pd.Series([], dtype="float64")}
+            if carry:
+                empty["right_vec"] = pd.Series([], dtype="object")
+            return pd.DataFrame(empty)
         lid = left["id"].to_numpy(dtype=np.int64)
         a = np.vstack(left["vec"].to_numpy()).astype(np.float64, copy=False)
         order = np.argsort(right["id"].to_numpy(dtype=np.int64), kind="stable")
@@ -83,21 +86,26 @@ def _block_topk(k: int, exclude_self: bool):
         kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
         keep = (s >= kth[:, None]) & np.isfinite(s)
         rows, cols = np.nonzero(keep)
-        return pd.DataFrame({"left_id": lid[rows], "right_id": rid[cols], "score": s[rows, cols]})
+        out = {"left_id": lid[rows], "right_id": rid[cols], "score": s[rows, cols]}
+        if carry:
+            out["right_vec"] = list(b[cols])
+        return pd.DataFrame(out)
     return run
 
 
 def topk(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id", right_id: str = "id",
          left_vec: str = "embedding", right_vec: str = "embedding", exclude: DataFrame | None = None,
          exclude_left: str = "left_id", exclude_right: str = "right_id", exclude_self: bool = False,
-         block_size: int = 2048, rank_col: str = "rank") -> DataFrame:
+         block_size: int = 2048, rank_col: str = "rank", carry_right_vec: bool = False) -> DataFrame:
     """Top ``k`` right rows per left row by dot product.
 
     ``exclude`` holds (left id, right id) pairs that must not be returned
     (e.g. already-seen items); ``exclude_self`` drops equal ids (similar
     users/items).  Ids are integral.  Result: ``left_id, right_id, score,
     rank`` with rank 1..<=k and ties broken by right id ascending.
-    Cosine = dot on ``unit_vectors`` inputs.
+    Cosine = dot on ``unit_vectors`` inputs.  ``carry_right_vec`` adds the
+    right row's vector (``right_vec``) to each result row, so a consumer
+    such as MMR needs no join back to the right side.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -128,7 +136,8 @@ def topk(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id", righ
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    cand = rows.groupBy("lb", "rb").applyInPandas(_block_topk(k, exclude_self), _PAIR_SCHEMA)
+    cand = rows.groupBy("lb", "rb").applyInPandas(_block_topk(k, exclude_self, carry_right_vec),
+                                                  _PAIR_VEC_SCHEMA if carry_right_vec else _PAIR_SCHEMA)
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").asc())
     return (cand.withColumn(rank_col, F.row_number().over(w))
                 .where(F.col(rank_col) <= k))
