@@ -177,8 +177,10 @@ def mmr_recommend(user_vecs, item_vecs, seen, n: int = 5, use_mmr: bool = True,
               block_size=block_size)
     if not use_mmr:
         return top_n_unseen(user_vecs, item_vecs, seen, n, **kw)
-    pool = candidate_pool(user_vecs, item_vecs, seen, candidate_pool_size, with_vectors=True, **kw)
-    return mmr_rerank(pool, None, lambda_param, n, user_col, item_col, pool_vec_col="item_vec")
+    # vectors are joined to the <= pool survivors only, not carried through
+    # every block product (k rows per right block would each carry one)
+    pool = candidate_pool(user_vecs, item_vecs, seen, candidate_pool_size, **kw)
+    return mmr_rerank(pool, item_vecs, lambda_param, n, user_col, item_col, vec_col)
 
 
 def compare_methods(user_vecs, item_vecs, seen, n: int = 5, lambda_param: float = 0.5,
@@ -189,10 +191,10 @@ def compare_methods(user_vecs, item_vecs, seen, n: int = 5, lambda_param: float
     from one scored pool.  The pool is at least ``n`` long, so its first
     ``n`` rows are exactly the standard list."""
     pool = candidate_pool(user_vecs, item_vecs, seen, max(candidate_pool_size, n), users=users,
-                          user_col=user_col, item_col=item_col, vec_col=vec_col, with_vectors=True)
-    std = pool.where(F.col("rank") <= n).drop("item_vec").withColumn("method", F.lit("standard"))
-    mmr = mmr_rerank(pool.where(F.col("rank") <= candidate_pool_size), None, lambda_param, n,
-                     user_col, item_col, pool_vec_col="item_vec").withColumn("method", F.lit("mmr"))
+                          user_col=user_col, item_col=item_col, vec_col=vec_col)
+    std = pool.where(F.col("rank") <= n).withColumn("method", F.lit("standard"))
+    mmr = mmr_rerank(pool.where(F.col("rank") <= candidate_pool_size), item_vecs, lambda_param, n,
+                     user_col, item_col, vec_col).withColumn("method", F.lit("mmr"))
     return std.unionByName(mmr)
 
 

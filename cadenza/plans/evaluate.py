@@ -145,13 +145,20 @@ def evaluate_model(config: ModelConfig, data: EvaluationData, k: int = 5,
 
 
 def checkpointed_split(df: DataFrame, split_date=None, train_ratio: float = 0.8,
-                       user_col: str = "user_id", item_col: str = "artist") -> EvaluationData:
-    """J4 with both sides and the relevant items written to the checkpoint
-    folder: every config of a sweep reads them without recomputing."""
+                       user_col: str = "user_id", item_col: str = "artist",
+                       materialize_input: bool = True) -> EvaluationData:
+    """J4 for repeated use: every config of a sweep reads the same split.
+
+    With ``materialize_input`` the input is written once to the checkpoint
+    folder (one pass over an input that is itself a join, like the test
+    views) and both sides are filters on that copy.  For a Parquet table,
+    where the date filter is pushed into the scan, pass ``False`` and the
+    sides read the table directly.  The relevant items are always written.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    data = prepare_evaluation_data(df, split_date, train_ratio, user_col, item_col)
-    return EvaluationData(data.train.checkpoint(eager=True), data.test.checkpoint(eager=True),
-                          data.relevant.checkpoint(eager=True))
+    base = df.checkpoint(eager=True) if materialize_input else df
+    data = prepare_evaluation_data(base, split_date, train_ratio, user_col, item_col)
+    return EvaluationData(data.train, data.test, data.relevant.checkpoint(eager=True))
 
 
 def compare_models(configs, df: DataFrame, split_date=None, train_ratio: float = 0.8, k: int = 5,
