@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import cosine, safe_div
+from cadenza.operators.ordering import rank_within
 from cadenza.operators.prepare import interaction_triples
 
 # lists longer than this are joined (broadcast hash semi join), not inlined
@@ -29,14 +30,16 @@ def user_history(df: DataFrame, user_col: str = "user_id", item_col: str = "arti
     """Each user's rows (not aggregated) ranked by plays desc, item asc.
 
     ``limit`` keeps the first rows per user (P4 shows 20); Spark plans it
-    as a partial + final WindowGroupLimit.
+    as a partial + final WindowGroupLimit, so a long history never reaches
+    one task whole.  Without a limit the rank comes from a global range
+    sort (``rank_within``), which splits a very long history over tasks.
     """
-    w = Window.partitionBy(user_col).orderBy(F.col(plays_col).desc(), F.col(item_col).asc(),
-                                             *[F.col(c).asc() for c in extra])
-    out = df.select(user_col, item_col, plays_col, *extra).withColumn("rank", F.row_number().over(w))
-    if limit is not None:
-        out = out.where(F.col("rank") <= limit)
-    return out
+    order = [F.col(plays_col).desc(), F.col(item_col).asc(), *[F.col(c).asc() for c in extra]]
+    rows = df.select(user_col, item_col, plays_col, *extra)
+    if limit is None:
+        return rank_within(rows, user_col, order)
+    w = Window.partitionBy(user_col).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def user_history_genre(df: DataFrame, limit: int = 20, **kw) -> DataFrame:
@@ -61,10 +64,12 @@ def _wanted(names) -> list[str]:
 
 def _filter_items(df: DataFrame, names, item_col: str) -> DataFrame:
     if isinstance(names, DataFrame):
+        # size unknown: a plain semi join; AQE broadcasts it when it is small
         wanted = names.select(F.trim(F.col(names.columns[0])).alias(item_col)).distinct()
-        return df.join(F.broadcast(wanted), item_col, "left_semi")
+        return df.join(wanted, item_col, "left_semi")
     wanted = _wanted(names)
     if len(wanted) > _INLINE_LIST:
+        # the list is already in the driver, so its size is known and bounded
         spark = df.sparkSession
         return df.join(F.broadcast(spark.createDataFrame([(w,) for w in wanted], [item_col])),
                        item_col, "left_semi")
@@ -84,18 +89,17 @@ def users_by_all_items(df: DataFrame, names, user_col: str = "user_id",
     Wanted names are trimmed and de-duplicated; an empty list matches
     nobody.  Only rows of wanted items reach the shuffle.
     """
+    hits = _filter_items(df, names, item_col)
+    per_user = hits.groupBy(user_col).agg(F.countDistinct(item_col).alias("_n"))
     if isinstance(names, DataFrame):
         wanted = names.select(F.trim(F.col(names.columns[0])).alias(item_col)).distinct()
-        n = F.lit(None)  # replaced below by a scalar subquery
-        n = wanted.agg(F.count("*")).scalar()
-    else:
-        lst = _wanted(names)
-        if not lst:
-            return df.sparkSession.createDataFrame([], df.select(user_col).schema)
-        n = F.lit(len(lst))
-    hits = _filter_items(df, names, item_col)
-    return (hits.groupBy(user_col).agg(F.countDistinct(item_col).alias("_n"))
-                .where(F.col("_n") == n).select(user_col))
+        # one-row count joined lazily (broadcast of a single row)
+        n_wanted = F.broadcast(wanted.agg(F.count(F.lit(1)).alias("_want")))
+        return per_user.crossJoin(n_wanted).where(F.col("_n") == F.col("_want")).select(user_col)
+    lst = _wanted(names)
+    if not lst:
+        return df.sparkSession.createDataFrame([], df.select(user_col).schema)
+    return per_user.where(F.col("_n") == F.lit(len(lst))).select(user_col)
 
 
 def user_demographics(df: DataFrame, user_col: str = "user_id",
@@ -133,8 +137,9 @@ def demographic_domains(df: DataFrame, user_col: str = "user_id") -> DataFrame:
 def item_popularity(df: DataFrame, item_col: str = "artist", plays_col: str = "play_count") -> DataFrame:
     """A3: Σplays per item divided by the largest such sum."""
     totals = df.groupBy(item_col).agg(F.sum(plays_col).cast("double").alias("total_plays"))
-    top = totals.agg(F.max("total_plays")).scalar()
-    return totals.select(item_col, safe_div(F.col("total_plays"), top).alias("popularity"))
+    top = F.broadcast(totals.agg(F.max("total_plays").alias("_top")))   # one row
+    return totals.crossJoin(top).select(item_col, safe_div(F.col("total_plays"), F.col("_top"))
+                                        .alias("popularity"))
 
 
 def item_genre(df: DataFrame, item_col: str = "artist", genre_col: str = "genre",

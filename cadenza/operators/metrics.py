@@ -60,9 +60,9 @@ def coverage(recs: DataFrame, catalog: DataFrame, k: int | None, item_col: str =
     """E5: distinct items in the top k of all lists / catalogue size (not
     intersected with the catalogue).  One row: ``coverage``."""
     r = recs if k is None else recs.where(F.col("rank") <= k)
-    n_rec = r.agg(F.countDistinct(item_col).alias("n")).scalar()
-    n_cat = catalog.agg(F.countDistinct(item_col).alias("n")).scalar()
-    return recs.sparkSession.range(1).select(safe_div(n_rec, n_cat).alias("coverage"))
+    n_rec = r.agg(F.countDistinct(item_col).alias("n_rec"))
+    n_cat = catalog.agg(F.countDistinct(item_col).alias("n_cat"))
+    return n_rec.crossJoin(n_cat).select(safe_div(F.col("n_rec"), F.col("n_cat")).alias("coverage"))
 
 
 def accuracy_metrics(recs: DataFrame, relevant: DataFrame, catalog: DataFrame, k: int = 5,
@@ -153,9 +153,9 @@ def catalog_coverage(recs: DataFrame, catalog: DataFrame, item_col: str = "artis
     """Recommended ∩ catalogue / catalogue (0 if empty).  One row."""
     cat = catalog.select(item_col).distinct()
     hit = recs.select(item_col).distinct().join(cat, item_col, "left_semi")
-    n_hit = hit.agg(F.count(F.lit(1))).scalar()
-    n_cat = cat.agg(F.count(F.lit(1))).scalar()
-    return recs.sparkSession.range(1).select(safe_div(n_hit, n_cat).alias("catalog_coverage"))
+    n_hit = hit.agg(F.count(F.lit(1)).alias("n_hit"))
+    n_cat = cat.agg(F.count(F.lit(1)).alias("n_cat"))
+    return n_hit.crossJoin(n_cat).select(safe_div(F.col("n_hit"), F.col("n_cat")).alias("catalog_coverage"))
 
 
 def genre_coverage(recs: DataFrame, genres: DataFrame | None, user_col: str = "user_id",
@@ -164,10 +164,10 @@ def genre_coverage(recs: DataFrame, genres: DataFrame | None, user_col: str = "u
     g = _genre_map(genres, item_col)
     if g is None:
         return recs.select(user_col).distinct().withColumn("genre_coverage", F.lit(0.0))
-    n_all = g.agg(F.countDistinct("genre")).scalar()
+    n_all = F.broadcast(g.agg(F.countDistinct("genre").alias("_all")))   # one row
     per = (recs.select(user_col, item_col).join(g, item_col, "left")
                .groupBy(user_col).agg(F.countDistinct("genre").alias("ng")))
-    return per.select(user_col, safe_div(F.col("ng"), n_all).alias("genre_coverage"))
+    return per.crossJoin(n_all).select(user_col, safe_div(F.col("ng"), F.col("_all")).alias("genre_coverage"))
 
 
 def shannon_entropy(recs: DataFrame, genres: DataFrame | None, user_col: str = "user_id",

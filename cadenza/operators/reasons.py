@@ -6,7 +6,7 @@ M14 user_reasons: the most similar user and the items both share.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.explore import common_items
@@ -34,9 +34,12 @@ def item_reasons(recs: DataFrame, seen: DataFrame, item_vecs: DataFrame, user_co
                     "reason_item")
               .select(user_col, item_col, "reason_item", dot("_a", "_b").alias("similarity"))
               .where(F.col("similarity") > 0))
-    w = Window.partitionBy(user_col, item_col).orderBy(F.col("similarity").desc(),
-                                                       F.col("reason_item").asc())
-    best = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    # best per (user, item) as an aggregate: map-side combine, so a long
+    # history never lands whole in one task (ties: smaller reason id)
+    best = (pairs.groupBy(user_col, item_col)
+                 .agg(F.min(F.struct((-F.col("similarity")).alias("neg"), F.col("reason_item"))).alias("_b"))
+                 .select(user_col, item_col, F.col("_b.reason_item").alias("reason_item"),
+                         (-F.col("_b.neg")).alias("similarity")))
     return (r.join(best, [user_col, item_col], "left")
              .withColumn("reason", F.when(F.col("reason_item").isNull(), "popularity")
                          .otherwise("similar_item"))

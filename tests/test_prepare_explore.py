@@ -95,3 +95,26 @@ def test_split_stats(spark):
 def test_distribution_grouping_sets(spark):
     rows = {(r.field, r.value): r.n_rows for r in X.dataset_distribution(_df(spark, ROWS)).collect()}
     assert rows[("all", None)] == 7 and rows[("genre", "rock")] == 3 and rows[("gender", "Other")] == 2
+
+
+def test_rank_within_matches_window_with_a_hot_key(spark):
+    from pyspark.sql import Window
+
+    from cadenza.operators.ordering import rank_within
+    rows = [("hot", i % 37, f"i{i:04d}") for i in range(3000)]
+    rows += [(f"u{j}", j % 5, f"i{j:04d}") for j in range(200)] + [(None, 1, "x"), (None, 2, "y")]
+    df = spark.createDataFrame(rows, "user_id string, plays long, artist string").repartition(5)
+    order = [F.col("plays").desc(), F.col("artist").asc()]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rank_within(df, "user_id", order)
+        want = df.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        # the hot key really was split over several partitions of the sort
+        parts = (df.orderBy("user_id", *order).withColumn("p", F.spark_partition_id())
+                   .where("user_id = 'hot'").select("p").distinct().count())
+        assert parts > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
