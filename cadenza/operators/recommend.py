@@ -1,6 +1,6 @@
 """Recommendation for all wanted users at once.
 
-M4 top_n_unseen, M7 candidate_pool, M8 mmr_rerank, M9 mmr_recommend,
+J5 exclude_seen, M4 top_n_unseen, M7 candidate_pool, M8 mmr_rerank, M9 mmr_recommend,
 M10 compare_methods, M11 similar_users (see vectors.similar),
 M12 user_based_recommend, M15 recommend_status.
 
@@ -25,6 +25,13 @@ def _check(n: int, name: str = "n") -> None:
         raise ValueError(f"{name} must be positive")
 
 
+def exclude_seen(candidates: DataFrame, seen: DataFrame, user_col: str = "user_id",
+                 item_col: str = "item_id") -> DataFrame:
+    """Candidate (user, item) rows whose pair is not among the user's
+    seen pairs (an anti join on both columns; no per-user sets)."""
+    return candidates.join(seen.select(user_col, item_col).distinct(), [user_col, item_col], "left_anti")
+
+
 def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None, n: int = 5,
                  users: DataFrame | None = None, user_col: str = "user_id", item_col: str = "item_id",
                  vec_col: str = "embedding", block_size: int = 2048,

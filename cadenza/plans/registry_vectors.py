@@ -61,6 +61,14 @@ def q_cosine_pairs(spark, d):
                    "similarity")
 
 
+@register("unseen_candidates", """
+SELECT r.user_id, r.rank, r.item_id FROM recs_fx r
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = r.user_id AND s.item_id = r.item_id)""",
+          ("recs_fx", "seen"))
+def q_unseen(spark, d):
+    return RC.exclude_seen(view(spark, d, "recs_fx"), view(spark, d, "seen"))
+
+
 @register("topn_unseen", ", " + _TOPN.strip() + """
 SELECT user_id, rank, item_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
 def q_topn(spark, d):

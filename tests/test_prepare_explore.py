@@ -118,3 +118,27 @@ def test_rank_within_matches_window_with_a_hot_key(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_csv_scan_and_write(spark, tmp_path):
+    from cadenza.sources.interactions import read_interactions, write_interactions
+    p = tmp_path / "plays.csv"
+    p.write_text("user_id,artist,play_count,interaction_date\n"
+                 "0012,A,5,2021-04-27\n0012,B,x,20210428\n7,A,3,bad\n")
+    df = read_interactions(spark, str(p))
+    assert df.columns == ["user_id", "artist", "interaction_date", "play_count"]
+    rows = sorted(df.collect(), key=lambda r: (r.user_id, r.artist))
+    # ids stay text (leading zeros kept); bad numbers and dates become null
+    assert rows[0].user_id == "0012" and rows[0].play_count == 5
+    assert rows[1].play_count is None and rows[1].interaction_date == D(2021, 4, 28)
+    assert rows[2].interaction_date is None
+    out = str(tmp_path / "out")
+    write_interactions(df, out, partition_by_year=True)
+    back = spark.read.parquet(out)
+    assert back.count() == 3 and "year" in back.columns
+    try:
+        read_interactions(spark, str(p)).drop("artist").transform(
+            __import__("cadenza.sources.interactions", fromlist=["x"]).check_columns)
+        raise AssertionError("guard did not fire")
+    except ValueError:
+        pass
