@@ -264,6 +264,42 @@ def unexpectedness(recs: DataFrame, profiles: DataFrame, features: DataFrame,
         user_col, F.coalesce("unexpectedness_score", F.lit(0.0)).alias("unexpectedness_score"))
 
 
+def beyond_accuracy_per_user(recs: DataFrame, genres: DataFrame | None, popularity: DataFrame,
+                             user_col: str = "user_id", item_col: str = "artist") -> DataFrame:
+    """E7, E10, E11 and E13 per user in one pass: the list rows get their
+    genre and popularity once, one ``(user, genre)`` aggregate and one
+    per-user aggregate give all four numbers (same definitions as the
+    single-metric functions above).  The per-user genre counts collected
+    for the entropy are bounded by the list length."""
+    g = _genre_map(genres, item_col)
+    r = recs.select(user_col, item_col)
+    if g is not None:
+        r = r.join(g, item_col, "left")
+        n_all = F.broadcast(g.agg(F.countDistinct("genre").alias("_all")))   # one row
+    else:
+        r = r.withColumn("genre", F.lit(None).cast("string"))
+        n_all = recs.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    pop = popularity.select(item_col, F.col("popularity"))
+    nov = F.when(F.col("popularity").isNotNull(), -F.log2(F.greatest(F.col("popularity"), F.lit(1e-10))))
+    per_g = (r.join(pop, item_col, "left").withColumn("_nov", nov)
+              .groupBy(user_col, F.coalesce("genre", F.lit("")).alias("_g"))
+              .agg(F.count(F.lit(1)).alias("ng"), F.count("genre").alias("known"),
+                   F.sum("_nov").alias("nov_sum"), F.count("_nov").alias("nov_n")))
+    per_u = per_g.groupBy(user_col).agg(
+        F.sum("ng").alias("n"), F.sum(F.col("ng") * (F.col("ng") - 1)).alias("same"),
+        F.sum(F.when(F.col("known") > 0, 1).otherwise(0)).alias("n_genres"),
+        F.collect_list(F.when(F.col("known") > 0, F.col("known"))).alias("known"),
+        F.sum("nov_sum").alias("nov_sum"), F.sum("nov_n").alias("nov_n"))
+    n = F.col("n")
+    ent = F.aggregate("known", F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
+    return per_u.crossJoin(n_all).select(
+        user_col,
+        F.when(n < 2, 0.0).otherwise(1.0 - F.col("same") / (n * (n - 1))).alias("intra_list_diversity"),
+        safe_div(F.col("n_genres"), F.col("_all")).alias("genre_coverage"),
+        ent.alias("shannon_entropy"),
+        F.when(F.col("nov_n") > 0, F.col("nov_sum") / F.col("nov_n")).otherwise(0.0).alias("novelty_score"))
+
+
 def serendipity_metrics(recs: DataFrame, interactions: DataFrame, genres: DataFrame | None,
                         catalog: DataFrame, features: DataFrame | None = None,
                         users: DataFrame | None = None, user_col: str = "user_id",
@@ -276,13 +312,10 @@ def serendipity_metrics(recs: DataFrame, interactions: DataFrame, genres: DataFr
     Unexpectedness averages over users with a profile only, and is 0
     without ``features``.
     """
-    pop = users_all = _users(recs, users, user_col)
-    per = [intra_list_diversity(recs, genres, user_col, item_col),
-           genre_coverage(recs, genres, user_col, item_col),
-           shannon_entropy(recs, genres, user_col, item_col),
-           novelty(recs, item_popularity(interactions, item_col, plays_col), user_col, item_col)]
-    for p in per:
-        pop = pop.join(p, user_col, "left")
+    users_all = _users(recs, users, user_col)
+    per = beyond_accuracy_per_user(recs, genres, item_popularity(interactions, item_col, plays_col),
+                                   user_col, item_col)
+    pop = users_all.join(per, user_col, "left")
     names = ["intra_list_diversity", "genre_coverage", "shannon_entropy", "novelty_score"]
     means = pop.agg(*[F.coalesce(F.avg(F.coalesce(F.col(n), F.lit(0.0))), F.lit(0.0)).alias(n)
                       for n in names])

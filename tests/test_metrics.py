@@ -136,3 +136,19 @@ def test_user_profile_denominator_counts_all_plays(spark):
     ux = M.unexpectedness(recs, M.user_profile(inter, f), f).first().unexpectedness_score
     assert ux == pytest.approx(0.0)   # cosine 1 -> max(0, 0.5 - 1) = 0
     _ = F
+
+
+def test_one_pass_equals_single_metrics(spark):
+    rnd = random.Random(9)
+    genre = {f"i{j}": (f"g{j % 4}" if j % 5 else ("" if j % 2 else None)) for j in range(25)}
+    lists = {f"u{u}": rnd.sample(list(genre), rnd.randint(1, 7)) for u in range(40)}
+    recs = _recs(spark, lists)
+    genres = spark.createDataFrame(list(genre.items()), "artist string, genre string")
+    pop = spark.createDataFrame([(f"i{j}", j / 24) for j in range(0, 25, 2)], "artist string, popularity double")
+    one = {r.user_id: r for r in M.beyond_accuracy_per_user(recs, genres, pop).collect()}
+    single = [M.intra_list_diversity(recs, genres), M.genre_coverage(recs, genres),
+              M.shannon_entropy(recs, genres), M.novelty(recs, pop)]
+    for df in single:
+        col = df.columns[1]
+        for r in df.collect():
+            assert one[r.user_id][col] == pytest.approx(r[col], abs=1e-12), col
