@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from cadenza.session import ensure_checkpoint_dir
 
 
-def rank_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "rank",
+                dtype: str = "int") -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` as ``rank_col``
     (int), computed without collecting any key into a single task.  A null
     key is a group of its own, as in a window."""
@@ -39,5 +40,15 @@ def rank_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "r
     # one row per (key, partition): the partitions a key spans are few
     w = Window.partitionBy("_knull", "_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(*keys, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    rank = (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast("int")
+    rank = (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast(dtype)
     return tagged.join(offsets, keys).select(*df.columns, rank.alias(rank_col))
+
+
+def dense_index(df: DataFrame, col: str, idx_col: str) -> DataFrame:
+    """0-based position of each distinct non-null value of ``col`` in
+    ascending order, as a long.  Same mechanism as ``rank_within`` with a
+    single key: a range sort plus per-partition offsets, all JVM-side, no
+    label list through the driver or Python."""
+    values = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(0))
+    ranked = rank_within(values, "_one", [F.col(col).asc()], "_pos", dtype="long")
+    return ranked.select(col, (F.col("_pos") - 1).alias(idx_col))

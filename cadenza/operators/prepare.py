@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from cadenza.operators.ordering import dense_index
 
 
 def interaction_triples(df: DataFrame, user_col: str = "user_id", item_col: str = "artist",
@@ -28,17 +29,15 @@ def index_ids(df: DataFrame, col: str, idx_col: str) -> DataFrame:
     """A2: dense 0-based int index of the distinct values of ``col``, in
     ascending order (reproducible across runs).
 
-    Distinct values are range-sorted on the cluster and numbered with
-    ``zipWithIndex``: one extra job counts rows per partition; no label
-    list passes through the driver.  ALS needs int ids, hence the check.
+    Distinct values are range-sorted on the cluster and numbered from
+    per-partition offsets (``ordering.dense_index``): no label list passes
+    through the driver and no row through Python.  ALS needs int ids,
+    hence the range check.
     """
-    ordered = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    dtype = ordered.schema[col].dataType
-    indexed = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-    schema = T.StructType([T.StructField(col, dtype), T.StructField(idx_col, T.LongType())])
-    out = indexed.toDF(schema)
-    return out.select(col, F.expr(f"assert_true({idx_col} < 2147483647, 'index exceeds int range')")
-                      .alias("_guard"), F.col(idx_col).cast("int").alias(idx_col)).drop("_guard")
+    out = dense_index(df, col, idx_col)
+    # assert_true yields null when it holds, so the guard is part of the value
+    guard = F.expr(f"assert_true({idx_col} < 2147483647, 'index exceeds int range')").cast("long")
+    return out.select(col, F.coalesce(guard, F.col(idx_col)).cast("int").alias(idx_col))
 
 
 def split_by_date(df: DataFrame, split_date, date_col: str = "interaction_date"):
