@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import cosine, dot, normalize, safe_div
 from cadenza.operators.explore import item_popularity
+from cadenza.operators.vectors import padded, whole_groups
 
 
 def _log2(c):
@@ -113,8 +114,8 @@ def intra_list_diversity_features(recs: DataFrame, features: DataFrame, metric:
 
     Cosine uses ``Σ_{i<j} u_i·u_j = (|Σu|² - Σ|u|²) / 2`` on unit vectors
     (one vector sum per user, no pair rows).  Euclidean has no such
-    identity; it runs per list (lists are bounded by their length n) in
-    one ``applyInPandas`` call per user.
+    identity; lists are bounded by their length, so all lists of an Arrow
+    batch are scored together as one padded tensor.
     """
     r = recs.select(user_col, item_col).join(features.select(item_col, vec_col), item_col)
     if metric == "cosine":
@@ -133,20 +134,27 @@ def intra_list_diversity_features(recs: DataFrame, features: DataFrame, metric:
         raise ValueError(f"unsupported metric: {metric}")
     schema = f"{user_col} {recs.schema[user_col].dataType.simpleString()}, intra_list_diversity double"
 
-    def per_list(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-        n = len(x)
-        if n < 2:
-            val = 0.0
-        else:
-            sq = (x * x).sum(axis=1)
-            d2 = np.maximum(sq[:, None] + sq[None, :] - 2.0 * (x @ x.T), 0.0)
-            iu = np.triu_indices(n, 1)
-            val = float(np.sqrt(d2[iu]).mean())
-        return pd.DataFrame({user_col: [pdf[user_col].iloc[0]], "intra_list_diversity": [val]})
-
+    def per_batch(batches):
+        for pdf in whole_groups(batches, user_col):
+            keys = pdf[user_col].to_numpy()
+            starts, counts, x = padded(keys, pdf[vec_col].to_numpy())
+            sq = (x * x).sum(axis=2)
+            d2 = np.maximum(sq[:, :, None] + sq[:, None, :] - 2.0 * np.matmul(x, x.transpose(0, 2, 1)), 0.0)
+            p = x.shape[1]
+            idx = np.arange(p)
+            valid = idx[None, :] < counts[:, None]
+            pair = np.triu(np.ones((p, p), dtype=bool), 1)[None] & valid[:, :, None] & valid[:, None, :]
+            total = np.where(pair, np.sqrt(d2), 0.0).sum(axis=(1, 2))
+            n_pairs = counts * (counts - 1) / 2.0
+            val = np.divide(total, n_pairs, out=np.zeros_like(total), where=n_pairs > 0)
+            yield pd.DataFrame({user_col: keys[starts], "intra_list_diversity": val})
+
+    # lists are hash-partitioned by user and sorted, then scored many per
+    # Arrow batch (lists are bounded by their length)
+    parts = int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (r.select(user_col, F.col(vec_col).cast("array<double>").alias(vec_col))
-             .groupBy(user_col).applyInPandas(per_list, schema))
+             .repartition(parts, user_col).sortWithinPartitions(user_col)
+             .mapInPandas(per_batch, schema))
 
 
 def catalog_coverage(recs: DataFrame, catalog: DataFrame, item_col: str = "artist") -> DataFrame:

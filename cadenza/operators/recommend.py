@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.prepare import interaction_triples
-from cadenza.operators.vectors import similar, topk
+from cadenza.operators.vectors import padded, similar, topk, whole_groups
 
 
 def _check(n: int, name: str = "n") -> None:
@@ -76,16 +76,12 @@ def _greedy_batch(user, item, rel, vecs, lam: float, n: int):
     ``n`` items is returned in relevance order without reranking.
     """
     m = len(user)
-    starts = np.flatnonzero(np.r_[True, user[1:] != user[:-1]])
-    counts = np.diff(np.r_[starts, m])
-    g = np.repeat(np.arange(len(starts)), counts)
+    starts, counts, grid_v = padded(user, vecs)
+    norms = np.linalg.norm(grid_v, axis=2, keepdims=True)
+    grid_v = np.divide(grid_v, norms, out=np.zeros_like(grid_v), where=norms > 0)
+    b, p = grid_v.shape[:2]
+    g = np.repeat(np.arange(b), counts)
     pos = np.arange(m) - np.repeat(starts, counts)
-    b, p = len(starts), int(counts.max())
-    v = np.vstack(vecs).astype(np.float64, copy=False)
-    norms = np.linalg.norm(v, axis=1)
-    v = np.divide(v, norms[:, None], out=np.zeros_like(v), where=norms[:, None] > 0)
-    grid_v = np.zeros((b, p, v.shape[1]))
-    grid_v[g, pos] = v
     grid_r = np.zeros((b, p))
     grid_r[g, pos] = rel
     sim = np.matmul(grid_v, grid_v.transpose(0, 2, 1))
@@ -112,22 +108,8 @@ def _greedy_batch(user, item, rel, vecs, lam: float, n: int):
 
 def _mmr_partitions(lam: float, n: int, user_col: str, item_col: str, vec: str):
     def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-                carry = None
-            if pdf.empty:
-                continue
-            # a user's rows may continue in the next batch: hold them back
-            last = pdf[user_col].iat[-1]
-            tail = (pdf[user_col] == last).to_numpy()
-            cut = int(np.argmax(tail))
-            carry, pdf = pdf.iloc[cut:].reset_index(drop=True), pdf.iloc[:cut].reset_index(drop=True)
-            if not pdf.empty:
-                yield _mmr_frame(pdf, lam, n, user_col, item_col, vec)
-        if carry is not None and not carry.empty:
-            yield _mmr_frame(carry, lam, n, user_col, item_col, vec)
+        for pdf in whole_groups(batches, user_col):
+            yield _mmr_frame(pdf, lam, n, user_col, item_col, vec)
     return run
 
 

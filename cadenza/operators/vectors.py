@@ -37,6 +37,41 @@ _PAIR_SCHEMA = "left_id long, right_id long, score double"
 _PAIR_VEC_SCHEMA = _PAIR_SCHEMA + ", right_vec array<double>"
 
 
+def whole_groups(batches, key: str):
+    """Regroup a partition's Arrow batches (rows sorted by ``key``) into
+    frames that never split a key: the rows of the last key of a batch are
+    held back and put in front of the next batch.  Memory stays at about
+    one batch plus one group."""
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+            carry = None
+        if pdf.empty:
+            continue
+        last = pdf[key].iat[-1]
+        cut = int(np.argmax((pdf[key] == last).to_numpy()))
+        carry = pdf.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+    if carry is not None and not carry.empty:
+        yield carry
+
+
+def padded(keys: np.ndarray, vecs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key -> (group starts, group sizes, vectors padded to a
+    (groups x largest group x dim) grid, zeros where a group is shorter)."""
+    m = len(keys)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    counts = np.diff(np.r_[starts, m])
+    g = np.repeat(np.arange(len(starts)), counts)
+    pos = np.arange(m) - np.repeat(starts, counts)
+    v = np.vstack(vecs).astype(np.float64, copy=False)
+    grid = np.zeros((len(starts), int(counts.max()), v.shape[1]))
+    grid[g, pos] = v
+    return starts, counts, grid
+
+
 def score_pairs(pairs: DataFrame, left_vec: str, right_vec: str, out: str = "score") -> DataFrame:
     """M3: dot product of two vector columns on given pairs (JVM-side)."""
     return pairs.withColumn(out, dot(left_vec, right_vec))

@@ -105,8 +105,12 @@ def test_ild_features_cosine_matches_pairs(spark):
         pairs = [(a, b) for i, a in enumerate(items) for b in items[i + 1:]]
         want = sum(1 - cos(feats[a], feats[b]) for a, b in pairs) / len(pairs) if pairs else 0.0
         assert got[u] == pytest.approx(want, abs=1e-9)
-    eu = {r.user_id: r.intra_list_diversity
-          for r in M.intra_list_diversity_features(recs, f, "euclidean").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")   # lists cross batches
+    try:
+        eu = {r.user_id: r.intra_list_diversity
+              for r in M.intra_list_diversity_features(recs, f, "euclidean").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for u, items in lists.items():
         pairs = [(a, b) for i, a in enumerate(items) for b in items[i + 1:]]
         want = (sum(math.dist(feats[a], feats[b]) for a, b in pairs) / len(pairs)) if pairs else 0.0
