@@ -34,14 +34,12 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame, user_col: str = "user_i
 
 def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None, n: int = 5,
                  users: DataFrame | None = None, user_col: str = "user_id", item_col: str = "item_id",
-                 vec_col: str = "embedding", block_size: int = 2048,
-                 with_vectors: bool = False) -> DataFrame:
+                 vec_col: str = "embedding", block_size: int | None = None) -> DataFrame:
     """M4: the ``n`` highest dot-product items per user among items the user
     has not seen; fewer when the catalogue runs out.
 
     ``seen`` is ``(user, item)``; ``users`` optionally restricts who gets a
-    list.  Result: ``user, rank, item, score`` (and ``item_vec``, the item's
-    vector, with ``with_vectors``).
+    list.  Result: ``user, rank, item, score``.
     """
     _check(n)
     left = user_vecs.select(user_col, vec_col)
@@ -51,13 +49,9 @@ def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | N
     if seen is not None:
         ex = seen.select(F.col(user_col).alias("left_id"), F.col(item_col).alias("right_id"))
     out = topk(left, item_vecs.select(item_col, vec_col), n, left_id=user_col, right_id=item_col,
-               left_vec=vec_col, right_vec=vec_col, exclude=ex, block_size=block_size,
-               carry_right_vec=with_vectors)
-    cols = [F.col("left_id").alias(user_col), F.col("rank").cast("int").alias("rank"),
-            F.col("right_id").alias(item_col), "score"]
-    if with_vectors:
-        cols.append(F.col("right_vec").alias("item_vec"))
-    return out.select(*cols)
+               left_vec=vec_col, right_vec=vec_col, exclude=ex, block_size=block_size)
+    return out.select(F.col("left_id").alias(user_col), F.col("rank").cast("int").alias("rank"),
+                      F.col("right_id").alias(item_col), "score")
 
 
 def candidate_pool(user_vecs, item_vecs, seen, pool_size: int = 20, **kw) -> DataFrame:
@@ -159,7 +153,7 @@ def mmr_rerank(pool: DataFrame, item_vecs: DataFrame | None = None, lambda_param
 def mmr_recommend(user_vecs, item_vecs, seen, n: int = 5, use_mmr: bool = True,
                   lambda_param: float = 0.5, candidate_pool_size: int = 20,
                   users: DataFrame | None = None, user_col: str = "user_id", item_col: str = "item_id",
-                  vec_col: str = "embedding", block_size: int = 2048) -> DataFrame:
+                  vec_col: str = "embedding", block_size: int | None = None) -> DataFrame:
     """M9: pool (M7) then MMR (M8); a pool of at most ``n`` items is returned
     in relevance order without reranking; ``use_mmr=False`` is M4."""
     kw = dict(users=users, user_col=user_col, item_col=item_col, vec_col=vec_col,

@@ -34,7 +34,6 @@ from cadenza.functions.columns import cosine, dot, normalize
 
 _BLOCK_SCHEMA = "lb int, rb int, side string, id long, other long, vec array<double>"
 _PAIR_SCHEMA = "left_id long, right_id long, score double"
-_PAIR_VEC_SCHEMA = _PAIR_SCHEMA + ", right_vec array<double>"
 
 
 def whole_groups(batches, key: str):
@@ -87,65 +86,91 @@ def unit_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.withColumn(vec, normalize(vec))
 
 
-def _n_blocks(df: DataFrame, block_size: int) -> int:
-    return max(1, math.ceil(df.count() / block_size))
+# bounds of the adaptive block size (rows per side of a block pair)
+_MIN_BLOCK, _MAX_BLOCK = 512, 16384
+# score-matrix cells computed at once inside a group (8 bytes each: 64 MB)
+_CHUNK_CELLS = 8_000_000
 
 
-def _block_topk(k: int, exclude_self: bool, carry: bool = False):
+def _block_size(n_left: int, n_right: int, parallelism: int) -> int:
+    """Rows per block so that there are about four block pairs per task
+    slot: big enough to keep the replication of each side (one copy per
+    block of the other side) low, small enough to keep every slot busy."""
+    target_pairs = 4 * max(parallelism, 1)
+    size = math.sqrt(max(n_left, 1) * max(n_right, 1) / target_pairs)
+    return int(min(max(size, _MIN_BLOCK), _MAX_BLOCK))
+
+
+def _block_topk(k: int, exclude_self: bool, chunk_cells: int = _CHUNK_CELLS):
+    empty = pd.DataFrame({"left_id": pd.Series([], dtype="int64"), "right_id": pd.Series([], dtype="int64"),
+                          "score": pd.Series([], dtype="float64")})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["side"] == "L"]
         right = pdf[pdf["side"] == "R"]
         if left.empty or right.empty:
-            empty = {"left_id": pd.Series([], dtype="int64"), "right_id": pd.Series([], dtype="int64"),
-                     "score": pd.Series([], dtype="float64")}
-            if carry:
-                empty["right_vec"] = pd.Series([], dtype="object")
-            return pd.DataFrame(empty)
+            return empty
         lid = left["id"].to_numpy(dtype=np.int64)
         a = np.vstack(left["vec"].to_numpy()).astype(np.float64, copy=False)
         order = np.argsort(right["id"].to_numpy(dtype=np.int64), kind="stable")
         rid = right["id"].to_numpy(dtype=np.int64)[order]
         b = np.vstack(right["vec"].to_numpy()[order]).astype(np.float64, copy=False)
-        s = a @ b.T
-        if exclude_self:
-            s[lid[:, None] == rid[None, :]] = -np.inf
+        # excluded pairs as (left row, right column), sorted by left row
         ex = pdf[pdf["side"] == "X"]
+        li = np.empty(0, dtype=np.int64)
+        ri = np.empty(0, dtype=np.int64)
         if not ex.empty:
             li = pd.Index(lid).get_indexer(ex["id"].to_numpy(dtype=np.int64))
             ro = ex["other"].to_numpy(dtype=np.int64)
-            ri = np.searchsorted(rid, ro)
-            ri = np.minimum(ri, len(rid) - 1)
+            ri = np.minimum(np.searchsorted(rid, ro), len(rid) - 1)
             ok = (li >= 0) & (rid[ri] == ro)
-            s[li[ok], ri[ok]] = -np.inf
-        kk = min(k, s.shape[1])
-        kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-        keep = (s >= kth[:, None]) & np.isfinite(s)
-        rows, cols = np.nonzero(keep)
-        out = {"left_id": lid[rows], "right_id": rid[cols], "score": s[rows, cols]}
-        if carry:
-            out["right_vec"] = list(b[cols])
-        return pd.DataFrame(out)
+            li, ri = li[ok], ri[ok]
+            srt = np.argsort(li, kind="stable")
+            li, ri = li[srt], ri[srt]
+        kk = min(k, len(rid))
+        step = max(1, chunk_cells // len(rid))
+        outs = []
+        # score the block in chunks of left rows: memory stays at _CHUNK_CELLS
+        for c0 in range(0, len(lid), step):
+            c1 = min(c0 + step, len(lid))
+            s = a[c0:c1] @ b.T
+            if exclude_self:
+                s[lid[c0:c1, None] == rid[None, :]] = -np.inf
+            lo, hi = np.searchsorted(li, c0), np.searchsorted(li, c1)
+            s[li[lo:hi] - c0, ri[lo:hi]] = -np.inf
+            kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+            rows, cols = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+            outs.append(pd.DataFrame({"left_id": lid[c0 + rows], "right_id": rid[cols],
+                                      "score": s[rows, cols]}))
+        return pd.concat(outs, ignore_index=True) if outs else empty
     return run
 
 
 def topk(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id", right_id: str = "id",
          left_vec: str = "embedding", right_vec: str = "embedding", exclude: DataFrame | None = None,
          exclude_left: str = "left_id", exclude_right: str = "right_id", exclude_self: bool = False,
-         block_size: int = 2048, rank_col: str = "rank", carry_right_vec: bool = False) -> DataFrame:
+         block_size: int | None = None, rank_col: str = "rank",
+         chunk_cells: int = _CHUNK_CELLS) -> DataFrame:
     """Top ``k`` right rows per left row by dot product.
 
     ``exclude`` holds (left id, right id) pairs that must not be returned
     (e.g. already-seen items); ``exclude_self`` drops equal ids (similar
     users/items).  Ids are integral.  Result: ``left_id, right_id, score,
     rank`` with rank 1..<=k and ties broken by right id ascending.
-    Cosine = dot on ``unit_vectors`` inputs.  ``carry_right_vec`` adds the
-    right row's vector (``right_vec``) to each result row, so a consumer
-    such as MMR needs no join back to the right side.
+    Cosine = dot on ``unit_vectors`` inputs.
+
+    ``block_size`` (rows per block) defaults to an adaptive size: about four
+    block pairs per task slot, between 512 and 16384 rows.  Each side is
+    shipped once per block of the other side, so larger blocks mean less
+    shuffle; inside a group the scores are computed in chunks of left rows,
+    so memory stays bounded whatever the block size.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    nl, nr = _n_blocks(left, block_size), _n_blocks(right, block_size)
     spark = left.sparkSession
+    n_left, n_right = left.count(), right.count()
+    bs = block_size or _block_size(n_left, n_right, spark.sparkContext.defaultParallelism)
+    nl, nr = max(1, math.ceil(n_left / bs)), max(1, math.ceil(n_right / bs))
 
     def blk(c, n):
         return F.pmod(F.xxhash64(c.cast("long")), F.lit(n)).cast("int")
@@ -171,15 +196,14 @@ def topk(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id", righ
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    cand = rows.groupBy("lb", "rb").applyInPandas(_block_topk(k, exclude_self, carry_right_vec),
-                                                  _PAIR_VEC_SCHEMA if carry_right_vec else _PAIR_SCHEMA)
+    cand = rows.groupBy("lb", "rb").applyInPandas(_block_topk(k, exclude_self, chunk_cells), _PAIR_SCHEMA)
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").asc())
     return (cand.withColumn(rank_col, F.row_number().over(w))
                 .where(F.col(rank_col) <= k))
 
 
 def similar(vecs: DataFrame, k: int, *, id_col: str = "id", vec: str = "embedding",
-            ids: DataFrame | None = None, block_size: int = 2048) -> DataFrame:
+            ids: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
     """Top-k cosine neighbours of each id (self excluded); M6 / M11.
 
     ``ids`` optionally restricts the left side (the wanted ids).

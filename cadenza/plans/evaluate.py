@@ -85,7 +85,7 @@ DEFAULT_CONFIGS = (
 
 
 def recommend(model: FactorModel, kind: str = "als", n: int = 5, users: DataFrame | None = None,
-              block_size: int = 2048, **inference) -> DataFrame:
+              block_size: int | None = None, **inference) -> DataFrame:
     """Lists of ``n`` items for the wanted users (all trained users when
     ``users`` is None), in the model's id space: ``user, rank, item, score``.
     Unknown users get no rows (see ``recommend_status``)."""

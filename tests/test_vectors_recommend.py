@@ -28,15 +28,15 @@ def _brute(a, b, lid, rid, k, excl=frozenset(), self_ex=False):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 64])
-def test_blocked_topk_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,chunk", [(7, 8_000_000), (64, 100), (None, 50)])
+def test_blocked_topk_equals_brute_force(spark, block, chunk):
     lid, rid = list(range(40)), list(range(100, 160))
     left, a = _vecs(spark, lid, 4, 1, ties=True)
     right, b = _vecs(spark, rid, 4, 2, ties=True)
     rng = np.random.default_rng(5)
     excl = {(int(u), int(v)) for u, v in zip(rng.choice(lid, 300), rng.choice(rid, 300))}
     ex = spark.createDataFrame(sorted(excl), "left_id long, right_id long")
-    got = V.topk(left, right, 6, exclude=ex, block_size=block).collect()
+    got = V.topk(left, right, 6, exclude=ex, block_size=block, chunk_cells=chunk).collect()
     want = _brute(a, b, lid, rid, 6, excl)
     by = {}
     for r in got:
@@ -134,3 +134,9 @@ def test_user_based_negative_similarity_subtracts(spark):
     assert got[0].score == pytest.approx(2 * s3)
     assert got[1].score == pytest.approx(1 * s3 - 5)
     _ = pd
+
+
+def test_adaptive_block_size():
+    assert V._block_size(15000, 20000, 8) == 3061
+    assert V._block_size(10, 10, 8) == 512
+    assert V._block_size(12_000_000, 20_000_000, 4000) == 16384
