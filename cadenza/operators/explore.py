@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import cosine, safe_div
-from cadenza.operators.ordering import rank_within
+from cadenza.operators.ordering import MAX_WINDOW_GROUP, row_number_within
 from cadenza.operators.prepare import interaction_triples
 
 # lists longer than this are joined (broadcast hash semi join), not inlined
@@ -26,18 +26,19 @@ _INLINE_LIST = 1000
 
 def user_history(df: DataFrame, user_col: str = "user_id", item_col: str = "artist",
                  plays_col: str = "play_count", extra: tuple[str, ...] = (),
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, max_group: int = MAX_WINDOW_GROUP) -> DataFrame:
     """Each user's rows (not aggregated) ranked by plays desc, item asc.
 
     ``limit`` keeps the first rows per user (P4 shows 20); Spark plans it
     as a partial + final WindowGroupLimit, so a long history never reaches
-    one task whole.  Without a limit the rank comes from a global range
-    sort (``rank_within``), which splits a very long history over tasks.
+    one task whole.  Without a limit, a history too long for one task
+    (``max_group`` rows) switches the plan to a global range sort
+    (``rank_within``), which splits it over tasks.
     """
     order = [F.col(plays_col).desc(), F.col(item_col).asc(), *[F.col(c).asc() for c in extra]]
     rows = df.select(user_col, item_col, plays_col, *extra)
     if limit is None:
-        return rank_within(rows, user_col, order)
+        return row_number_within(rows, user_col, order, "rank", max_group)
     w = Window.partitionBy(user_col).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cadenza.functions import hash_user_id
@@ -73,8 +75,9 @@ def test_demographic_filter(spark):
     assert X.users_by_items_and_demographics(df, ["A"], gender=None, age="20-24").count() == 1
 
 
-def test_history_not_aggregated_and_ranked(spark):
-    h = X.user_history(_df(spark, ROWS)).where("user_id = 'u1'").orderBy("rank").collect()
+@pytest.mark.parametrize("max_group", [1_000_000, 1])   # window plan / range-sort plan
+def test_history_not_aggregated_and_ranked(spark, max_group):
+    h = X.user_history(_df(spark, ROWS), max_group=max_group).where("user_id = 'u1'").orderBy("rank").collect()
     assert [(r.artist, r.play_count, r.rank) for r in h] == [("B", 9, 1), ("A", 5, 2), ("A", 2, 3)]
 
 
