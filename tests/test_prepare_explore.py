@@ -145,3 +145,10 @@ def test_csv_scan_and_write(spark, tmp_path):
         raise AssertionError("guard did not fire")
     except ValueError:
         pass
+
+
+def test_data_name():
+    from cadenza.sources.interactions import data_name
+    assert data_name("/data/user_artist_plays.csv") == "user_artist_plays"
+    assert data_name("s3://b/plays.parquet/") == "plays"
+    assert data_name("plays") == "plays"
