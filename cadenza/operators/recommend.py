@@ -47,6 +47,9 @@ def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | N
         left = left.join(users.select(user_col).distinct(), user_col, "left_semi")
     ex = None
     if seen is not None:
+        if users is not None:
+            # only the wanted users' seen pairs travel to the block groups
+            seen = seen.join(left.select(user_col), user_col, "left_semi")
         ex = seen.select(F.col(user_col).alias("left_id"), F.col(item_col).alias("right_id"))
     out = topk(left, item_vecs.select(item_col, vec_col), n, left_id=user_col, right_id=item_col,
                left_vec=vec_col, right_vec=vec_col, exclude=ex, block_size=block_size)
