@@ -146,17 +146,22 @@ def evaluate_model(config: ModelConfig, data: EvaluationData, k: int = 5,
 
 def checkpointed_split(df: DataFrame, split_date=None, train_ratio: float = 0.8,
                        user_col: str = "user_id", item_col: str = "artist",
-                       materialize_input: bool = True) -> EvaluationData:
+                       materialize_input: bool = True, plays_col: str = "play_count") -> EvaluationData:
     """J4 for repeated use: every config of a sweep reads the same split.
 
-    With ``materialize_input`` the input is written once to the checkpoint
-    folder (one pass over an input that is itself a join, like the test
-    views) and both sides are filters on that copy.  For a Parquet table,
+    With ``materialize_input`` the columns evaluation reads are written once
+    to the checkpoint folder (one pass over an input that is itself a join,
+    like the test views) and both sides are filters on that copy.  For a Parquet table,
     where the date filter is pushed into the scan, pass ``False`` and the
     sides read the table directly.  The relevant items are always written.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    base = df.checkpoint(eager=True) if materialize_input else df
+    if materialize_input:
+        # only what evaluation reads: ids, plays, date and genre (column-pruned write)
+        keep = [c for c in (user_col, item_col, plays_col, "interaction_date", "genre") if c in df.columns]
+        base = df.select(*keep).checkpoint(eager=True)
+    else:
+        base = df
     data = prepare_evaluation_data(base, split_date, train_ratio, user_col, item_col)
     return EvaluationData(data.train, data.test, data.relevant.checkpoint(eager=True))
 
@@ -175,7 +180,7 @@ def compare_models(configs, df: DataFrame, split_date=None, train_ratio: float =
     Result: ``model_name, kind, param, status`` and the metric columns.
     """
     spark = df.sparkSession
-    data = checkpointed_split(df, split_date, train_ratio, user_col, item_col)
+    data = checkpointed_split(df, split_date, train_ratio, user_col, item_col, plays_col=plays_col)
     fits: dict[ALSParams, FactorModel] = {}
     rows, names = [], None
     for cfg in configs:
