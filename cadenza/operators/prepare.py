@@ -63,7 +63,8 @@ def ratio_split_date(df: DataFrame, train_ratio: float = 0.8,
     agg = dates.agg(F.sort_array(F.collect_list("d")).alias("ds"))
     n = F.size("ds")
     pos = F.least(F.floor(n.cast("double") * F.lit(float(train_ratio))).cast("int") + 1, n)
-    return agg.select(F.element_at("ds", pos).alias("split_date"))
+    # no dates at all: no split date (element_at(.., 0) would raise under ANSI)
+    return agg.select(F.when(n > 0, F.element_at("ds", pos)).alias("split_date"))
 
 
 def split_by_ratio(df: DataFrame, train_ratio: float = 0.8, date_col: str = "interaction_date"):

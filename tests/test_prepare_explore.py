@@ -152,3 +152,10 @@ def test_data_name():
     assert data_name("/data/user_artist_plays.csv") == "user_artist_plays"
     assert data_name("s3://b/plays.parquet/") == "plays"
     assert data_name("plays") == "plays"
+
+
+def test_ratio_split_on_empty_input(spark):
+    empty = _df(spark, ROWS).where("false")
+    assert P.ratio_split_date(empty, 0.8).first()[0] is None
+    train, test = P.split_by_ratio(empty, 0.8)
+    assert train.count() == 0 and test.count() == 0
