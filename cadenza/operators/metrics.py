@@ -248,9 +248,11 @@ def user_profile(interactions: DataFrame, features: DataFrame, user_col: str = "
     rows = interactions.select(user_col, item_col, F.col(plays_col).cast("double").alias("w"))
     total = rows.groupBy(user_col).agg(F.sum("w").alias("total"))
     feat = features.select(item_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    num = (rows.join(feat, item_col).groupBy(user_col)
+    # zero-weight rows add nothing (and Summarizer rejects all-zero groups)
+    num = (rows.where(F.col("w") != 0).join(feat, item_col).groupBy(user_col)
                .agg(Summarizer.sum(F.col("v"), F.col("w")).alias("s")))
-    return num.join(total, user_col).select(
+    # a user whose plays sum to 0 has no weights, hence no profile
+    return num.join(total.where(F.col("total") != 0), user_col).select(
         user_col, F.transform(vector_to_array("s"), lambda x: x / F.col("total")).alias("profile"))
 
 

@@ -156,3 +156,9 @@ def test_one_pass_equals_single_metrics(spark):
         col = df.columns[1]
         for r in df.collect():
             assert one[r.user_id][col] == pytest.approx(r[col], abs=1e-12), col
+
+
+def test_profile_skips_users_without_plays(spark):
+    inter = spark.createDataFrame([("u1", "a", 0), ("u2", "a", 2)], "user_id string, artist string, play_count long")
+    f = spark.createDataFrame([("a", [1.0, 0.0])], "artist string, features array<double>")
+    assert [r.user_id for r in M.user_profile(inter, f).collect()] == ["u2"]
