@@ -84,11 +84,43 @@ DEFAULT_CONFIGS = (
 )
 
 
+def candidate_lists(model: FactorModel, size: int, users: DataFrame | None = None,
+                    block_size: int | None = None) -> DataFrame:
+    """The ``size`` best unseen items per wanted user in index space
+    (``user_idx, rank, item_idx, score``), checkpointed.  Any top-n list with
+    n <= size is its first n rows, and any MMR pool of p <= size items its
+    first p rows (ties break by item id in both), so one blocked top-k
+    serves every list of a sweep that uses the same factors."""
+    wanted = None
+    if users is not None:
+        wanted = users.select(model.user_col).distinct().join(model.users, model.user_col).select("user_idx")
+    return RC.candidate_pool(model.user_factors.select("user_idx", "embedding"),
+                             model.item_factors.select("item_idx", "embedding"),
+                             model.ratings.select("user_idx", "item_idx"), size, users=wanted,
+                             user_col="user_idx", item_col="item_idx", vec_col="embedding",
+                             block_size=block_size).checkpoint(eager=True)
+
+
+def _pool_size(kind: str, n: int, inference: dict) -> int:
+    """Candidates a list needs: n for a top-n, the pool for MMR, 0 for user-based."""
+    if kind == "als":
+        return n
+    if kind == "als_mmr":
+        # MMR reranks exactly the pool (fewer than n items if the pool is smaller)
+        return int(inference["candidate_pool_size"]) if inference["use_mmr"] else n
+    return 0
+
+
 def recommend(model: FactorModel, kind: str = "als", n: int = 5, users: DataFrame | None = None,
-              block_size: int | None = None, **inference) -> DataFrame:
+              block_size: int | None = None, candidates: DataFrame | None = None,
+              candidates_size: int = 0, **inference) -> DataFrame:
     """Lists of ``n`` items for the wanted users (all trained users when
     ``users`` is None), in the model's id space: ``user, rank, item, score``.
-    Unknown users get no rows (see ``recommend_status``)."""
+    Unknown users get no rows (see ``recommend_status``).
+
+    ``candidates`` (from ``candidate_lists`` for the same users, holding
+    ``candidates_size`` items per user) replaces the blocked top-k when it
+    is long enough for this list."""
     p = dict(INFERENCE_DEFAULTS)
     p.update(inference)
     uc, ic = model.user_col, model.item_col
@@ -99,13 +131,15 @@ def recommend(model: FactorModel, kind: str = "als", n: int = 5, users: DataFram
     if users is not None:
         wanted = users.select(uc).distinct().join(model.users, uc).select("user_idx")
     kw = dict(users=wanted, user_col="user_idx", item_col="item_idx", vec_col="embedding")
-    if kind == "als":
-        recs = RC.top_n_unseen(uf, itf, seen, n, block_size=block_size, **kw)
+    need = _pool_size(kind, n, p)
+    reuse = candidates is not None and 0 < need <= candidates_size
+    if kind == "als" or (kind == "als_mmr" and not p["use_mmr"]):
+        recs = (candidates.where(F.col("rank") <= n) if reuse
+                else RC.top_n_unseen(uf, itf, seen, n, block_size=block_size, **kw))
     elif kind == "als_mmr":
-        recs = RC.mmr_recommend(uf, itf, seen, n, use_mmr=bool(p["use_mmr"]),
-                                lambda_param=float(p["lambda_param"]),
-                                candidate_pool_size=int(p["candidate_pool_size"]),
-                                block_size=block_size, **kw)
+        pool = (candidates.where(F.col("rank") <= need) if reuse
+                else RC.candidate_pool(uf, itf, seen, need, block_size=block_size, **kw))
+        recs = RC.mmr_rerank(pool, itf, float(p["lambda_param"]), n, "user_idx", "item_idx", "embedding")
     elif kind == "user_based":
         ratings = model.ratings.select("user_idx", "item_idx", F.col("strength").alias("play_count"))
         recs = RC.user_based_recommend(ratings, uf, n, int(p["n_similar_users"]), users=wanted,
@@ -126,18 +160,21 @@ def _genres(train: DataFrame, item_col: str) -> DataFrame:
 def evaluate_model(config: ModelConfig, data: EvaluationData, k: int = 5,
                    include_serendipity: bool = False, model: FactorModel | None = None,
                    user_col: str = "user_id", item_col: str = "artist",
-                   plays_col: str = "play_count") -> DataFrame:
+                   plays_col: str = "play_count", candidates: DataFrame | None = None,
+                   candidates_size: int = 0) -> DataFrame:
     """Train (unless ``model`` is given), recommend ``k`` items for every
     user with relevant test items, score with E16.  One row of metrics.
 
     The catalogue is the distinct train items; genres come from the train
-    rows; popularity (novelty) from the train plays.
+    rows; popularity (novelty) from the train plays.  ``candidates`` are
+    shared candidate lists of the relevant users (see ``candidate_lists``).
     """
     ensure_checkpoint_dir(data.train.sparkSession)
     if model is None:
         model = train_als(data.train, config.als(), user_col, item_col, plays_col)
     users = data.relevant.select(user_col).distinct()
-    recs = recommend(model, config.kind, k, users, **config.inference()).checkpoint(eager=True)
+    recs = recommend(model, config.kind, k, users, candidates=candidates, candidates_size=candidates_size,
+                     **config.inference()).checkpoint(eager=True)
     catalog = data.train.select(item_col).distinct()
     return M.all_metrics(recs, data.relevant, catalog, k, include_serendipity=include_serendipity,
                          interactions=data.train, genres=_genres(data.train, item_col),
@@ -174,23 +211,38 @@ def compare_models(configs, df: DataFrame, split_date=None, train_ratio: float =
     """Split once, then evaluate every config on the same split.
 
     Configs that differ only in inference parameters (MMR λ, pool size,
-    neighbours) share one ALS fit.  A config that fails is reported with
+    neighbours) share one ALS fit and one candidate list per user (the
+    longest any of them needs), so the blocked top-k runs once per fit.  A config that fails is reported with
     ``status = 'failed: ...'`` and null metrics; the others go on.  With
     ``results_path`` every result is appended to the results log (S4).
     Result: ``model_name, kind, param, status`` and the metric columns.
     """
     spark = df.sparkSession
     data = checkpointed_split(df, split_date, train_ratio, user_col, item_col, plays_col=plays_col)
+    configs = list(configs)
     fits: dict[ALSParams, FactorModel] = {}
+    pools: dict[ALSParams, tuple[DataFrame, int]] = {}
+    # longest candidate list each fit needs: one blocked top-k per fit
+    need: dict[ALSParams, int] = {}
+    for cfg in configs:
+        try:
+            key = cfg.als()
+            need[key] = max(need.get(key, 0), _pool_size(cfg.kind, k, cfg.inference()))
+        except ValueError:
+            pass
+    users = data.relevant.select(user_col).distinct()
     rows, names = [], None
     for cfg in configs:
         try:
             key = cfg.als()
             if key not in fits:
                 fits[key] = train_als(data.train, key, user_col, item_col, plays_col)
+            if key not in pools and need.get(key, 0) > 0:
+                pools[key] = (candidate_lists(fits[key], need[key], users), need[key])
+            cand, size = pools.get(key, (None, 0))
             # one row of a dozen numbers per config
             got = evaluate_model(cfg, data, k, include_serendipity, fits[key], user_col, item_col,
-                                 plays_col).first().asDict()
+                                 plays_col, candidates=cand, candidates_size=size).first().asDict()
             names = names or list(got)
             rows.append((cfg.name, cfg.kind, cfg.param_json(), "ok", got))
             if results_path:
