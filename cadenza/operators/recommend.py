@@ -197,7 +197,8 @@ def similar_users(user_vecs: DataFrame, k: int = 10, users: DataFrame | None = N
 def user_based_recommend(interactions: DataFrame, user_vecs: DataFrame, n: int = 5,
                          n_similar_users: int = 10, users: DataFrame | None = None,
                          user_col: str = "user_id", item_col: str = "item_id",
-                         plays_col: str = "play_count", vec_col: str = "embedding") -> DataFrame:
+                         plays_col: str = "play_count", vec_col: str = "embedding",
+                         aggregated: bool = False) -> DataFrame:
     """score = Σ over the user's nearest neighbours of
     ``similarity × plays`` for items the user has not seen (raw sum; a
     negative similarity subtracts); top ``n``.
@@ -207,7 +208,10 @@ def user_based_recommend(interactions: DataFrame, user_vecs: DataFrame, n: int =
     """
     _check(n)
     nb = similar_users(user_vecs, n_similar_users, users, user_col, vec_col)
-    t = interaction_triples(interactions, user_col, item_col, plays_col)
+    # ``aggregated``: the input already has one row per (user, item), e.g.
+    # ALS ratings; skip the re-aggregation (and its shuffle)
+    t = (interactions.select(user_col, item_col, F.col(plays_col).alias("strength")) if aggregated
+         else interaction_triples(interactions, user_col, item_col, plays_col))
     cand = (nb.select(user_col, F.col("similar_user"), "similarity")
               .join(t.select(F.col(user_col).alias("similar_user"), item_col, "strength"), "similar_user")
               .join(t.select(user_col, item_col), [user_col, item_col], "left_anti"))

@@ -143,7 +143,8 @@ def recommend(model: FactorModel, kind: str = "als", n: int = 5, users: DataFram
     elif kind == "user_based":
         ratings = model.ratings.select("user_idx", "item_idx", F.col("strength").alias("play_count"))
         recs = RC.user_based_recommend(ratings, uf, n, int(p["n_similar_users"]), users=wanted,
-                                       user_col="user_idx", item_col="item_idx", vec_col="embedding")
+                                       user_col="user_idx", item_col="item_idx", vec_col="embedding",
+                                       aggregated=True)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     return (recs.join(model.users, "user_idx").join(model.items, "item_idx")
