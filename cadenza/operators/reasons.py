@@ -13,6 +13,7 @@ from cadenza.operators.explore import common_items
 from cadenza.operators.recommend import similar_users
 from cadenza.operators.vectors import unit_vectors
 from cadenza.functions.columns import dot
+from cadenza.session import ensure_checkpoint_dir
 
 
 def item_reasons(recs: DataFrame, seen: DataFrame, item_vecs: DataFrame, user_col: str = "user_id",
@@ -27,23 +28,24 @@ def item_reasons(recs: DataFrame, seen: DataFrame, item_vecs: DataFrame, user_co
     """
     uv = unit_vectors(item_vecs.select(item_col, vec_col), vec_col)
     listened = seen.select(user_col, F.col(item_col).alias("reason_item")).distinct()
-    r = recs.select(user_col, "rank", item_col)
-    pairs = (r.join(listened, user_col)
-              .join(uv.select(F.col(item_col), F.col(vec_col).alias("_a")), item_col)
-              .join(uv.select(F.col(item_col).alias("reason_item"), F.col(vec_col).alias("_b")),
-                    "reason_item")
-              .select(user_col, item_col, "reason_item", dot("_a", "_b").alias("similarity"))
-              .where(F.col("similarity") > 0))
-    # best per (user, item) as an aggregate: map-side combine, so a long
-    # history never lands whole in one task (ties: smaller reason id)
-    best = (pairs.groupBy(user_col, item_col)
-                 .agg(F.min(F.struct((-F.col("similarity")).alias("neg"), F.col("reason_item"))).alias("_b"))
-                 .select(user_col, item_col, F.col("_b.reason_item").alias("reason_item"),
-                         (-F.col("_b.neg")).alias("similarity")))
-    return (r.join(best, [user_col, item_col], "left")
-             .withColumn("reason", F.when(F.col("reason_item").isNull(), "popularity")
-                         .otherwise("similar_item"))
-             .select(user_col, "rank", item_col, "reason_item", "similarity", "reason"))
+    # the lists are read once (left joins keep rows without any reason), so
+    # an upstream top-k is never evaluated twice
+    pairs = (recs.select(user_col, "rank", item_col)
+                 .join(listened, user_col, "left")
+                 .join(uv.select(F.col(item_col), F.col(vec_col).alias("_a")), item_col, "left")
+                 .join(uv.select(F.col(item_col).alias("reason_item"), F.col(vec_col).alias("_b")),
+                       "reason_item", "left")
+                 .select(user_col, "rank", item_col, "reason_item",
+                         F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), dot("_a", "_b"))
+                          .alias("similarity")))
+    # best positive reason per list row as an aggregate: map-side combine, so
+    # a long history never lands whole in one task (ties: smaller reason id)
+    cand = F.when(F.col("similarity") > 0,
+                  F.struct((-F.col("similarity")).alias("neg"), F.col("reason_item")))
+    best = pairs.groupBy(user_col, "rank", item_col).agg(F.min(cand).alias("_b"))
+    return best.select(user_col, "rank", item_col, F.col("_b.reason_item").alias("reason_item"),
+                       (-F.col("_b.neg")).alias("similarity"),
+                       F.when(F.col("_b").isNull(), "popularity").otherwise("similar_item").alias("reason"))
 
 
 def user_reasons(interactions: DataFrame, user_vecs: DataFrame, users: DataFrame | None = None,
@@ -53,7 +55,10 @@ def user_reasons(interactions: DataFrame, user_vecs: DataFrame, users: DataFrame
     items (J6).  A pair without shared items keeps one row with null item.
     Result: ``user, similar_user, similarity, rank, item, plays_user,
     plays_similar``."""
-    nb = similar_users(user_vecs, 1, users, user_col, vec_col).where(F.col("rank") == 1)
+    # one row per user, read several times below: write it once so the
+    # blocked top-k behind it runs once
+    ensure_checkpoint_dir(user_vecs.sparkSession)
+    nb = similar_users(user_vecs, 1, users, user_col, vec_col).where(F.col("rank") == 1).checkpoint(eager=True)
     pairs = nb.select(F.col(user_col).alias("user_id1"), F.col("similar_user").alias("user_id2"),
                       "similarity")
     shared = common_items(interactions.withColumnRenamed(user_col, "user_id")
