@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.prepare import interaction_triples
+from cadenza.session import ensure_checkpoint_dir
 from cadenza.operators.vectors import padded, similar, topk, whole_groups
 
 
@@ -176,8 +177,11 @@ def compare_methods(user_vecs, item_vecs, seen, n: int = 5, lambda_param: float
     """Standard and MMR lists side by side (``method`` column), both
     from one scored pool.  The pool is at least ``n`` long, so its first
     ``n`` rows are exactly the standard list."""
+    # both lists read the pool: write it once (users x pool rows) so the
+    # blocked top-k behind it runs once
+    ensure_checkpoint_dir(user_vecs.sparkSession)
     pool = candidate_pool(user_vecs, item_vecs, seen, max(candidate_pool_size, n), users=users,
-                          user_col=user_col, item_col=item_col, vec_col=vec_col)
+                          user_col=user_col, item_col=item_col, vec_col=vec_col).checkpoint(eager=True)
     std = pool.where(F.col("rank") <= n).withColumn("method", F.lit("standard"))
     mmr = mmr_rerank(pool.where(F.col("rank") <= candidate_pool_size), item_vecs, lambda_param, n,
                      user_col, item_col, vec_col).withColumn("method", F.lit("mmr"))
