@@ -168,7 +168,8 @@ def topk(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id", righ
     if k <= 0:
         raise ValueError("k must be positive")
     spark = left.sparkSession
-    n_left, n_right = left.count(), right.count()
+    n_left = left.count()
+    n_right = n_left if right is left else right.count()   # self-similarity: one count
     bs = block_size or _block_size(n_left, n_right, spark.sparkContext.defaultParallelism)
     nl, nr = max(1, math.ceil(n_left / bs)), max(1, math.ceil(n_right / bs))
 
