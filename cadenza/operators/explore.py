@@ -205,28 +205,44 @@ def genre_item_counts(df: DataFrame, item_col: str = "artist") -> DataFrame:
 def split_stats(labeled: DataFrame, user_col: str = "user_id", item_col: str = "artist",
                 date_col: str = "interaction_date") -> DataFrame:
     """Rows, users, items and date range per side, and users/items on
-    both sides, as one row.  Input: interactions with a ``split`` column."""
-    side = labeled.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct(user_col).alias("users"),
-        F.countDistinct(item_col).alias("items"), F.min(date_col).alias("min_date"),
-        F.max(date_col).alias("max_date"))
-    wide = side.groupBy().pivot("split", ["train", "test"]).agg(
-        *[F.first(c).alias(c) for c in ("rows", "users", "items", "min_date", "max_date")])
-
-    def both(col):
-        return (labeled.groupBy(col).agg(F.countDistinct("split").alias("_s"))
-                       .where(F.col("_s") == 2).agg(F.count(F.lit(1)).alias(f"common_{col}")))
-
-    out = wide.crossJoin(both(user_col)).crossJoin(both(item_col))
-    names = {"rows": "interactions", "users": "users", "items": "items"}
-    sel = []
-    for s in ("train", "test"):
-        for k, v in names.items():
-            sel.append(F.coalesce(F.col(f"{s}_{k}"), F.lit(0)).cast("long").alias(f"{s}_{v}"))
-        sel += [F.col(f"{s}_min_date"), F.col(f"{s}_max_date")]
-    sel += [F.col(f"common_{user_col}").alias("common_users"),
-            F.col(f"common_{item_col}").alias("common_items")]
-    return out.select(*sel)
+    both sides, as one row.  Input: interactions with a ``split`` column.
+
+    One pass: every row contributes a user record and an item record; one
+    partial-aggregated ``(kind, key)`` aggregate holds per-side row counts
+    and date ranges, and a final one-row aggregate derives every number
+    (rows and dates from the user records, distinct counts from both).
+    """
+    tr, te = F.col("split") == "train", F.col("split") == "test"
+    keyed = labeled.select(
+        F.explode(F.array(
+            F.struct(F.lit("user").alias("kind"), F.col(user_col).cast("string").alias("key")),
+            F.struct(F.lit("item").alias("kind"), F.col(item_col).cast("string").alias("key")))).alias("k"),
+        tr.alias("tr"), te.alias("te"), F.col(date_col).alias("d"))
+    per = keyed.groupBy(F.col("k.kind").alias("kind"), F.col("k.key").alias("key")).agg(
+        F.sum(F.col("tr").cast("long")).alias("n_tr"), F.sum(F.col("te").cast("long")).alias("n_te"),
+        F.min(F.when(F.col("tr"), F.col("d"))).alias("tr_lo"), F.max(F.when(F.col("tr"), F.col("d"))).alias("tr_hi"),
+        F.min(F.when(F.col("te"), F.col("d"))).alias("te_lo"), F.max(F.when(F.col("te"), F.col("d"))).alias("te_hi"))
+    user, item, known = F.col("kind") == "user", F.col("kind") == "item", F.col("key").isNotNull()
+
+    def n_keys(cond):
+        return F.count(F.when(cond, F.lit(1)))
+
+    def total(c):
+        return F.coalesce(F.sum(F.when(user, F.col(c))), F.lit(0)).cast("long")
+
+    return per.agg(
+        total("n_tr").alias("train_interactions"),
+        n_keys(user & known & (F.col("n_tr") > 0)).alias("train_users"),
+        n_keys(item & known & (F.col("n_tr") > 0)).alias("train_items"),
+        F.min(F.when(user, F.col("tr_lo"))).alias("train_min_date"),
+        F.max(F.when(user, F.col("tr_hi"))).alias("train_max_date"),
+        total("n_te").alias("test_interactions"),
+        n_keys(user & known & (F.col("n_te") > 0)).alias("test_users"),
+        n_keys(item & known & (F.col("n_te") > 0)).alias("test_items"),
+        F.min(F.when(user, F.col("te_lo"))).alias("test_min_date"),
+        F.max(F.when(user, F.col("te_hi"))).alias("test_max_date"),
+        n_keys(user & (F.col("n_tr") > 0) & (F.col("n_te") > 0)).alias("common_users"),
+        n_keys(item & (F.col("n_tr") > 0) & (F.col("n_te") > 0)).alias("common_items"))
 
 
 def common_items(df: DataFrame, pairs: DataFrame, top_n: int = 10, user_col: str = "user_id",
