@@ -130,9 +130,11 @@ def users_by_items_and_demographics(df: DataFrame, names, gender: str | None = N
 def demographic_domains(df: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Value domain of gender and of age over users: ``field, value``."""
     demo = user_demographics(df, user_col)
-    g = demo.select(F.lit("gender").alias("field"), F.col("gender").alias("value"))
-    a = demo.select(F.lit("age").alias("field"), F.col("age").alias("value"))
-    return g.unionByName(a).where(F.col("value").isNotNull()).distinct()
+    # one pass: each user row yields its (field, value) pairs
+    pairs = demo.select(F.explode(F.array(
+        F.struct(F.lit("gender").alias("field"), F.col("gender").alias("value")),
+        F.struct(F.lit("age").alias("field"), F.col("age").alias("value")))).alias("p"))
+    return pairs.select("p.field", "p.value").where(F.col("value").isNotNull()).distinct()
 
 
 def item_popularity(df: DataFrame, item_col: str = "artist", plays_col: str = "play_count") -> DataFrame:
