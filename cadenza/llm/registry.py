@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import packing, token_files
+from cadenza.llm import langid, packing, token_files, toxicity
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -35,3 +35,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred",
+                        F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
