@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import langid, packing, token_files, toxicity
+from cadenza.llm import html_extract, langid, packing, token_files, toxicity
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -50,3 +50,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
