@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import html_extract, langid, packing, token_files, toxicity
+from cadenza.llm import html_extract, langid, packing, quality, secret_scan, token_files, toxicity
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -55,3 +55,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query(quality.ORACLE)
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (F.col("fail_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0).alias("base_failed"),
+                       quality.passes(quality.POLICIES[-1]).alias("kept"), "fail_bits",
+                       quality.passes(quality.POLICIES[1]).alias("kept_prose_1"))
+
+
+@query(secret_scan.ORACLE)
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
