@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.session import ensure_checkpoint_dir
@@ -44,7 +45,7 @@ def small_batches(batches, text_col: int, max_bytes: int = 2_000_000,
     arrays of a task stay bounded whatever the batch settings are."""
     for batch in batches:
         col, start, size = batch.column(text_col), 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and (size + n > max_bytes or i - start >= max_rows):
                 yield batch.slice(start, i - start)
@@ -52,3 +53,20 @@ def small_batches(batches, text_col: int, max_bytes: int = 2_000_000,
             size += n
         if len(lengths) > start:
             yield batch.slice(start)
+
+
+def word_table(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words of the texts (runs without space or ASCII controls 9 to 13): the
+    number of each word, the distinct words, and each text's first word (one
+    more entry than texts).  A null text has no word."""
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    bounds = np.asarray(words.offsets, np.int64)
+    bounds = bounds - bounds[0]
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    number = np.asarray(coded.indices, np.int64) if len(coded) else np.zeros(0, np.int64)
+    if "" in distinct:  # before a leading and after a trailing separator
+        real = number != distinct.index("")
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        number = number[real]
+    return number, distinct, bounds

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import html_extract, langid, packing, quality, secret_scan, token_files, toxicity
+from cadenza.llm import html_extract, langid, minhash, packing, quality, secret_scan, token_files, toxicity
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -69,3 +69,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(secret_scan.ORACLE)
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
