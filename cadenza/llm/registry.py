@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import html_extract, langid, minhash, packing, quality, secret_scan, token_files, toxicity
+from cadenza.llm import (decontaminate, html_extract, langid, minhash, packing, quality, secret_scan, token_files,
+                         toxicity)
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -74,3 +75,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
