@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import (decontaminate, html_extract, langid, minhash, packing, quality, secret_scan, token_files,
-                         toxicity)
+from cadenza.llm import (decontaminate, html_extract, langid, linededup, minhash, packing, quality, secret_scan,
+                         token_files, toxicity)
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -80,3 +80,8 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.removed_lines(table(spark, sf_dir, "documents")).drop("h")
