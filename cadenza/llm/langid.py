@@ -207,6 +207,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "lang_score double", "lang_rejected boolean"]))
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the model learned from it does not reject, as
+    they are (any columns, whatever their names)."""
+    model, text_at = fit(docs.where(~held_out(F.col("doc_id")))), docs.columns.index("text")
+
+    def run(batches):
+        for batch in small_batches(batches, text_at):
+            texts = batch.column(text_at).to_pylist()
+            rejected = model.predict(texts)[2] if model else np.ones(len(texts), bool)
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out, predict all."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
