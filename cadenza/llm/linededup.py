@@ -1,6 +1,6 @@
 """Operator 8, line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct lower-cased words; lines with fewer than
+A line's tokens are its distinct words; lines with fewer than
 ``MIN_TOKENS`` take no part.  Two lines match when the Jaccard similarity of
 their token sets is at least ``PERCENT`` percent; of matching lines the later
 one (by doc_id, text hash, line number) is removed.
@@ -30,6 +30,7 @@ ignored by ``removed_lines``."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,13 @@ def _by_slot(rows: DataFrame, slot: str, value: Column, n: int) -> Column:
     return filled.agg(listed.alias("x")).scalar()
 
 
+def _words() -> Column:
+    """Words of ``line``, with empty strings between repeated separators.  A
+    line whose only white space is the space takes the cheap split."""
+    other = reduce(Column.__or__, (F.contains("line", F.lit(c)) for c in "\t\x0b\f\r"))
+    return F.when(other, F.split("line", WS)).otherwise(F.split("line", " "))
+
+
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
@@ -62,7 +70,7 @@ def _bucket(h: Column) -> Column:
 def _token_order(docs: DataFrame) -> Column:
     """Rarity class (0 the rarest, up to 126) of each hash bucket, as a
     constant array: at most ``2 ** BUCKET_BITS`` counts reach the driver."""
-    words = _texts(docs).select(F.explode(F.split(F.lower("text"), WS)).alias("w")).where("w <> ''")
+    words = _texts(docs).select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words()).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     classes = ["0"] * (1 << BUCKET_BITS)
     for slot, n in counts.collect():
@@ -70,15 +78,19 @@ def _token_order(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def _line_rows(docs: DataFrame, percent: int, min_tokens: int) -> DataFrame:
+def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
     """Per line its place, set size, class key, prefix and parity sketch."""
     order = _token_order(docs)
     line = _texts(docs).select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hashes = F.transform(F.split(F.btrim(F.lower("line"), F.lit(" \t\x0b\f\r")), WS), lambda w: F.xxhash64(w))
-    # the class in the top bits, so that sorting the longs is sorting by rarity
-    packed = F.transform(hashes, lambda h: F.shiftleft(order[_bucket(h)].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    tokens = line.select("doc_id", "h", "line_no", F.sort_array(F.array_distinct(packed)).alias("s")) \
-                 .where(F.size("s") >= min_tokens)
+
+    def packed(h: Column) -> Column:
+        # the class in the top bits, so that sorting the longs is sorting by rarity
+        return F.shiftleft(order[_bucket(h)].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    hashes = F.transform(_words(), lambda w: F.xxhash64(w))
+    distinct = F.array_remove(F.array_distinct(F.transform(hashes, packed)), packed(F.xxhash64(F.lit(""))))
+    # no filter here: Spark would push it below and build the tokens twice
+    tokens = line.select("doc_id", "h", "line_no", F.sort_array(distinct).alias("s"))
     s, n = F.col("s"), F.size("s")
 
     def parity(high: bool) -> Column:
@@ -87,7 +99,7 @@ def _line_rows(docs: DataFrame, percent: int, min_tokens: int) -> DataFrame:
             return F.when(other, a).otherwise(a.bitwiseXOR(_one_bit(x)))
         return F.aggregate(s, F.lit(0).cast("long"), flip)
 
-    kept = n - F.floor((n * percent + 99) / 100).cast("int") + 1
+    kept = F.greatest(n - F.floor((n * percent + 99) / 100).cast("int") + 1, F.lit(0))
     return tokens.select(
         "doc_id", "h", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(n, "s").alias("k2"),
         F.transform(F.slice("s", 1, kept), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"),
@@ -128,7 +140,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
         .select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
         .select(_place().alias("first"), "line")
     sets = lines.join(wanted, "first").select(
-        "k1", "first", F.array_distinct(F.split(F.btrim(F.lower("line"), F.lit(" \t\x0b\f\r")), WS)).alias("own"))
+        "k1", "first", F.array_remove(F.array_distinct(_words()), "").alias("own"))
     sets = saved(sets, "wanted-sets")
     both = pairs.join(sets.select(F.col("k1").alias("x"), F.col("first").alias("fx"), F.col("own").alias("a")), "x") \
                 .join(sets.select(F.col("k1").alias("y"), F.col("first").alias("fy"), F.col("own").alias("b")), "y")
@@ -143,7 +155,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row per removed line: doc_id, h (hash of the text), line_no (from 0),
     n_tokens, the place of the earliest line it matches, and the similarity."""
-    lines = saved(_line_rows(docs, percent, min_tokens), "lines")
+    lines = saved(_line_rows(docs, percent), "lines").where(F.col("n") >= min_tokens)
     classes = lines.groupBy("k1", "k2").agg(
         F.min(F.struct(_place().alias("first"), "n", "par0", "par1", "prefix")).alias("c"),
         F.count(F.lit(1)).alias("members")).select("k1", "k2", "members", "c.*")
