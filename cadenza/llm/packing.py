@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import small_batches
-from cadenza.llm.tokens import END_ID, WordEncoder
+from cadenza.llm.tokens import END_ID, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -161,10 +161,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, low: int =
         raise ValueError("capacity must be a power of two")
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40, low, high)
-        for batch in small_batches(batches, 1):
-            ids, at = encoder.encode(batch.column(1), END_ID)
+        for batch in small_batches(batches, 1, 5_000_000, 2048):
+            ids, at = words.encode(batch.column(1), END_ID)
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc, ids[at[i]:at[i + 1]])
             if packer.out:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import partitions, small_batches, work_path
-from cadenza.llm.tokens import END_ID, WordEncoder
+from cadenza.llm.tokens import END_ID, encoder
 
 # Fixed values of the format: ids in a word and bits of each, by selector.
 COUNT = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, segment_i
     part (range of doc_id), segment (number in it) and the payload."""
 
     def run(batches):
-        encoder, part, segment = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, part, segment = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         keys, counts, held, n = [], [], [], 0
 
         def flush():
@@ -182,8 +182,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, segment_i
                  pa.array([len(keys)], pa.int64()), pa.array([payload], pa.binary())],
                 names=["part", "segment", "n_ids", "n_docs", "payload"])
 
-        for batch in small_batches(batches, 1):
-            ids, at = encoder.encode(batch.column(1), END_ID)
+        for batch in small_batches(batches, 1, 5_000_000, 2048):
+            ids, at = words.encode(batch.column(1), END_ID)
             keys += batch.column(0).to_pylist()
             counts += np.diff(at).tolist()
             held.append(ids)

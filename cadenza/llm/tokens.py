@@ -1,10 +1,12 @@
 """Token ids of whole texts, vectorised over Arrow batches.
 
-``word_bpe_49k.json`` never merges across white space: its normaliser works
-character by character and its splitter drops white space.  So a text's ids
-are the concatenated ids of its white-space-delimited words.  A batch is cut
-into words by Arrow, each distinct word is encoded once by the ``tokenizers``
-library and remembered, and the ids are gathered with numpy."""
+``word_bpe_49k.json`` never merges across white space, nor from letters to
+punctuation: its normaliser works character by character, its splitter drops
+white space and parts letters from other characters.  So a text's ids are the
+concatenated ids of its pieces: a white-space-delimited word, or, where a word
+is letters followed by punctuation, those two.  A batch is cut into words by
+Arrow, each distinct word into its pieces, each new piece is encoded by the
+``tokenizers`` library and remembered, and the ids are gathered with numpy."""
 
 from __future__ import annotations
 
@@ -15,34 +17,84 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
+# Punctuation that may follow a word's letters (no apostrophe: the splitter knows contractions)
+_TAIL = '.,;:!?%&*$#|"()<>[]{}/\\=+-_~^@`'
 
 
 class WordEncoder:
-    """Encodes Arrow string arrays.  ``max_words`` bounds the remembered words
-    of a task (about 150 bytes each); when it is reached they are dropped."""
+    """Encodes Arrow string arrays.  At most ``max_pieces`` pieces (about 200
+    bytes each) are remembered; later new ones are encoded as they come."""
 
-    def __init__(self, tokenizer_path: str, max_words: int = 300_000):
+    def __init__(self, tokenizer_path: str, max_pieces: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
         self._tok.encode_special_tokens = True
-        self._max = max_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self._index: dict[str, int] = {}
-        self._starts = np.zeros(1, np.int64)
-        self._pool = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._index) + len(words) > self._max:
-            self._forget()
-        encoded = [e.ids for e in self._tok.encode_batch(words, add_special_tokens=False)]
-        base = len(self._index)
-        self._index.update((w, base + i) for i, w in enumerate(words))
-        ends = self._starts[-1] + np.cumsum([len(e) for e in encoded], dtype=np.int64)
-        self._starts = np.concatenate([self._starts, ends])
-        self._pool = np.concatenate([self._pool, *(np.asarray(e, np.uint32) for e in encoded)])
+        self._max = max_pieces
+        # piece 0 is empty
+        self._index: dict[str, int] = {"": 0}
+        self._pool, self._ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def _ids(self, letters: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and how many each has."""
+        ids, counts = [], []
+        if letters:
+            # each run of letters is one unit of the splitter
+            joined = self._tok.encode(" ".join(letters), add_special_tokens=False)
+            unit = np.asarray(joined.word_ids, np.int64)
+            if len(unit) and unit[-1] + 1 == len(letters):
+                ids.append(np.asarray(joined.ids, np.uint32))
+                counts.append(np.bincount(unit, minlength=len(letters)))
+            else:  # a letter that the library does not take for one
+                others = letters + others
+        if others:
+            each = [e.ids for e in self._tok.encode_batch(others, add_special_tokens=False)]
+            ids.append(np.fromiter((i for e in each for i in e), np.uint32))
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two pieces of every word (the second may be empty), and first id and
+        id count of each piece, in arrays that hold this call's pieces."""
+        index, n = self._index, len(self._index)
+        new: dict[str, int] = {}
+        letters, others, first, second = [], [], [], []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if core.isalpha():
+                tail = w[len(core):]
+                if core.isascii():
+                    core = core.lower()
+            else:
+                core, tail = w, ""
+            for piece, out in ((core, first), (tail, second)):
+                at = index.get(piece)
+                if at is None:
+                    at = new.get(piece)
+                    if at is None:
+                        # letters are numbered from 0, other pieces from -1 down
+                        if piece is core and piece.isalpha():
+                            at = n + len(letters)
+                            letters.append(piece)
+                        else:
+                            others.append(piece)
+                            at = -len(others)
+                        new[piece] = at
+                out.append(at)
+        a, b = np.array(first, np.int64), np.array(second, np.int64)
+        if new:
+            base = n + len(letters) - 1
+            a, b = np.where(a < 0, base - a, a), np.where(b < 0, base - b, b)
+            ids, counts = self._ids(letters, others)
+            ends = self._ends[n - 1] + np.cumsum(counts)
+            start = int(self._ends[n - 1])
+            self._pool = _room(self._pool, start + len(ids))
+            self._ends = _room(self._ends, n + len(new))
+            self._pool[start:start + len(ids)] = ids
+            self._ends[n:n + len(new)] = ends
+            if n + len(new) <= self._max:
+                index.update(zip(letters + others, range(n, n + len(new))))
+        return a, b, np.concatenate([[0], self._ends[:n + len(new) - 1]]), self._ends[:n + len(new)]
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the offset of each
@@ -51,19 +103,15 @@ class WordEncoder:
         bounds = np.asarray(words.offsets, np.int64)
         bounds = bounds - bounds[0]
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self._index]
-        if new:
-            if len(self._index) + len(new) > self._max:
-                self._forget()
-                new = distinct
-            self._learn(new)
-        at = np.fromiter((self._index[w] for w in distinct), np.int64, len(distinct))
-        word = at[np.asarray(coded.indices, np.int64)] if len(coded) else np.zeros(0, np.int64)
-        first, count = self._starts[word], self._starts[word + 1] - self._starts[word]
+        a, b, begin, end = self._pieces(coded.dictionary.to_pylist())
+        number = np.asarray(coded.indices, np.int64) if len(coded) else np.zeros(0, np.int64)
+        piece = np.empty(2 * len(number), np.int64)
+        piece[0::2], piece[1::2] = a[number], b[number]
+        first = begin[piece]
+        count = end[piece] - first
         before = np.concatenate([[0], np.cumsum(count)])
-        source = np.repeat(first - before[:-1], count) + np.arange(before[-1])
-        ids, offsets = self._pool[source], before[bounds]
+        ids = self._pool[np.repeat(first - before[:-1], count) + np.arange(before[-1])]
+        offsets = before[2 * bounds]
         if end_id is None:
             return ids, offsets
         n = len(bounds) - 1
@@ -73,3 +121,17 @@ class WordEncoder:
         keep[last] = False
         closed[last], closed[keep] = end_id, ids
         return closed, offsets + np.arange(n + 1)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+_SHARED: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_path: str) -> WordEncoder:
+    """The Python worker's encoder: the tasks that it runs share what it remembers."""
+    if tokenizer_path not in _SHARED:
+        _SHARED[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _SHARED[tokenizer_path]
