@@ -63,13 +63,12 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
     # selector at each position: the first whose next COUNT ids all fit
     selector = np.full(grid.shape, 1, np.int8)
     todo = np.ones(grid.shape, bool)
+    here, never = np.arange(block, dtype=np.int16)[None, :], np.int16(block + 240)
     for s in [0, *range(2, 16)]:
-        limit = np.uint64(1) << np.uint64(WIDTH[s])
-        wide = (grid >= limit) & inside
+        wide = (grid >= np.uint64(1) << np.uint64(WIDTH[s])) & inside
         # position of the next id that is too wide, at or after each position
-        stop = np.where(wide, np.arange(block)[None, :], block + 240)
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-        fits = (stop - np.arange(block)[None, :] >= COUNT[s]) & todo
+        stop = np.minimum.accumulate(np.where(wide, here, never)[:, ::-1], axis=1)[:, ::-1]
+        fits = (stop - here >= COUNT[s]) & todo
         selector[fits] = s
         todo &= ~fits
     # follow the chain of words of every block in lockstep
@@ -91,6 +90,10 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
     slots = 1 + (sel == 1)
     place = np.concatenate([[0], np.cumsum(slots)])
     words = np.zeros(place[-1], np.uint64)
+    # zeros behind every block, for words with more room than ids
+    behind = np.zeros((n_blocks, block + 240), np.uint64)
+    behind[:, :block] = grid
+    behind, spot = behind.ravel(), blk * (block + 240) + pos
     for s in range(16):
         rows = np.flatnonzero(sel == s)
         if not len(rows):
@@ -100,9 +103,7 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
             words[place[rows] + 1] = grid[blk[rows], pos[rows]]
         elif s:
             for k in range(COUNT[s]):
-                p = pos[rows] + k
-                v = np.where(p < block, grid[blk[rows], np.minimum(p, block - 1)], 0).astype(np.uint64)
-                word |= v << np.uint64(k * WIDTH[s])
+                word |= behind[spot[rows] + k] << np.uint64(k * WIDTH[s])
         words[place[rows]] = word
     first = np.zeros(n_blocks + 1, np.uint32)
     first[1:] = np.cumsum(np.bincount(blk, weights=slots, minlength=n_blocks))
