@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import saved, small_batches
 
 SYMBOLS = "oIHTNR"  # other, insult, threat (harm), target, negation, reporting verb
 
@@ -187,11 +187,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float
         return None
     rate = {1: min(1.0, TOXIC_ROWS / sizes[1]), 0: min(1.0, CLEAN_ROWS / sizes[0])}
     key = F.pmod(F.xxhash64(F.col("_id"), F.lit("toxicity sample")), F.lit(1_000_003)) / 1_000_003.0
-    taken = known.where(key < F.when(F.col("_toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0])))
+    # written, so that Spark knows its size when it plans the join with the texts
+    taken = saved(known.where(key < F.when(F.col("_toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))), "sample-ids")
     # exact copies of one text tell no more than the text itself
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(taken, "_id") \
                .groupBy(F.xxhash64("text").alias("_h")).agg(F.max("_toxic").alias("toxic"), F.max("text").alias("text"))
-    return rows, rate[1], rate[0]
+    return saved(rows, "sample"), rate[1], rate[0]
 
 
 def _units(rows: DataFrame) -> tuple[list[str], list[str]]:
@@ -208,7 +209,7 @@ def _units(rows: DataFrame) -> tuple[list[str], list[str]]:
     cuts = F.concat(F.array(F.concat(F.col("w"), F.lit("$"))),
                     *(F.when(F.length("w") > n, F.array(F.substring("w", 1, n))).otherwise(
                         F.array().cast("array<string>")) for n in range(3, 8)))
-    units = per_row.select("toxic", "_h", F.explode(cuts).alias("unit")).distinct()
+    units = saved(per_row.select("toxic", "_h", F.explode(cuts).alias("unit")).distinct(), "units")
     counted = units.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
