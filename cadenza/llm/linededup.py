@@ -15,7 +15,10 @@ one (by doc_id, text hash, line number) is removed.
    length filter, the positional filter (what is left after the shared token
    must suffice for the overlap) and a parity sketch of 128 bits, which differs
    in at most as many bits as the sets differ in tokens, so it rejects no match.
-4. The pairs left are verified on the words themselves, read again from the
+4. Tokens that very many classes share (large groups of near copies) are
+   joined with a share of them first, then with larger shares for what is still
+   unmatched; a line needs only one earlier match.
+5. The pairs left are verified on the words themselves, read again from the
    few texts that hold them.
 
 Everything is built-in column functions.  The bucket counts and the filter of
@@ -24,7 +27,7 @@ joins are plain equi-joins that Spark may split where a key is hot.
 
 Edge cases: null and empty texts have no line; a null doc_id comes last in the
 order; rows with the same doc_id and text are one document and share their
-fate; an empty table gives no rows; other columns are kept by ``dedup`` and
+fate (texts over 2 ** 24 lines are out of range); an empty table gives no rows; other columns are kept by ``dedup`` and
 ignored by ``removed_lines``."""
 
 from __future__ import annotations
@@ -40,11 +43,14 @@ from cadenza.llm.common import WS, saved
 PERCENT, MIN_TOKENS = 80, 5
 BUCKET_BITS = 18
 FILTER_WORDS = 1 << 14  # 64 bits each
+# a token shared by more classes than this is compared by hubs first
+HOT = 512
+NO_ID = (1 << 63) - 1  # stands for a null doc_id
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     t = F.col("text").cast("string")
-    return docs.select("doc_id", t.alias("text"), F.xxhash64(t).alias("h")).where("text IS NOT NULL AND text <> ''")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h")).where("text IS NOT NULL AND text <> ''")
 
 
 def _by_slot(rows: DataFrame, slot: str, value: Column, n: int) -> Column:
@@ -81,7 +87,7 @@ def _token_order(docs: DataFrame) -> Column:
 def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
     """Per line its place, set size, class key, prefix and parity sketch."""
     order = _token_order(docs)
-    line = _texts(docs).select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = _lines(_texts(docs))
 
     def packed(h: Column) -> Column:
         # the class in the top bits, so that sorting the longs is sorting by rarity
@@ -90,7 +96,7 @@ def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
     hashes = F.transform(_words(), lambda w: F.xxhash64(w))
     distinct = F.array_remove(F.array_distinct(F.transform(hashes, packed)), packed(F.xxhash64(F.lit(""))))
     # no filter here: Spark would push it below and build the tokens twice
-    tokens = line.select("doc_id", "h", "line_no", F.sort_array(distinct).alias("s"))
+    tokens = line.select("p1", "p2", F.sort_array(distinct).alias("s"))
     s, n = F.col("s"), F.size("s")
 
     def parity(high: bool) -> Column:
@@ -101,80 +107,124 @@ def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
 
     kept = F.greatest(n - F.floor((n * percent + 99) / 100).cast("int") + 1, F.lit(0))
     return tokens.select(
-        "doc_id", "h", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(n, "s").alias("k2"),
+        "p1", "p2", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(n, "s").alias("k2"),
         F.transform(F.slice("s", 1, kept), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"),
         parity(False).alias("par0"), parity(True).alias("par1"))
 
 
+def _lines(texts: DataFrame) -> DataFrame:
+    """Place and text of every line.  A place is the doc_id (the largest long
+    for null) and the text's hash (40 bits) with the line number: later lines
+    compare greater."""
+    split = texts.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("p1"),
+                        F.shiftleft("h", 24).bitwiseOR(F.col("line_no").cast("long")).alias("p2"), "line")
+
+
 def _one_bit(x: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
 
-def _place() -> Column:
-    """Where a line stands: later lines compare greater."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"),
-                    F.col("h").alias("h"), F.col("line_no").alias("line"))
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    return classes.select("p1", "p2", "n", "par0", "par1", "open", F.posexplode("prefix").alias("i", "token")) \
+                  .select("token", "p1", "p2", "n", (F.col("n") - F.col("i")).alias("left"), "par0", "par1", "open")
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a prefix token and pass all filters."""
-    rows = classes.select("k1", "n", "par0", "par1", F.posexplode("prefix").alias("i", "token")) \
-                  .select("token", "k1", "n", (F.col("n") - F.col("i")).alias("left"), "par0", "par1")
-    on = F.expr(f"""a.token = b.token AND a.k1 < b.k1
+def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
+    """Places of classes that share a prefix token and pass all filters, the
+    later one still open.  (``open`` is 0 or 1; asked of both sides at once, it
+    leaves a self-join one shuffle.)"""
+    on = F.expr(f"""a.token = b.token AND (a.p1 < b.p1 OR a.p1 = b.p1 AND a.p2 < b.p2) AND a.open + 2 * b.open >= 2
         AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
         AND least(a.left, b.left) * {100 + percent} >= {percent} * (a.n + b.n)
         AND (bit_count(a.par0 ^ b.par0) + bit_count(a.par1 ^ b.par1)) * {100 + percent} <= {100 - percent} * (a.n + b.n)
         """)
-    return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")).distinct()
+    return earlier.alias("a").join(later.alias("b"), on).select(
+        F.col("a.p1").alias("a1"), F.col("a.p2").alias("a2"), F.col("b.p1").alias("b1"), F.col("b.p2").alias("b2")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of line places that match on their words: (earlier, later, jaccard)."""
-    keys = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).distinct()
-    wanted = saved(classes.select("k1", "first").join(keys, "k1"), "wanted-lines")
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that match on their words, with the similarity."""
+    wanted = saved(pairs.select(F.col("a1").alias("p1"), F.col("a2").alias("p2")).unionByName(
+        pairs.select(F.col("b1").alias("p1"), F.col("b2").alias("p2"))).distinct(), "wanted-lines")
     # texts that hold a wanted line, by a bit per hash; the join decides
-    slots = wanted.select(F.shiftrightunsigned("first.h", 50).cast("int").alias("slot"), F.col("first.h").alias("h"))
-    bits = _by_slot(slots, "slot", F.bit_or(_one_bit(F.col("h"))), FILTER_WORDS)
-    held = bits[F.shiftrightunsigned("h", 50).cast("int")].bitwiseAND(_one_bit(F.col("h"))) != 0
-    lines = _texts(docs).where(held).dropDuplicates(["doc_id", "h"]) \
-        .select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
-        .select(_place().alias("first"), "line")
-    sets = lines.join(wanted, "first").select(
-        "k1", "first", F.array_remove(F.array_distinct(_words()), "").alias("own"))
-    sets = saved(sets, "wanted-sets")
-    both = pairs.join(sets.select(F.col("k1").alias("x"), F.col("first").alias("fx"), F.col("own").alias("a")), "x") \
-                .join(sets.select(F.col("k1").alias("y"), F.col("first").alias("fy"), F.col("own").alias("b")), "y")
-    common = both.select("fx", "fy", F.size(F.array_intersect("a", "b")).alias("c"),
+    h = F.shiftright("p2", 24)
+    slots = wanted.select(h.bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")).cast("int").alias("slot"),
+                          F.shiftright(h, 14).alias("bit"))
+    bits = _by_slot(slots, "slot", F.bit_or(_one_bit(F.col("bit"))), FILTER_WORDS)
+    place = F.col("h").bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")).cast("int")
+    held = bits[place].bitwiseAND(_one_bit(F.shiftright("h", 14))) != 0
+    lines = _lines(_texts(docs).where(held).dropDuplicates(["doc_id", "h"]))
+    sets = saved(lines.join(wanted, ["p1", "p2"]).select(
+        "p1", "p2", F.array_remove(F.array_distinct(_words()), "").alias("own")), "wanted-sets")
+    both = pairs.join(sets.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("own").alias("a")), ["a1", "a2"]) \
+                .join(sets.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("own").alias("b")), ["b1", "b2"])
+    common = both.select("a1", "a2", "b1", "b2", F.size(F.array_intersect("a", "b")).alias("c"),
                          (F.size("a") + F.size("b")).alias("total"))
     union = F.col("total") - F.col("c")
-    return common.where(F.col("c") * 100 >= union * percent).select(
-        F.least("fx", "fy").alias("earlier"), F.greatest("fx", "fy").alias("later"),
-        (F.col("c") / union).alias("jaccard"))
-
-
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """One row per removed line: doc_id, h (hash of the text), line_no (from 0),
-    n_tokens, the place of the earliest line it matches, and the similarity."""
+    match = F.min(F.struct("a1", "a2", (-F.col("c") / union).alias("minus"))).alias("m")
+    return common.where(F.col("c") * 100 >= union * percent).groupBy(F.col("b1").alias("p1"), F.col("b2").alias("p2")) \
+                 .agg(match).select("p1", "p2", "m.*")
+
+
+def _settled_by_hubs(docs: DataFrame, classes: DataFrame, percent: int, hot: int) -> DataFrame | None:
+    """Matches of classes that share a token with more than ``hot`` others.
+    Such classes are compared with every 512th, 64th and 8th of them first
+    (by hash), those still unmatched each time; so a large group of near
+    copies settles in few comparisons and not in all pairs."""
+    tokens = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")) \
+                    .where(F.col("k") > hot)
+    tokens = saved(tokens, "hot-tokens")
+    most = tokens.agg(F.max("k")).first()[0]
+    if most is None:
+        return None
+    rows = saved(_prefix_rows(classes).join(tokens.select("token"), "token"), "hot-rows")
+    found = None
+    for share in (512, 64, 8):
+        if share * 8 > most:
+            continue
+        hubs = rows.where(F.pmod(F.xxhash64("p2", "p1"), F.lit(share)) == 0)
+        later = rows if found is None else rows.join(found.select("p1", "p2"), ["p1", "p2"], "left_anti")
+        more = _verified(docs, saved(_candidates(hubs, later, percent), "hub-pairs"), percent)
+        found = saved(more if found is None else found.unionByName(more), "settled")
+    return found
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, hot: int = HOT) -> DataFrame:
+    """One row per removed line: doc_id, h (40 bits of the text's hash),
+    line_no (from 0), n_tokens, an earlier line that it matches, and their
+    similarity."""
     lines = saved(_line_rows(docs, percent), "lines").where(F.col("n") >= min_tokens)
-    classes = lines.groupBy("k1", "k2").agg(
-        F.min(F.struct(_place().alias("first"), "n", "par0", "par1", "prefix")).alias("c"),
-        F.count(F.lit(1)).alias("members")).select("k1", "k2", "members", "c.*")
-    pairs = saved(_candidates(classes, percent), "line-pairs")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("members"))
-    links = _verified(docs, pairs, firsts, percent)
+    classes = saved(lines.groupBy("k1", "k2").agg(
+        F.min(F.struct("p1", "p2", "n", "par0", "par1", "prefix")).alias("c"), F.count(F.lit(1)).alias("members"))
+        .select("k1", "k2", "members", "c.*"), "line-classes").withColumn("open", F.lit(1))
+    settled = _settled_by_hubs(docs, classes, percent, hot)
+    if settled is not None:
+        classes = classes.drop("open").join(settled.select("p1", "p2", F.lit(0).alias("open")), ["p1", "p2"], "left") \
+                         .withColumn("open", F.coalesce("open", F.lit(1)))
+    rows = _prefix_rows(classes)
+    links = _verified(docs, saved(_candidates(rows, rows, percent), "line-pairs"), percent)
+    if settled is not None:
+        links = links.unionByName(settled)
     # of a class the first line goes if it matches an earlier class, the others always
-    best = links.groupBy(F.col("later").alias("first")).agg(
-        F.min(F.struct("earlier", (-F.col("jaccard")).alias("minus"))).alias("m"))
-    linked = saved(firsts.join(best, "first", "left").where("members > 1 OR m IS NOT NULL"), "line-classes")
-    placed = lines.select("k1", "k2", "n", _place().alias("place"), "doc_id", "h", "line_no").join(linked, ["k1", "k2"])
-    is_first = F.col("place") == F.col("first")
-    gone = placed.where(~is_first | F.col("m").isNotNull())
-    # the earliest match: the class's own first line, or an earlier class's
-    match = F.when(F.col("m").isNull(), F.col("first")).otherwise(F.col("m.earlier"))
-    return gone.select(
-        "doc_id", "h", "line_no", F.col("n").alias("n_tokens"),
-        F.when(~match["no_id"], match["doc"]).alias("match_doc_id"), match["line"].alias("match_line_no"),
-        F.when(F.col("m").isNull(), F.lit(1.0)).otherwise(-F.col("m.minus")).alias("jaccard")).distinct()
+    linked = classes.select("k1", "k2", "members", F.col("p1").alias("f1"), F.col("p2").alias("f2")) \
+        .join(links.select(F.col("p1").alias("f1"), F.col("p2").alias("f2"), "a1", "a2", "minus"), ["f1", "f2"], "left") \
+        .where("members > 1 OR a1 IS NOT NULL")
+    placed = lines.select("k1", "k2", "n", "p1", "p2").join(saved(linked, "matched-classes"), ["k1", "k2"])
+    match1, match2 = F.coalesce("a1", "f1"), F.coalesce("a2", "f2")
+    gone = placed.where("p1 <> f1 OR p2 <> f2 OR a1 IS NOT NULL").select(
+        _doc_id(F.col("p1")).alias("doc_id"), F.shiftrightunsigned("p2", 24).alias("h"), _line_no(F.col("p2")).alias("line_no"),
+        F.col("n").alias("n_tokens"), _doc_id(match1).alias("match_doc_id"), _line_no(match2).alias("match_line_no"),
+        F.coalesce(-F.col("minus"), F.lit(1.0)).alias("jaccard"))
+    return gone.distinct()
+
+
+def _doc_id(p1: Column) -> Column:
+    return F.when(p1 != NO_ID, p1)
+
+
+def _line_no(p2: Column) -> Column:
+    return p2.bitwiseAND(F.lit((1 << 24) - 1).cast("long")).cast("int")
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -182,7 +232,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS)
     stays, and ``n_chars``, where there is one, is counted anew."""
     gone = removed_lines(docs, percent, min_tokens).groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_gone")) \
         .select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_gone")
-    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    rows = docs.withColumn("_key", F.shiftrightunsigned(F.shiftleft(F.xxhash64(F.col("text").cast("string")), 24), 24))
     joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_key"] == gone["_h"]), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
