@@ -35,6 +35,7 @@ REJECT = 0.6
 # ... but texts under 2 ** SHORT n-grams, or of a length with fewer training texts than ENOUGH, never are
 SHORT, ENOUGH = 7, 20
 UNKNOWN = "und"
+SLICE = (500_000, 128)  # text bytes and rows that are turned into vectors at once
 
 _FOLD: list[np.ndarray] = []
 
@@ -164,7 +165,7 @@ def fit(labelled: DataFrame) -> Model | None:
     sample = rows.where(key < share).select("doc_id", "lang", "text").dropDuplicates(["doc_id"])
 
     def count(batches):
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, *SLICE):
             texts = batch.column(1).to_pylist()
             x, ok = features(texts), has_letter(texts)
             sparse = [np.flatnonzero(r) for r in x]
@@ -194,7 +195,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
 
     def run(batches):
-        for batch in small_batches(batches, text_at):
+        for batch in small_batches(batches, text_at, *SLICE):
             texts = batch.column(text_at).to_pylist()
             if model is None:
                 lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -213,7 +214,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     model, text_at = fit(docs.where(~held_out(F.col("doc_id")))), docs.columns.index("text")
 
     def run(batches):
-        for batch in small_batches(batches, text_at):
+        for batch in small_batches(batches, text_at, *SLICE):
             texts = batch.column(text_at).to_pylist()
             rejected = model.predict(texts)[2] if model else np.ones(len(texts), bool)
             yield batch.filter(pa.array(~rejected))

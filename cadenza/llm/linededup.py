@@ -13,7 +13,7 @@ one (by doc_id, text hash, line number) is removed.
 3. A class sends its rarest tokens (its prefix) to the join: two sets over the
    threshold share a token of their prefixes.  The join condition holds the
    length filter, the positional filter (what is left after the shared token
-   must suffice for the overlap) and a parity sketch of 128 bits, which differs
+   must suffice for the overlap) and a parity sketch of 64 or 128 bits, which differs
    in at most as many bits as the sets differ in tokens, so it rejects no match.
 4. Tokens that very many classes share (large groups of near copies) are
    joined with a share of them first, then with larger shares for what is still
@@ -45,6 +45,7 @@ BUCKET_BITS = 18
 FILTER_WORDS = 1 << 14  # 64 bits each
 # a token shared by more classes than this is compared by hubs first
 HOT = 512
+LONG = 100  # lines with more tokens than this get 128 bits of parity
 NO_ID = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -99,17 +100,27 @@ def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
     tokens = line.select("p1", "p2", F.sort_array(distinct).alias("s"))
     s, n = F.col("s"), F.size("s")
 
-    def parity(high: bool) -> Column:
+    def parity(half: int | None) -> Column:
         def flip(a: Column, x: Column) -> Column:
-            other = x.bitwiseAND(F.lit(64).cast("long")) != (64 if high else 0)
-            return F.when(other, a).otherwise(a.bitwiseXOR(_one_bit(x)))
+            flipped = a.bitwiseXOR(_one_bit(x))
+            if half is None:
+                return flipped
+            return F.when(x.bitwiseAND(F.lit(64).cast("long")) == half, flipped).otherwise(a)
         return F.aggregate(s, F.lit(0).cast("long"), flip)
 
     kept = F.greatest(n - F.floor((n * percent + 99) / 100).cast("int") + 1, F.lit(0))
     return tokens.select(
         "p1", "p2", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(n, "s").alias("k2"),
-        F.transform(F.slice("s", 1, kept), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"),
-        parity(False).alias("par0"), parity(True).alias("par1"))
+        F.transform(F.slice("s", 1, kept), _short_token).alias("prefix"),
+        # 128 bits in two halves for long lines; the halves' xor is the 64 bits of a short one
+        F.when(n > LONG, parity(0)).otherwise(parity(None)).alias("par0"),
+        F.when(n > LONG, parity(64)).otherwise(F.lit(0).cast("long")).alias("par1"))
+
+
+def _short_token(x: Column) -> Column:
+    """32 bits of a token: 7 of its rarity class, 25 of its hash."""
+    top = F.shiftleft(F.shiftright(x, 56), 25).bitwiseOR(F.shiftright(x, 31).bitwiseAND(F.lit((1 << 25) - 1).cast("long")))
+    return (top - (1 << 31)).cast("int")
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -137,7 +148,8 @@ def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame
     on = F.expr(f"""a.token = b.token AND (a.p1 < b.p1 OR a.p1 = b.p1 AND a.p2 < b.p2) AND a.open + 2 * b.open >= 2
         AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
         AND least(a.left, b.left) * {100 + percent} >= {percent} * (a.n + b.n)
-        AND (bit_count(a.par0 ^ b.par0) + bit_count(a.par1 ^ b.par1)) * {100 + percent} <= {100 - percent} * (a.n + b.n)
+        AND CASE WHEN least(a.n, b.n) > {LONG} THEN bit_count(a.par0 ^ b.par0) + bit_count(a.par1 ^ b.par1)
+            ELSE bit_count(a.par0 ^ a.par1 ^ b.par0 ^ b.par1) END * {100 + percent} <= {100 - percent} * (a.n + b.n)
         """)
     return earlier.alias("a").join(later.alias("b"), on).select(
         F.col("a.p1").alias("a1"), F.col("a.p2").alias("a2"), F.col("b.p1").alias("b1"), F.col("b.p2").alias("b2")).distinct()
@@ -172,8 +184,10 @@ def _settled_by_hubs(docs: DataFrame, classes: DataFrame, percent: int, hot: int
     Such classes are compared with every 512th, 64th and 8th of them first
     (by hash), those still unmatched each time; so a large group of near
     copies settles in few comparisons and not in all pairs."""
-    tokens = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")) \
-                    .where(F.col("k") > hot)
+    # so many classes have a token only if its rarity class is that high
+    least = (int(2 * math.log2(hot)) << 25) - (1 << 31)
+    tokens = classes.select(F.explode("prefix").alias("token")).where(F.col("token") >= least) \
+                    .groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot)
     tokens = saved(tokens, "hot-tokens")
     most = tokens.agg(F.max("k")).first()[0]
     if most is None:

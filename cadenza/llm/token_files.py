@@ -183,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, segment_i
                  pa.array([len(keys)], pa.int64()), pa.array([payload], pa.binary())],
                 names=["part", "segment", "n_ids", "n_docs", "payload"])
 
-        for batch in small_batches(batches, 1, 5_000_000, 2048):
+        for batch in small_batches(batches, 1, 3_000_000, 1024):
             ids, at = words.encode(batch.column(1), END_ID)
             keys += batch.column(0).to_pylist()
             counts += np.diff(at).tolist()
