@@ -34,6 +34,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_arrow(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, to be handed to Arrow tasks: Spark's default of 10,000 rows a
+    batch is lowered, as a row here is a whole text.  A session with a setting of its
+    own keeps it."""
+    conf = docs.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(rows))
+    return docs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,6 +66,8 @@ def small_batches(batches, text_col: int, max_bytes: int = 2_000_000,
             size += n
         if len(lengths) > start:
             yield batch.slice(start)
+    # an idle worker keeps no more than it must
+    pa.default_memory_pool().release_unused()
 
 
 def word_table(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

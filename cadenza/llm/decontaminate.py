@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches, word_table
+from cadenza.llm.common import small_arrow, small_batches, word_table
 
 N, WINDOW, MIN_WORDS = 3, 3, 8
 MIN_SCORE = 0.5
@@ -203,7 +203,7 @@ def rarest(items: list[np.ndarray], counts: dict[int, int]) -> list[np.ndarray]:
 
 def build(docs: DataFrame, benchmark: DataFrame) -> list[tuple[list, Index]]:
     """Per block of the benchmark the item ids and the index of rare seeds."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = small_arrow(docs).select(F.col("text").cast("string").alias("text"))
     out = []
     for ids, items in _blocks(benchmark):
         everything = Index(items, [np.arange(len(w) - N + 1) for w in items])

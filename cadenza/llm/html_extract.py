@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import small_arrow, small_batches
 
 FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "region", "heading"]
 NEUTRAL, ARTICLE, FURNITURE = 0.0, 1.0, 2.0
@@ -264,6 +264,6 @@ def extract(pages: DataFrame) -> DataFrame:
                  pa.array([len(t) for t in text], pa.int64()), pa.array(kept, pa.int32()), pa.array(found, pa.int32())],
                 names=["page_id", "url", "text", "n_chars", "kept_blocks", "all_blocks"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    rows = small_arrow(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, kept_blocks int, all_blocks int")

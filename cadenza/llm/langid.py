@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import small_arrow, small_batches
 
 DIM = 4096
 PER_LANG, TOTAL, CENTROIDS, ROUNDS = 400, 4000, 4, 8
@@ -154,7 +154,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame) -> Model | None:
     """Learn from (doc_id, text, lang); null where there is nothing to learn."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = small_arrow(labelled).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Every column of ``docs`` plus lang_pred, lang_score and lang_rejected
     (columns of these names are replaced)."""
     cols = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
-    rows = docs.select(*cols)
+    rows = small_arrow(docs).select(*cols)
     schema = rows.schema
     text_at = cols.index("text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
@@ -219,7 +219,7 @@ def accepted(docs: DataFrame) -> DataFrame:
             rejected = model.predict(texts)[2] if model else np.ones(len(texts), bool)
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_arrow(docs).mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import saved, small_batches, word_table
+from cadenza.llm.common import saved, small_arrow, small_batches, word_table
 from cadenza.llm.components import components
 
 SHINGLE = 5
@@ -131,7 +131,7 @@ def sign(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _could_link(a: str, b: str, percent: int):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import small_arrow, small_batches
 from cadenza.llm.tokens import END_ID, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, low: int =
         if packer.out:
             yield packer.rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+    return small_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
                .mapInArrow(run, SCHEMA)
 
 

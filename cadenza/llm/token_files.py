@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import partitions, small_batches, work_path
+from cadenza.llm.common import partitions, small_arrow, small_batches, work_path
 from cadenza.llm.tokens import END_ID, encoder
 
 # Fixed values of the format: ids in a word and bits of each, by selector.
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, segment_i
         if keys:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(),
                                       F.xxhash64("text")) \
                   .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import saved, small_batches
+from cadenza.llm.common import saved, small_arrow, small_batches
 
 SYMBOLS = "oIHTNR"  # other, insult, threat (harm), target, negation, reporting verb
 
@@ -272,5 +272,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1)), pa.float64())],
                                              names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+    return small_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
                .mapInArrow(run, "doc_id long, score double")
