@@ -17,28 +17,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import cosine, safe_div
-from cadenza.operators.ordering import MAX_WINDOW_GROUP, row_number_within
+from cadenza.operators.ordering import rank_within
 from cadenza.operators.prepare import interaction_triples
 
 # lists longer than this are joined (broadcast hash semi join), not inlined
-_INLINE_LIST = 1000
 
 
 def user_history(df: DataFrame, user_col: str = "user_id", item_col: str = "artist",
                  plays_col: str = "play_count", extra: tuple[str, ...] = (),
-                 limit: int | None = None, max_group: int = MAX_WINDOW_GROUP) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """Each user's rows (not aggregated) ranked by plays desc, item asc.
 
     ``limit`` keeps the first rows per user (P4 shows 20); Spark plans it
     as a partial + final WindowGroupLimit, so a long history never reaches
-    one task whole.  Without a limit, a history too long for one task
-    (``max_group`` rows) switches the plan to a global range sort
-    (``rank_within``), which splits it over tasks.
+    one task whole.  Without a limit the rows are ranked by a global range
+    sort (``rank_within``), which splits a long history over tasks.
     """
     order = [F.col(plays_col).desc(), F.col(item_col).asc(), *[F.col(c).asc() for c in extra]]
     rows = df.select(user_col, item_col, plays_col, *extra)
     if limit is None:
-        return row_number_within(rows, user_col, order, "rank", max_group)
+        return rank_within(rows, user_col, order, "rank")
     w = Window.partitionBy(user_col).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -69,12 +67,9 @@ def _filter_items(df: DataFrame, names, item_col: str) -> DataFrame:
         wanted = names.select(F.trim(F.col(names.columns[0])).alias(item_col)).distinct()
         return df.join(wanted, item_col, "left_semi")
     wanted = _wanted(names)
-    if len(wanted) > _INLINE_LIST:
-        # the list is already in the driver, so its size is known and bounded
-        spark = df.sparkSession
-        return df.join(F.broadcast(spark.createDataFrame([(w,) for w in wanted], [item_col])),
-                       item_col, "left_semi")
-    return df.where(F.col(item_col).isin(wanted))
+    # one plan for any length: Spark knows the local list's size and picks the join
+    frame = df.sparkSession.createDataFrame([(w,) for w in wanted], f"`{item_col}` string")
+    return df.join(frame, item_col, "left_semi").select(*df.columns)
 
 
 def items_in_list(df: DataFrame, names, item_col: str = "artist") -> DataFrame:

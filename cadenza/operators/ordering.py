@@ -52,20 +52,3 @@ def dense_index(df: DataFrame, col: str, idx_col: str) -> DataFrame:
     values = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(0))
     ranked = rank_within(values, "_one", [F.col(col).asc()], "_pos", dtype="long")
     return ranked.select(col, (F.col("_pos") - 1).alias(idx_col))
-
-
-# above this many rows in one key, a single window task is a straggler
-MAX_WINDOW_GROUP = 1_000_000
-
-
-def row_number_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "rank",
-                      max_group: int = MAX_WINDOW_GROUP) -> DataFrame:
-    """``row_number()`` within ``key``, choosing the plan by the size of the
-    largest group: one partial-aggregated count per key (a single number
-    reaches the driver) decides between the plain window (every group fits
-    one task) and ``rank_within`` (some key is too big for one task)."""
-    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if largest is None or largest <= max_group:
-        w = Window.partitionBy(key).orderBy(*order)
-        return df.withColumn(rank_col, F.row_number().over(w))
-    return rank_within(df, key, order, rank_col)

@@ -138,8 +138,11 @@ def _block_topk(k: int, exclude_self: bool, chunk_cells: int = _CHUNK_CELLS):
                 s[lid[c0:c1, None] == rid[None, :]] = -np.inf
             lo, hi = np.searchsorted(li, c0), np.searchsorted(li, c1)
             s[li[lo:hi] - c0, ri[lo:hi]] = -np.inf
-            kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-            rows, cols = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+            kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk][:, None]
+            # exactly k per row: ties at the k-th score go to the smallest ids
+            above, tie = s > kth, (s == kth) & np.isfinite(s)
+            room = kk - above.sum(axis=1, dtype=np.int32)[:, None]
+            rows, cols = np.nonzero(above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= room)))
             outs.append(pd.DataFrame({"left_id": lid[c0 + rows], "right_id": rid[cols],
                                       "score": s[rows, cols]}))
         return pd.concat(outs, ignore_index=True) if outs else empty
@@ -190,7 +193,7 @@ def topk(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id", righ
     ]
     if exclude is not None:
         ex = exclude.select(F.col(exclude_left).cast("long").alias("id"),
-                            F.col(exclude_right).cast("long").alias("other"))
+                            F.col(exclude_right).cast("long").alias("other")).distinct()
         parts.append(ex.select(blk(F.col("id"), nl).alias("lb"), blk(F.col("other"), nr).alias("rb"),
                                F.lit("X").alias("side"), "id", "other",
                                F.lit(None).cast("array<double>").alias("vec")))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -249,8 +250,11 @@ def compare_models(configs, df: DataFrame, split_date=None, train_ratio: float =
             if results_path:
                 from cadenza.operators.results import save_results
                 save_results(spark, results_path, data_name, cfg.name, cfg.params, got, execute_date)
-        except Exception as e:  # noqa: BLE001 - a failing config is reported, not fatal
-            rows.append((cfg.name, cfg.kind, cfg.param_json(), f"failed: {type(e).__name__}: {e}"[:500], {}))
+        except (ValueError, KeyError, AnalysisException, IllegalArgumentException) as e:
+            # what a bad config raises is reported; anything else is fatal
+            rows.append((cfg.name, cfg.kind, cfg.param_json(), f"failed: {type(e).__name__}: {e}", {}))
+    if configs and names is None:
+        raise RuntimeError("no config succeeded: " + "; ".join(r[3] for r in rows))
     names = names or []
     schema = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("kind", T.StringType()),
                            T.StructField("param", T.StringType()), T.StructField("status", T.StringType())]

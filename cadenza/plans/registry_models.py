@@ -1,10 +1,10 @@
 """Queries over a trained ALS model (M1, S5, M4/M9/M12 on factors, E17,
 E18).  ALS is iterative and seeded, so there is no SQL oracle: the
-driver checks row counts and schemas, and ``tests/test_models.py``
+driver checks row counts and schemas, and ``tests/test_results_models.py``
 checks the invariants (no seen item returned, ranks 1..n, score order,
 same lists after a save/load round trip).
 
-One fit per (session, data folder, view, parameters) is kept for the
+One fit per (Spark application, data folder, view, parameters) is kept for the
 life of the process so that the queries below share it.
 """
 
@@ -26,7 +26,7 @@ _MODELS: dict = {}
 
 
 def _split(spark, d, name="interactions"):
-    key = (id(spark), d, name)
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _SPLITS:
         df = conform_interactions(view(spark, d, name))
         _SPLITS[key] = EV.checkpointed_split(df, train_ratio=0.8)
@@ -35,7 +35,7 @@ def _split(spark, d, name="interactions"):
 
 def _model(spark, d, params: ALSParams | None = None, name="interactions"):
     params = params or ALSParams()
-    key = (id(spark), d, name, params)
+    key = (spark.sparkContext.applicationId, d, name, params)
     if key not in _MODELS:
         _MODELS[key] = train_als(_split(spark, d, name).train, params)
     return _MODELS[key]
