@@ -5,11 +5,9 @@ through ``spark.sql(text, table=DataFrame)`` (no global temp views);
 the DuckDB oracle gets the same text with the braces removed, wrapped
 as a CTE.  So the Spark side and the oracle read identical inputs.
 
-Departures from the blueprint's view texts, so that every view covers
-its whole base table: ``user_vecs`` takes every embedding from id 400 up
-(not just 400–499) and ``relevant_fx`` keeps all qualifying view events
-(no ``event_id`` cap).  Both are identical to the blueprint at sf0.01
-for ``user_vecs``; ``relevant_fx`` is larger.
+Every view reads its base tables whole: no id bound, no cap.  Ids of the
+events table are spread over the domains of the embeddings and the parts,
+which grow with their tables.
 """
 
 from __future__ import annotations
@@ -43,27 +41,33 @@ JOIN {orders} ON l_orderkey = o_orderkey
 JOIN {customer} ON o_custkey = c_custkey
 JOIN {nation} ON c_nationkey = n_nationkey
 JOIN {part} ON l_partkey = p_partkey""",
+    # every embedding is an item and a user
     "item_vecs": """
 SELECT vec_id AS item_id, CAST(embedding AS ARRAY<DOUBLE>) AS embedding, label AS genre
-FROM {embeddings} WHERE vec_id < 400""",
+FROM {embeddings}""",
     "user_vecs": """
 SELECT vec_id AS user_id, CAST(embedding AS ARRAY<DOUBLE>) AS embedding
-FROM {embeddings} WHERE vec_id >= 400""",
+FROM {embeddings}""",
+    # purchases, spread over all users and all items
     "seen": """
-SELECT 400 + user_id % 100 AS user_id, (event_id * 7) % 400 AS item_id, COUNT(*) AS play_count
-FROM {events} WHERE event_type = 'purchase' GROUP BY 400 + user_id % 100, (event_id * 7) % 400""",
+SELECT user_id, item_id, COUNT(*) AS play_count
+FROM (SELECT (event_id * 13 + user_id) % n AS user_id, (event_id * 7) % n AS item_id
+      FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {embeddings}) WHERE event_type = 'purchase')
+GROUP BY user_id, item_id""",
+    # a user's first events as a list of parts; its length (0 to 7) follows the number of events
     "recs_fx": """
-SELECT u.user_id, CAST(r.rank AS INTEGER) AS rank, (u.user_id * 31 + r.rank * r.rank * 17) % 50 AS item_id
-FROM (SELECT DISTINCT 400 + user_id % 100 AS user_id FROM {events}) u
-CROSS JOIN (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS rank FROM {lineitem}) r
-WHERE u.user_id % 25 <> 1 AND (u.user_id % 10 <> 0 OR r.rank <= 3)""",
+SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id
+FROM (SELECT user_id, (event_id * 7) % n AS item_id, COUNT(*) OVER (PARTITION BY user_id) AS events,
+             row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank
+      FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {part}))
+WHERE rank <= events % 8""",
     "relevant_fx": """
-SELECT DISTINCT 400 + user_id % 100 AS user_id, (event_id * 7) % 50 AS item_id
-FROM {events} WHERE event_type = 'view' AND user_id % 100 < 90""",
+SELECT DISTINCT user_id, (event_id * 7) % n AS item_id
+FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {part}) WHERE event_type = 'view'""",
     "genre_fx": """
-SELECT DISTINCT l_partkey % 50 AS item_id, CASE WHEN l_partkey % 50 = 49 THEN NULL
-       ELSE concat('g', CAST(l_partkey % 50 % 6 AS STRING)) END AS genre
-FROM {lineitem}""",
+SELECT p_partkey AS item_id, CASE WHEN p_brand LIKE '%5' THEN NULL
+       ELSE concat('g', substring(p_brand, 7, 1)) END AS genre
+FROM {part}""",
     "results_fx": """
 SELECT o_orderkey AS seq, o_orderpriority AS data_name, concat('model_', o_orderstatus) AS model_name,
        CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + 1 AS STRING) AS execute_date,
