@@ -63,14 +63,22 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
     # selector at each position: the first whose next COUNT ids all fit
     selector = np.full(grid.shape, 1, np.int8)
     todo = np.ones(grid.shape, bool)
-    here, never = np.arange(block, dtype=np.int16)[None, :], np.int16(block + 240)
-    for s in [0, *range(2, 16)]:
-        wide = (grid >= np.uint64(1) << np.uint64(WIDTH[s])) & inside
-        # position of the next id that is too wide, at or after each position
-        stop = np.minimum.accumulate(np.where(wide, here, never)[:, ::-1], axis=1)[:, ::-1]
-        fits = (stop - here >= COUNT[s]) & todo
+    usable = [0, *range(2, 16)]
+    need = np.searchsorted(np.array([1 << int(WIDTH[s]) for s in usable], np.uint64), padded, side="right")
+    need = np.where(inside, need.reshape(grid.shape), 0).astype(np.int8)
+    wide_before = np.zeros((n_blocks, block + 1), np.int16)
+    for k, s in enumerate(usable):
+        np.cumsum(need > k, axis=1, dtype=np.int16, out=wide_before[:, 1:])
+        n_ids = min(int(COUNT[s]), block)
+        fits = np.empty(grid.shape, bool)
+        whole = block - n_ids + 1
+        np.equal(wide_before[:, n_ids:], wide_before[:, :whole], out=fits[:, :whole])
+        np.equal(wide_before[:, -1:], wide_before[:, whole:-1], out=fits[:, whole:])
+        fits &= todo
         selector[fits] = s
-        todo &= ~fits
+        todo ^= fits
+        if not todo.any():
+            break
     # follow the chain of words of every block in lockstep
     at, alive = np.zeros(n_blocks, np.int64), np.arange(n_blocks)
     where, which, chosen = [], [], []
