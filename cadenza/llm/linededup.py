@@ -166,9 +166,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     bits = _by_slot(slots, "slot", F.bit_or(_one_bit(F.col("bit"))), FILTER_WORDS)
     place = F.col("h").bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")).cast("int")
     held = bits[place].bitwiseAND(_one_bit(F.shiftright("h", 14))) != 0
-    lines = _lines(_texts(docs).where(held).dropDuplicates(["doc_id", "h"]))
-    sets = saved(lines.join(wanted, ["p1", "p2"]).select(
-        "p1", "p2", F.array_remove(F.array_distinct(_words()), "").alias("own")), "wanted-sets")
+    # rows with the same doc_id and text are one document: their lines are equal
+    lines = _lines(_texts(docs).where(held)).join(wanted, ["p1", "p2"]).dropDuplicates(["p1", "p2"])
+    sets = saved(lines.select("p1", "p2", F.array_remove(F.array_distinct(_words()), "").alias("own")), "wanted-sets")
     both = pairs.join(sets.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("own").alias("a")), ["a1", "a2"]) \
                 .join(sets.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("own").alias("b")), ["b1", "b2"])
     common = both.select("a1", "a2", "b1", "b2", F.size(F.array_intersect("a", "b")).alias("c"),
@@ -195,8 +195,8 @@ def _settled_by_hubs(docs: DataFrame, classes: DataFrame, percent: int, hot: int
     rows = saved(_prefix_rows(classes).join(tokens.select("token"), "token"), "hot-rows")
     found = None
     for share in (512, 64, 8):
-        if share * 8 > most:
-            continue
+        if share * 32 > most:
+            continue  # so few hubs would settle little
         hubs = rows.where(F.pmod(F.xxhash64("p2", "p1"), F.lit(share)) == 0)
         later = rows if found is None else rows.join(found.select("p1", "p2"), ["p1", "p2"], "left_anti")
         more = _verified(docs, saved(_candidates(hubs, later, percent), "hub-pairs"), percent)
