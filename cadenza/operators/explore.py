@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import cosine, safe_div
 from cadenza.operators.ordering import rank_within
 from cadenza.operators.prepare import interaction_triples
-
-# lists longer than this are joined (broadcast hash semi join), not inlined
+from cadenza.session import ensure_checkpoint_dir
 
 
 def user_history(df: DataFrame, user_col: str = "user_id", item_col: str = "artist",
@@ -248,17 +247,18 @@ def common_items(df: DataFrame, pairs: DataFrame, top_n: int = 10, user_col: str
     desc (ties: item asc), first ``top_n`` per pair.
 
     ``pairs`` has ``user_id1, user_id2``.  Rows are pre-aggregated to one
-    cell per (user, item) before the join, and only the users named in
-    ``pairs`` take part, so a long history is scanned once, not per pair.
+    cell per (user, item), and the cells of the users named in ``pairs`` are
+    written once: the input and the pairs are evaluated once, and both join
+    sides read the copy.
     """
-    t = interaction_triples(df.join(
-        pairs.select(F.col("user_id1").alias(user_col)).unionByName(
-            pairs.select(F.col("user_id2").alias(user_col))).distinct(), user_col, "left_semi"),
-        user_col, item_col, plays_col)
+    ensure_checkpoint_dir(df.sparkSession)
+    pairs = pairs.select("user_id1", "user_id2").distinct().checkpoint(eager=True)
+    named = pairs.select(F.explode(F.array("user_id1", "user_id2")).alias(user_col)).distinct()
+    t = interaction_triples(df.join(named, user_col, "left_semi"), user_col, item_col,
+                            plays_col).checkpoint(eager=True)
     a = t.select(F.col(user_col).alias("user_id1"), F.col(item_col), F.col("strength").alias("plays1"))
     b = t.select(F.col(user_col).alias("user_id2"), F.col(item_col), F.col("strength").alias("plays2"))
-    p = pairs.select("user_id1", "user_id2").distinct()
-    j = p.join(a, "user_id1").join(b, ["user_id2", item_col])
+    j = pairs.join(a, "user_id1").join(b, ["user_id2", item_col])
     w = Window.partitionBy("user_id1", "user_id2").orderBy(
         (F.col("plays1") + F.col("plays2")).desc(), F.col(item_col).asc())
     return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
@@ -273,15 +273,15 @@ def user_comparison(df: DataFrame, pairs: DataFrame, user_vecs: DataFrame | None
 
     ``genres`` maps item → genre (default: the ``genre`` column of ``df``).
     """
-    p = pairs.select("user_id1", "user_id2").distinct()
-    users = p.select(F.col("user_id1").alias(user_col)).unionByName(
-        p.select(F.col("user_id2").alias(user_col))).distinct()
-    rows = df.join(users, user_col, "left_semi")
+    ensure_checkpoint_dir(df.sparkSession)
+    # pairs and histories are read by both counts, on both sides: written once
+    p = pairs.select("user_id1", "user_id2").distinct().checkpoint(eager=True)
+    users = p.select(F.explode(F.array("user_id1", "user_id2")).alias(user_col)).distinct()
+    ui = df.select(user_col, item_col).join(users, user_col, "left_semi").distinct().checkpoint(eager=True)
     if genres is None:
-        ig = item_genre(rows, item_col, unknown=None)
+        ig = item_genre(df.join(users, user_col, "left_semi"), item_col, unknown=None)
     else:
         ig = genres.select(item_col, "genre")
-    ui = rows.select(user_col, item_col).distinct()
     ug = ui.join(ig, item_col).select(user_col, "genre").where(F.col("genre").isNotNull()).distinct()
 
     def shared(t, key, name):

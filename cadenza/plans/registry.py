@@ -18,8 +18,9 @@ from cadenza.functions.columns import confidence, hash_user_id
 from cadenza.operators import explore as X
 from cadenza.operators import metrics as M
 from cadenza.operators import prepare as P
+from cadenza.session import scratch_path
 from cadenza.sources.fixtures import table, view, with_views
-from cadenza.sources.interactions import conform_interactions
+from cadenza.sources.interactions import conform_interactions, read_interactions, write_interactions
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -49,7 +50,18 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @register("scan_interactions", "SELECT * FROM interactions", ("interactions",))
 def q_scan(spark, d):
-    return conform_interactions(view(spark, d, "interactions"))
+    """S6 then S1: written as CSV to the shared folder and read back from there."""
+    path = scratch_path(spark, "interactions")
+    write_interactions(conform_interactions(view(spark, d, "interactions")), path, "csv")
+    return read_interactions(spark, path, "csv")
+
+
+@register("scan_interactions_parquet", "SELECT * FROM interactions", ("interactions",))
+def q_scan_parquet(spark, d):
+    """The same by way of Parquet, one folder a year."""
+    path = scratch_path(spark, "interactions")
+    write_interactions(conform_interactions(view(spark, d, "interactions")), path, partition_by_year=True)
+    return read_interactions(spark, path, "parquet")
 
 
 @register("hash_user_id", """
@@ -106,6 +118,11 @@ split_point AS (
   WHERE i = least(CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT), n - 1))"""
 
 
+def ratio_split_sql() -> str:
+    """The start of an oracle: the interactions and their split date."""
+    return f"{with_views('SELECT 1', ['interactions']).rsplit(chr(10) + 'SELECT 1', 1)[0]},\n{_RATIO_DATE.strip()}"
+
+
 @register("split_by_ratio", f"""
 , {_RATIO_DATE.strip()}
 SELECT i.*, CASE WHEN i.interaction_date < s.split_date THEN 'train' ELSE 'test' END AS split

@@ -1,8 +1,11 @@
-"""Queries over a trained ALS model (M1, S5, M4/M9/M12 on factors, E17,
-E18).  ALS is iterative and seeded, so there is no SQL oracle: the
-driver checks row counts and schemas, and ``tests/test_results_models.py``
-checks the invariants (no seen item returned, ranks 1..n, score order,
-same lists after a save/load round trip).
+"""Queries over a trained ALS model (M1, S5, M4/M9/M12 on factors, M16 on
+users, E17, E18).
+
+Factors are iterative and seeded, so no SQL can state them.  What is exact
+about them can be: ids and indices, vector lengths, the length of every list,
+that no list holds a seen item, and that E17's accuracy equals its definition
+over the lists.  The queries return these, and the oracles derive them from
+the tables alone.  ``compare_models`` has no oracle.
 
 One fit per (Spark application, data folder, view, parameters) is kept for the
 life of the process so that the queries below share it.
@@ -10,14 +13,15 @@ life of the process so that the queries below share it.
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators import explore as X
+from cadenza.operators import vectors as V
 from cadenza.operators.als import ALSParams, load_model, save_model, train_als
 from cadenza.plans import evaluate as EV
-from cadenza.plans.registry import register
-from cadenza.session import ensure_checkpoint_dir
+from cadenza.plans.registry import K, ratio_split_sql, register
+from cadenza.session import scratch_path
 from cadenza.sources.fixtures import view
 from cadenza.sources.interactions import conform_interactions
 
@@ -41,37 +45,111 @@ def _model(spark, d, params: ALSParams | None = None, name="interactions"):
     return _MODELS[key]
 
 
-@register("als_train")
+def _lists(recs: DataFrame, model, by_score: bool) -> DataFrame:
+    """Per user what holds for any factors: list length, items already seen in
+    train, and whether ranks run 1..n (and scores fall, for lists in score
+    order) without a repeated item.  A list has at most ``K`` rows."""
+    seen = (model.ratings.join(model.users, "user_idx").join(model.items, "item_idx")
+                 .select(model.user_col, model.item_col, F.lit(1).alias("_seen")))
+    per = (recs.join(seen, [model.user_col, model.item_col], "left").groupBy(model.user_col)
+               .agg(F.count(F.lit(1)).alias("n_recs"), F.count("_seen").alias("n_seen"),
+                    F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("rows"),
+                    F.size(F.collect_set(model.item_col)).alias("items")))
+    ranks, scores = F.col("rows.rank"), F.col("rows.score")
+    ok = (ranks == F.sequence(F.lit(1), F.size("rows"))) & (F.col("items") == F.size("rows"))
+    if by_score:
+        ok = ok & (scores == F.sort_array(scores, asc=False))
+    return per.select(model.user_col, "n_recs", "n_seen", ok.alias("ordered"))
+
+
+_TRAIN = ratio_split_sql() + """,
+train AS (SELECT i.* FROM interactions i, split_point s WHERE i.interaction_date < s.split_date),
+test AS (SELECT i.* FROM interactions i, split_point s WHERE i.interaction_date >= s.split_date),
+relevant AS (SELECT DISTINCT user_id, artist FROM test WHERE user_id IN (SELECT user_id FROM train)),
+wanted AS (SELECT user_id, (SELECT count(DISTINCT artist) FROM train) - count(DISTINCT artist) AS unseen
+           FROM train WHERE user_id IN (SELECT user_id FROM relevant) GROUP BY user_id)"""
+
+_LISTS_SQL = _TRAIN + f"""
+SELECT user_id, least({K}, unseen) AS n_recs, CAST(0 AS BIGINT) AS n_seen, TRUE AS ordered
+FROM wanted WHERE unseen > 0"""
+
+
+@register("als_train", _TRAIN + """
+SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_idx,
+       CAST(50 AS INTEGER) AS n_factors, TRUE AS finite
+FROM (SELECT DISTINCT user_id FROM train)""")
 def q_als_train(spark, d):
     m = _model(spark, d)
-    return m.user_factors.select("user_id", "user_idx", "embedding")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return m.user_factors.select("user_id", "user_idx", F.size("embedding").alias("n_factors"),
+                                 finite.alias("finite"))
 
 
-@register("als_recommend")
+@register("als_recommend", _LISTS_SQL)
 def q_als_recommend(spark, d):
-    data = _split(spark, d)
-    return EV.recommend(_model(spark, d), "als", 5, data.relevant.select("user_id"))
+    model = _model(spark, d)
+    recs = EV.recommend(model, "als", K, _split(spark, d).relevant.select("user_id"))
+    return _lists(recs, model, by_score=True)
 
 
-@register("als_mmr_recommend")
+@register("als_mmr_recommend", _LISTS_SQL)
 def q_als_mmr(spark, d):
-    data = _split(spark, d)
-    return EV.recommend(_model(spark, d), "als_mmr", 5, data.relevant.select("user_id"),
+    model = _model(spark, d)
+    recs = EV.recommend(model, "als_mmr", K, _split(spark, d).relevant.select("user_id"),
                         lambda_param=0.5, candidate_pool_size=20)
+    return _lists(recs, model, by_score=False)
 
 
-@register("als_userbased_recommend")
+# the length depends on which users the factors make neighbours
+@register("als_userbased_recommend", _TRAIN + f"""
+SELECT user_id, TRUE AS fits, CAST(0 AS BIGINT) AS n_seen, TRUE AS ordered FROM wanted WHERE unseen > 0""")
 def q_als_userbased(spark, d):
-    data = _split(spark, d)
-    return EV.recommend(_model(spark, d), "user_based", 5, data.relevant.select("user_id"),
+    model = _model(spark, d)
+    recs = EV.recommend(model, "user_based", K, _split(spark, d).relevant.select("user_id"),
                         n_similar_users=10)
-
-
-@register("evaluate_model")
+    return _lists(recs, model, by_score=True).select(
+        "user_id", F.col("n_recs").between(1, K).alias("fits"), "n_seen", "ordered")
+
+
+@register("project_users", _TRAIN + """
+SELECT user_id, gender, age, user_id IN (SELECT user_id FROM train) AS placed
+FROM (SELECT DISTINCT user_id, gender, age FROM interactions)""")
+def q_project_users(spark, d):
+    """M16 over the trained user factors, with each user's demographics (A5)."""
+    xy = V.project_2d(_model(spark, d).user_factors, id_col="user_id", vec="embedding")
+    people = X.user_demographics(conform_interactions(view(spark, d, "interactions")))
+    placed = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    return people.join(xy, "user_id", "left").select("user_id", "gender", "age", placed.alias("placed"))
+
+
+def _accuracy(spark, recs: DataFrame, relevant: DataFrame, train: DataFrame) -> DataFrame:
+    """E1 to E5 by their definitions in SQL, one row."""
+    return spark.sql(f"""
+WITH hits AS (SELECT r.user_id, count(*) AS n, sum(1 / log2(r.rank + 1)) AS dcg
+              FROM {{recs}} r JOIN {{rel}} v ON v.user_id = r.user_id AND v.artist = r.artist GROUP BY r.user_id),
+per AS (SELECT v.user_id, count(*) AS n_rel, coalesce(any_value(h.n), 0) AS n, coalesce(any_value(h.dcg), 0) AS dcg
+        FROM {{rel}} v LEFT JOIN hits h ON h.user_id = v.user_id GROUP BY v.user_id)
+SELECT count(*) AS n_users, avg(n / {K}) AS precision_at_{K}, avg(n / n_rel) AS recall_at_{K},
+       avg(CASE WHEN n > 0 THEN 1.0D ELSE 0.0D END) AS hit_rate_at_{K},
+       avg(dcg / aggregate(sequence(1, least({K}, CAST(n_rel AS INT))), 0.0D, (a, i) -> a + 1 / log2(i + 1))) AS ndcg_at_{K},
+       (SELECT count(DISTINCT artist) FROM {{recs}}) / (SELECT count(DISTINCT artist) FROM {{train}}) AS coverage
+FROM per""", recs=recs, rel=relevant, train=train)
+
+
+@register("evaluate_model", _TRAIN + """
+SELECT count(*) AS n_users, TRUE AS accuracy_agrees, TRUE AS complete FROM wanted""")
 def q_evaluate_model(spark, d):
-    data = _split(spark, d)
-    cfg = EV.DEFAULT_CONFIGS[2]
-    return EV.evaluate_model(cfg, data, 5, include_serendipity=True, model=_model(spark, d, cfg.als()))
+    data, cfg = _split(spark, d), EV.DEFAULT_CONFIGS[2]
+    model = _model(spark, d, cfg.als())
+    got = EV.evaluate_model(cfg, data, K, include_serendipity=True, model=model)
+    recs = EV.recommend(model, cfg.kind, K, data.relevant.select("user_id"), **cfg.inference())
+    want = _accuracy(spark, recs, data.relevant, data.train)
+    names = [c for c in want.columns if c != "n_users"]
+    agrees = [F.abs(F.col(f"g.{c}") - F.col(f"w.{c}")) < 1e-9 for c in names]
+    complete = [F.col(f"g.{c}").isNotNull() & ~F.isnan(F.col(f"g.{c}").cast("double")) for c in got.columns]
+    # two one-row frames
+    return got.alias("g").crossJoin(want.alias("w")).select(
+        "n_users", F.array_min(F.array(*agrees)).alias("accuracy_agrees"), F.array_min(F.array(*complete)).alias("complete"))
 
 
 @register("compare_models")
@@ -80,11 +158,12 @@ def q_compare_models(spark, d):
     return EV.compare_models(EV.DEFAULT_CONFIGS, df, train_ratio=0.8, k=5, include_serendipity=True)
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", _TRAIN + """
+SELECT CAST(row_number() OVER (ORDER BY artist) - 1 AS INTEGER) AS item_idx, artist, CAST(50 AS INTEGER) AS n_factors
+FROM (SELECT DISTINCT artist FROM train)""")
 def q_model_roundtrip(spark, d):
     m = _model(spark, d)
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/models/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "model")
     save_model(m, path)
     back = load_model(spark, path)
     return back.item_factors.select("item_idx", "artist", F.size("embedding").alias("n_factors"))

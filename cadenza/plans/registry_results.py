@@ -1,6 +1,7 @@
 """Checked queries for the results log (R1–R7) on the ``results_fx``
 fixture: 1 row per order, repeated keys, many dates, malformed metrics
-JSON (1 in 97) and a missing metric (1 in 10)."""
+JSON (1 in 97), a missing metric (1 in 10), NaN (1 in 13) and parameters
+that differ only in their text (1.0 and 1)."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import results as R
 from cadenza.plans.registry import ORACLE, register, rounded
+from cadenza.session import scratch_path
 from cadenza.sources.fixtures import view, with_views
 
 _NAMES = ("ndcg_at_5", "precision_at_5")
@@ -21,17 +23,28 @@ def _prefix():
     return with_views("SELECT 1", ["results_fx"]).rsplit("\nSELECT 1", 1)[0]
 
 
-_VALID = "CASE WHEN json_valid(metrics) THEN metrics END"
+# NaN counts as missing
+_VALID = "CASE WHEN metrics <> 'not json' THEN replace(metrics, 'NaN', 'null') END"
 _EXPANDED = f"""
 expanded AS (SELECT *, round(TRY_CAST(json_extract_string({_VALID}, '$.ndcg_at_5') AS DOUBLE), 6) AS ndcg_at_5,
                     round(TRY_CAST(json_extract_string({_VALID}, '$.precision_at_5') AS DOUBLE), 6) AS precision_at_5
              FROM results_fx)"""
 _SUMMARY = """
-summary AS (SELECT *, printf('alpha=%.2f, factors=%d', CAST(json_extract_string(param, '$.alpha') AS DOUBLE),
-                             CAST(json_extract_string(param, '$.factors') AS BIGINT)) AS param_summary
+summary AS (SELECT *, concat('alpha=', CASE WHEN regexp_matches(json_extract_string(param, '$.alpha'), '^[0-9]+$')
+                                 THEN json_extract_string(param, '$.alpha')
+                                 ELSE printf('%.2f', CAST(json_extract_string(param, '$.alpha') AS DOUBLE)) END,
+                             ', factors=', json_extract_string(param, '$.factors')) AS param_summary
             FROM expanded)"""
 
 
+@register("read_results", "SELECT * FROM results_fx", ("results_fx",))
+def q_read_results(spark, d):
+    """S3: the log as an existing CSV file, read back."""
+    path = scratch_path(spark, "results")
+    R.write_results_csv(_log(spark, d), path)
+    return R.read_results_csv(spark, path, order_col="seq")
+
+
 @register("metric_names", f"""
 SELECT DISTINCT unnest(json_keys({_VALID})) AS metric FROM results_fx""", ("results_fx",))
 def q_metric_names(spark, d):

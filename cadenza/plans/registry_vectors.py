@@ -200,35 +200,72 @@ def q_user_reasons(spark, d):
     return rounded(RS.user_reasons(s, u, top_n=3), "similarity")
 
 
-_WANTED = "wanted AS (SELECT DISTINCT 380 + user_id % 140 AS user_id FROM events)"
+# lists hold scores of 0.4 to 0.99, neighbours similarities of at least 0.35; users beyond
+# the embeddings are unknown: all four statuses occur at every scale factor
+_WANTED = "wanted AS (SELECT DISTINCT (31 * event_id + user_id) % (SELECT CAST(1.2 * count(*) AS BIGINT) FROM embeddings) AS user_id FROM events)"
 
 
-@register("recommend_status", ", " + _TOPN.strip() + f",\n{_WANTED}" + """
+@register("recommend_status", ", " + _TOPN.strip() + f",\n{_WANTED},\n" + _SIM.format(id="user_id", t="user_vecs").strip() + """
 SELECT w.user_id,
        CASE WHEN w.user_id NOT IN (SELECT user_id FROM user_vecs) THEN 'unknown_user'
+            WHEN w.user_id NOT IN (SELECT left_id FROM nbr WHERE rank = 1 AND s >= 0.35) THEN 'no_neighbours'
             WHEN coalesce(r.n, 0) = 0 THEN 'no_candidates' ELSE 'ok' END AS status,
        coalesce(r.n, 0) AS n_recs
-FROM wanted w LEFT JOIN (SELECT user_id, count(*) AS n FROM ranked WHERE rank <= 5 GROUP BY user_id) r
+FROM wanted w LEFT JOIN (SELECT user_id, count(*) AS n FROM ranked WHERE rank <= 5 AND score BETWEEN 0.4 AND 0.99 GROUP BY user_id) r
   ON r.user_id = w.user_id""")
 def q_status(spark, d):
     u, i, s = _v(spark, d)
-    ev = table(spark, d, "events")
-    wanted = ev.select((F.lit(380) + F.col("user_id") % 140).alias("user_id")).distinct()
-    recs = RC.top_n_unseen(u, i, s, 5, users=wanted)
-    return RC.recommend_status(wanted, u, recs)
-
-
-@register("project_2d")
+    n = u.agg((F.lit(1.2) * F.count(F.lit(1))).cast("long")).scalar()
+    wanted = table(spark, d, "events").select(((31 * F.col("event_id") + F.col("user_id")) % n).alias("user_id")).distinct()
+    recs = RC.top_n_unseen(u, i, s, 5, users=wanted).where("score BETWEEN 0.4 AND 0.99")
+    near = RC.similar_users(u, 1, users=wanted).where("similarity >= 0.35")
+    return RC.recommend_status(wanted, u, recs, near)
+
+
+def _top_axis(cov: str, name: str, squarings: int = 13) -> str:
+    """CTEs of the first eigenvector (``<name>_v``) of the symmetric matrix
+    ``cov(i, r)``, its rows being lists: the matrix is squared over and over, scaled
+    by its trace, until only the first axis is left in its rows."""
+    steps, prev = [], cov
+    for k in range(squarings):
+        steps.append(f"""{name}_{k} AS MATERIALIZED (
+SELECT i, list_transform(r, lambda x: x / t) AS r FROM (
+  SELECT a.i, list(list_dot_product(a.r, b.r) ORDER BY b.i) AS r, (SELECT sum(list_dot_product(r, r)) FROM {prev}) AS t
+  FROM {prev} a CROSS JOIN {prev} b GROUP BY a.i))""")
+        prev = f"{name}_{k}"
+    steps.append(f"""{name}_v AS MATERIALIZED (
+SELECT list_transform(r, lambda x: x / n) AS v FROM (
+  SELECT r, sqrt(list_dot_product(r, r)) AS n FROM {prev} ORDER BY r[i] DESC, i LIMIT 1))""")
+    return ",\n".join(steps)
+
+
+# the sign of an axis is free, so both sides return absolute coordinates
+@register("project_2d", """,
+dims AS (SELECT i, list(x ORDER BY item_id) AS r, avg(x) AS m
+         FROM (SELECT item_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM item_vecs) GROUP BY i),
+centred AS MATERIALIZED (SELECT i, list_transform(r, lambda x: x - m) AS r FROM dims),
+cov AS MATERIALIZED (SELECT a.i, list(list_dot_product(a.r, b.r) ORDER BY b.i) AS r
+                     FROM centred a CROSS JOIN centred b GROUP BY a.i),
+""" + _top_axis("cov", "first") + """,
+size1 AS MATERIALIZED (SELECT sum(first_v.v[cov.i] * list_dot_product(cov.r, first_v.v)) AS l FROM cov CROSS JOIN first_v),
+rest AS MATERIALIZED (
+  SELECT i, list(x - l * v[i] * v[j] ORDER BY j) AS r
+  FROM (SELECT i, unnest(r) AS x, generate_subscripts(r, 1) AS j FROM cov) CROSS JOIN first_v CROSS JOIN size1 GROUP BY i),
+""" + _top_axis("rest", "second") + """
+SELECT item_id, genre, round(abs(list_dot_product(embedding, a.v)), 6) AS x,
+       round(abs(list_dot_product(embedding, b.v)), 6) AS y
+FROM item_vecs CROSS JOIN first_v a CROSS JOIN second_v b""")
 def q_project(spark, d):
     _, i, _ = _v(spark, d)
     xy = V.project_2d(i, id_col="item_id", vec="embedding")
-    return xy.join(i.select("item_id", "genre"), "item_id", "left")
+    out = xy.join(i.select("item_id", "genre"), "item_id", "left")
+    return rounded(out.select("item_id", "genre", F.abs("x").alias("x"), F.abs("y").alias("y")), "x", "y")
 
 
 for _n in ("topn_unseen", "candidate_pool", "mmr_rerank", "mmr_recommend", "compare_methods",
            "item_reasons", "recommend_status"):
     ORACLE[_n] = _prefix(_VIEWS) + ORACLE[_n]
-for _n in ("similar_items",):
+for _n in ("similar_items", "project_2d"):
     ORACLE[_n] = _prefix(["item_vecs"]) + ORACLE[_n]
 for _n in ("similar_users", "userbased_recommend", "user_reasons"):
     ORACLE[_n] = _prefix(["user_vecs", "seen"]) + ORACLE[_n]

@@ -71,10 +71,13 @@ FROM {part}""",
     "results_fx": """
 SELECT o_orderkey AS seq, o_orderpriority AS data_name, concat('model_', o_orderstatus) AS model_name,
        CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + 1 AS STRING) AS execute_date,
-       concat('{"alpha": 0.', CAST(o_custkey % 3 + 1 AS STRING), ', "factors": ', CAST(10 * (o_custkey % 3 + 1) AS STRING), '}') AS param,
+       concat('{"alpha": ', CASE o_custkey % 7 WHEN 0 THEN '1.0' WHEN 1 THEN '1' WHEN 2 THEN '1e-05' WHEN 3 THEN '2.675'
+              ELSE concat('0.', CAST(o_custkey % 7 AS STRING)) END,
+              ', "factors": ', CAST(10 * (o_custkey % 3 + 1) AS STRING), '}') AS param,
        CASE WHEN o_orderkey % 97 = 0 THEN 'not json' ELSE
          concat('{', CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat('"ndcg_at_5": 0.', lpad(CAST(o_orderkey * 53 % 10000 AS STRING), 4, '0'), ', ') END,
-                '"precision_at_5": 0.', lpad(CAST(o_orderkey * 37 % 10000 AS STRING), 4, '0'), '}') END AS metrics
+                '"precision_at_5": ', CASE WHEN o_orderkey % 13 = 0 THEN 'NaN' ELSE
+                concat('0.', lpad(CAST(o_orderkey * 37 % 10000 AS STRING), 4, '0')) END, '}') END AS metrics
 FROM {orders}""",
 }
 
