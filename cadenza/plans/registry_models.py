@@ -45,6 +45,12 @@ def _model(spark, d, params: ALSParams | None = None, name="interactions"):
     return _MODELS[key]
 
 
+def forget_models() -> None:
+    """Drop the kept splits and fits, so that the next query trains its own (the bench)."""
+    _SPLITS.clear()
+    _MODELS.clear()
+
+
 def _lists(recs: DataFrame, model, by_score: bool) -> DataFrame:
     """Per user what holds for any factors: list length, items already seen in
     train, and whether ranks run 1..n (and scores fall, for lists in score
