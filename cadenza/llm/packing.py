@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, low: int =
     def run(batches):
         words = encoder(tokenizer_path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40, low, high)
-        for batch in small_batches(batches, 1, 3_000_000, 1024):
+        for batch in small_batches(batches, 1, 1_500_000, 1024):
             ids, at = words.encode(batch.column(1), END_ID)
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc, ids[at[i]:at[i + 1]])
