@@ -11,8 +11,10 @@ labelled table below, keeps or drops each block.  The fitted tree (a few
 dozen numbers) travels to the tasks, and pages are handled one by one: one
 pass over the table, no shuffle.
 
-Edge cases: null or empty html gives an empty text; unclosed tags, comments
-and scripts run to the end of the page; repeated pages give repeated rows;
+Edge cases: null or empty html gives an empty text; unclosed comments and
+scripts run to the end of the page, as does a tag with no '>' behind it; stray
+quotes in a tag do not hold it open; the end tag of a head may be missing;
+repeated pages give repeated rows;
 an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -60,13 +62,14 @@ LABELLED = [
     (12, 0.6, 30, 0.0, 10, 0.8, 0, 0, 0), (2, 0.0, 5, 0.0, 3, 0.0, 0, 1, 0), (40, 0.95, 3, 1.0, 5, 1.0, 0, 0, 0),
 ]
 
-# Tags that end a block, and those whose text is never shown
+# Tags that end a block, and those whose text is never shown (head is not one: what it may hold is,
+# and any other tag or text ends it, with or without its end tag)
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select "
+_HIDDEN = frozenset("script style noscript noframes template svg math iframe object canvas title textarea select "
                     "audio video map".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
@@ -79,8 +82,13 @@ _FURNITURE_NAMES = re.compile(
     r"repl(?:y|ies)|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|signup|login|search|"
     r"popup|modal|overlay|widgets?|pagination|pager|toolbar|alert|toast|skip|outbrain|taboola|teasers?)")
 _ARTICLE_NAMES = re.compile(r"(?:article|post|entry|story|content|main)(?:body|content|text)?")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
+# quotes count only around a value; a quoted value with a '>' must be followed by what may follow one, else its
+# quote was never closed, is read as a plain character, and the tag ends at its next '>'
+_TAG = re.compile(
+    r"""</?([a-zA-Z][^\s/>]*+)((?>[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+"""
+    r"""(?>"[^">]*+"|"[^"]*+"(?=[\s/>])|'[^'>]*+'|'[^']*+'(?=[\s/>])|[^\s"'>][^\s>]*+))?)*+)>""")
+_BROKEN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 
 
 def _region(tag: str, attributes: str, around: float) -> float | None:
@@ -90,7 +98,7 @@ def _region(tag: str, attributes: str, around: float) -> float | None:
     if tag in _FURNITURE_TAGS or tag == "header" and around != ARTICLE:
         return FURNITURE
     found = ARTICLE if tag in ("article", "main") else None
-    if not attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "head", "body"):
         return found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -150,9 +158,11 @@ def blocks(page: str) -> list[tuple[str, int, float, float, float]]:
             at = end if stop < 0 else stop + 1
             continue
         m = _TAG.match(page, lt)
-        if not m:
-            if re.match(r"</?[a-zA-Z]", page[lt:lt + 3]):
+        if not m and re.match(r"</?[a-zA-Z]", page[lt:lt + 3]):
+            m = _BROKEN_TAG.match(page, lt)
+            if not m:
                 break  # a tag cut off by the end of the page
+        if not m:
             parts.append(("<", links > 0))
             at = lt + 1
             continue

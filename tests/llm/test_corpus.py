@@ -346,6 +346,21 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", [
+    '<head><title>T</title><style>p{}</style>', '<html><head><meta charset="utf-8"><title>T</title><body>',
+    '<img alt="5" tall">', "<img alt='5' tall'>", '<img alt="5 tall>', '<img alt="5 tall><a href="x"></a>',
+    '<p title="5 > 4 <b>">', '<p title=it\'s>', '<p title = "a" =>', '<img alt="5 tall>" '])
+def test_html_reads_on(start):
+    page = start + '<article><p>A first line with some words.<p class="x">He said "yes" to it, \'no\' too.</article>'
+    found = [b[0] for b in html_extract.blocks(page)]
+    assert found[-2:] == ["A first line with some words.", "He said \"yes\" to it, 'no' too."]
+    assert found[:-2] in ([], ['"'])
+
+
+def test_html_many_open_quotes():
+    assert len(html_extract.blocks('<p a="' * 3000 + "<p>x" + "<i a='b" * 3000 + ">y")) <= 3002
+
+
 # --- 6, 9: learned ---------------------------------------------------------------------
 
 def test_language(docs, empty):
