@@ -5,8 +5,10 @@ tags, with white space collapsed and character references decoded.  Every
 block gets its word count, its link density (share of its words inside
 links), the same two of the block before and after, whether it is a heading,
 and its region: inside a part marked as page furniture (navigation, header,
-footer, aside, form, advert, notice, comments ...), inside a part marked as
-the article, or neither.  A decision tree, trained by Spark ML on the small
+footer, aside, advert, comments ...), inside a part marked as the article,
+inside a form or a part whose name only suggests furniture (a page may be
+wrapped in one: an article or main element in it is the article again, and
+long running text stays), or none of these.  A decision tree, trained by Spark ML on the small
 labelled table below, keeps or drops each block.  The fitted tree (a few
 dozen numbers) travels to the tasks, and pages are handled one by one: one
 pass over the table, no shuffle.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import small_arrow, small_batches
 
 FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "region", "heading"]
-NEUTRAL, ARTICLE, FURNITURE = 0.0, 1.0, 2.0
+NEUTRAL, ARTICLE, FURNITURE, DOUBTFUL = 0.0, 1.0, 2.0, 3.0
 
 # The labelled blocks.  The features in the order above, then 1 to keep.
 LABELLED = [
@@ -50,6 +52,20 @@ LABELLED = [
     (14, 0.0, 30, 0.0, 20, 0.0, 2, 1, 0), (3, 0.0, 90, 0.0, 25, 0.0, 2, 1, 0), (25, 0.4, 14, 0.5, 11, 0.6, 2, 0, 0),
     (6, 0.0, 80, 0.0, 8, 0.0, 2, 0, 0), (18, 0.0, 2, 0.0, 16, 0.0, 2, 0, 0), (1, 0.0, 3, 0.0, 2, 0.0, 2, 0, 0),
     (70, 0.0, 30, 0.0, 20, 0.0, 2, 0, 0), (2, 0.0, 6, 0.0, 6, 0.0, 2, 1, 0), (200, 0.0, 0, 0.0, 0, 0.0, 2, 0, 0),
+    # a form, or a part with a name like furniture: labels, notices, link lists
+    (1, 1.0, 1, 1.0, 1, 1.0, 3, 0, 0), (9, 0.0, 1, 1.0, 8, 0.0, 3, 0, 0), (45, 0.0, 9, 0.0, 3, 0.5, 3, 0, 0),
+    (3, 0.0, 0, 0.0, 0, 0.0, 3, 0, 0), (25, 0.4, 14, 0.5, 11, 0.6, 3, 0, 0), (14, 0.0, 30, 0.0, 20, 0.0, 3, 1, 0),
+    (18, 0.0, 2, 0.0, 16, 0.0, 3, 0, 0), (2, 0.0, 6, 0.0, 6, 0.0, 3, 1, 0), (40, 0.95, 3, 1.0, 5, 1.0, 3, 0, 0),
+    (6, 0.0, 80, 0.0, 8, 0.0, 3, 0, 0), (70, 0.9, 30, 0.0, 20, 0.0, 3, 0, 0), (5, 1.0, 70, 0.0, 60, 0.0, 3, 0, 0),
+    (30, 0.0, 0, 0.0, 2, 1.0, 3, 0, 0), (3, 0.0, 2, 0.0, 90, 0.0, 3, 0, 0), (120, 0.8, 3, 1.0, 2, 0.0, 3, 0, 0),
+    (4, 0.0, 3, 1.0, 5, 1.0, 3, 1, 0), (2, 0.0, 1, 1.0, 2, 1.0, 3, 1, 0), (3, 0.0, 0, 0.0, 12, 0.0, 3, 1, 0),
+    # ... but long running text there, its headings, short lines between it
+    (60, 0.0, 8, 0.0, 75, 0.0, 3, 0, 1), (120, 0.05, 60, 0.0, 80, 0.1, 3, 0, 1), (250, 0.0, 30, 0.0, 9, 0.2, 3, 0, 1),
+    (150, 0.1, 8, 0.0, 3, 0.5, 3, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 3, 0, 1), (65, 0.0, 4, 0.0, 2, 1.0, 3, 0, 1),
+    (12, 0.0, 70, 0.0, 90, 0.0, 3, 0, 1), (25, 0.1, 80, 0.0, 75, 0.0, 3, 0, 1), (5, 0.0, 70, 0.0, 95, 0.0, 3, 1, 1),
+    (7, 0.0, 2, 0.0, 85, 0.0, 3, 1, 1), (4, 0.0, 1, 1.0, 120, 0.0, 3, 1, 1), (30, 0.0, 90, 0.0, 70, 0.0, 3, 0, 1),
+    (2, 0.0, 1, 1.0, 90, 0.0, 3, 1, 1), (3, 0.0, 5, 1.0, 70, 0.0, 3, 1, 1), (9, 0.0, 0, 0.0, 60, 0.0, 3, 1, 1),
+    (2, 0.0, 3, 1.0, 80, 0.1, 3, 1, 1), (6, 0.0, 9, 0.2, 110, 0.0, 3, 1, 1), (4, 0.0, 20, 0.0, 75, 0.0, 3, 1, 1),
     # no marked part: running text, its headings, short lines between running text
     (40, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1), (80, 0.05, 40, 0.0, 30, 0.0, 0, 0, 1), (25, 0.1, 60, 0.0, 4, 1.0, 0, 0, 1),
     (150, 0.1, 8, 0.0, 3, 0.5, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (6, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1),
@@ -72,15 +88,24 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HIDDEN = frozenset("script style noscript noframes template svg math iframe object canvas title textarea select "
                     "audio video map".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_FURNITURE_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
+_FURNITURE_TAGS = frozenset("nav aside footer menu dialog button".split())
+_DOUBTFUL_TAGS = frozenset("form fieldset".split())
 _ROLES = {"navigation": FURNITURE, "banner": FURNITURE, "contentinfo": FURNITURE, "complementary": FURNITURE,
-          "search": FURNITURE, "form": FURNITURE, "dialog": FURNITURE, "alert": FURNITURE, "menu": FURNITURE,
+          "search": FURNITURE, "form": DOUBTFUL, "dialog": FURNITURE, "alert": FURNITURE, "menu": FURNITURE,
           "main": ARTICLE, "article": ARTICLE}
-_FURNITURE_NAMES = re.compile(
-    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|masthead|topbar|footer|side-?bar\w*|"
-    r"breadcrumbs?|cookies?|consent|gdpr|notices?|disclaimer|legal|copyright|comments?|commentlist|disqus|respond|"
-    r"repl(?:y|ies)|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|signup|login|search|"
-    r"popup|modal|overlay|widgets?|pagination|pager|toolbar|alert|toast|skip|outbrain|taboola|teasers?)")
+# names are matched whole: one word of furniture, or several with words of place and kind; other readers' words and
+# links to other pages are furniture for certain, in nested articles too
+_CERTAIN_NAME = (r"(?:ads?|advert\w*|sponsor\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|related|recommend\w*|"
+                 r"outbrain|taboola|teasers?|breadcrumbs?|pagination|pager|nav|navbar|navigation|footer|masthead|topbar)")
+_FURNITURE_NAME = (
+    rf"(?:{_CERTAIN_NAME}|promo\w*|banner\w*|nav\w*|menu\w*|side-?bar\w*|cookies?|consent|gdpr|notices?|disclaimer|"
+    r"legal|copyright|discussion|share|sharing|social|newsletter|subscri\w+|signup|login|search|popup|modal|overlay|"
+    r"widgets?|toolbar|alert|toast|skip)")
+_PLACE = (r"(?:site|page|global|main|top|bottom|left|right|primary|secondary|first|second|wrapper|wrap|inner|outer|"
+          r"container|box|bar|area|section|block|region|list|items?|links?|posts?|article|entry|the|header|head|form|"
+          r"panel|group|row|title|text|body|content|meta|message|buttons?|icons?|[a-z]|\d+)")
+_CERTAIN, _FURNITURE_NAMES = (re.compile(rf"(?:{_PLACE}[-_]+)*{n}(?:[-_]+(?:{_FURNITURE_NAME}|{_PLACE}))*")
+                              for n in (_CERTAIN_NAME, _FURNITURE_NAME))
 _ARTICLE_NAMES = re.compile(r"(?:article|post|entry|story|content|main)(?:body|content|text)?")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 # quotes count only around a value; a quoted value with a '>' must be followed by what may follow one, else its
@@ -97,30 +122,36 @@ def _region(tag: str, attributes: str, around: float) -> float | None:
         return None
     if tag in _FURNITURE_TAGS or tag == "header" and around != ARTICLE:
         return FURNITURE
-    found = ARTICLE if tag in ("article", "main") else None
+    found = ARTICLE if tag in ("article", "main") else DOUBTFUL if tag in _DOUBTFUL_TAGS else None
     if not attributes or tag in ("html", "head", "body"):
         return found
+    given = {}
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        given.setdefault(name.lower(), value.strip("\"'").lower())
+    if "hidden" in given or given.get("aria-hidden") == "true":
+        return FURNITURE
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
+        return FURNITURE
+    role = _ROLES.get(given.get("role", ""))
+    if role == FURNITURE:
+        return FURNITURE
+    found = found if role is None else role
+    # an article in an article is a comment or a link to another page if its name says so
+    exempt = found == ARTICLE and (tag != "article" or around != ARTICLE)
+    names = [(word, re.split(r"[-_]+", word)) for word in f"{given.get('class', '')} {given.get('id', '')}".split()]
+    names = [(word, parts) for word, parts in names if parts[0] not in ("has", "with", "no", "is")]
+    if not exempt:
+        if any(_CERTAIN.fullmatch(word) for word, _ in names):
             return FURNITURE
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if found is None and any(_FURNITURE_NAMES.fullmatch(word) for word, _ in names):
+            found = DOUBTFUL
+        if any("header" in parts and "article" not in parts for _, parts in names) and ARTICLE not in (around, found):
             return FURNITURE
-        if name == "role" and value in _ROLES:
-            if _ROLES[value] == FURNITURE:
-                return FURNITURE
-            found = ARTICLE
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if parts[0] in ("has", "with", "no", "is"):
-                    continue
-                if any(_FURNITURE_NAMES.fullmatch(p) for p in (word, *parts)) and tag != "main":
-                    return FURNITURE
-                if "header" in parts and around != ARTICLE and found != ARTICLE and "article" not in parts:
-                    return FURNITURE
-                if any(_ARTICLE_NAMES.fullmatch(p) for p in (word, parts[-1])):
-                    found = ARTICLE
+    if found is None:
+        for word, parts in names:
+            if _ARTICLE_NAMES.fullmatch(word) or around != DOUBTFUL and _ARTICLE_NAMES.fullmatch(parts[-1]) \
+                    or _ARTICLE_NAMES.fullmatch("".join(parts)):
+                return ARTICLE
     return found
 
 

@@ -361,6 +361,37 @@ def test_html_many_open_quotes():
     assert len(html_extract.blocks('<p a="' * 3000 + "<p>x" + "<i a='b" * 3000 + ">y")) <= 3002
 
 
+LONG = " ".join(f"Running text of the page that has enough words for a whole paragraph, number {i}." for i in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="post category-legal tag-social"><h2>T u</h2><p>{}<p>Short one.</article>',
+    '<article class="legal"><h2>T u</h2><p>{}<p>Short one.</article>',
+    '<div class="layout-with-sidebar"><article><h2>T u</h2><p>{}<p>Short one.</article></div>',
+    '<div class="elementor-widget-container"><main><h2>T u</h2><p>{}<p>Short one.</main></div>',
+    '<form id="aspnetForm"><div role="main"><h2>T u</h2><p>{}<p>Short one.</div><p>Sign up</form>',
+    '<div class="widget"><article class="social"><h2>T u</h2><p>{}<p>Short one.</article></div>',
+    '<form><div id="main-content"><h2>T u</h2><p>{}<p>Short one.</div></form>'])
+def test_html_names_and_wrappers_keep_the_article(spark, page):
+    tree = html_extract.fit_tree(spark)
+    assert html_extract.main_text(page.format(LONG), tree)[0] == f"T u\n{LONG}\nShort one."
+
+
+@pytest.mark.parametrize("wrapper", ["form", "div class=overlay", "div class=layout-with-sidebar", "div id=content-sidebar-wrap",
+                                     "div class=elementor-widget-container", "section class=widget"])
+def test_html_running_text_in_wrappers(spark, wrapper):
+    tree = html_extract.fit_tree(spark)
+    page = f"<{wrapper}><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><h2>T u</h2><p>{LONG}<p>{LONG}<p>Name</{wrapper.split()[0]}>"
+    assert html_extract.main_text(page, tree)[0] == f"T u\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "site-footer", "related-posts", "ad", "top-ad-banner", "main-navigation"])
+def test_html_furniture_names(spark, name):
+    tree = html_extract.fit_tree(spark)
+    page = f"<article><p>{LONG}</article><div class={name}><article><p>{LONG}</article><p>Some more of it.</div>"
+    assert html_extract.main_text(page, tree)[0] == LONG
+
+
 # --- 6, 9: learned ---------------------------------------------------------------------
 
 def test_language(docs, empty):
