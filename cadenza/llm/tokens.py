@@ -6,7 +6,10 @@ white space and parts letters from other characters.  So a text's ids are the
 concatenated ids of its pieces: a white-space-delimited word, or, where a word
 is letters followed by punctuation, those two.  A batch is cut into words by
 Arrow, each distinct word into its pieces, each new piece is encoded by the
-``tokenizers`` library and remembered, and the ids are gathered with numpy."""
+``tokenizers`` library and remembered, and the ids are gathered with numpy.
+The file's added tokens (<|endoftext|>, <|startoftext|>) found in a text are
+one id each, as in a plain call of the library; a word that holds one is a
+single piece."""
 
 from __future__ import annotations
 
@@ -29,7 +32,6 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
-        self._tok.encode_special_tokens = True
         self._max = max_pieces
         # piece 0 is empty
         self._index: dict[str, int] = {"": 0}

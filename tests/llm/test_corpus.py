@@ -78,6 +78,23 @@ def test_word_encoder_equals_whole_texts():
             assert [ids[at[i]:at[i + 1]].tolist() for i in range(len(part))] == [_whole_ids(t) for t in part]
 
 
+SPECIAL = ["a <|endoftext|> b", "word<|endoftext|>word", "x.<|startoftext|>, y<|endoftext|", "<|endoftext|>",
+           "<|endoftext|><|startoftext|>", "É<|endoftext|>É's <|EndOfText|> <| endoftext|>", "<<|endoftext|>> 1<|startoftext|>2"]
+
+
+def test_special_tokens_in_texts(spark):
+    enc = tokens.WordEncoder(registry.tokenizer_path())
+    ids, at = enc.encode(pa.array(SPECIAL, pa.string()))
+    assert ids[at[0]:at[1]].tolist() == [320, 49407, 321, 1]
+    assert [ids[at[i]:at[i + 1]].tolist() for i in range(len(SPECIAL))] == [_whole_ids(t) for t in SPECIAL]
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    rows = [np.array(_whole_ids(t), "<u4") for t in SPECIAL]
+    found = token_files.token_files(df, registry.tokenizer_path()).collect()
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in found} == {
+        i: (sum(map(len, rows[:i])), len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(rows)}
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(df, registry.tokenizer_path()).collect()} == dict(enumerate(map(len, rows)))
+
+
 def test_best_fill_is_best():
     rng = random.Random(3)
     for _ in range(60):
