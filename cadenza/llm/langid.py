@@ -5,8 +5,10 @@ character bigrams and trigrams are counted in ``DIM`` hashed buckets.  Counts
 are damped (log(1 + n)), weighted by inverse document frequency and
 normalised.  Each language has several centroids (spherical k-means over its
 training vectors); a text gets the language of the centroid with the highest
-cosine, and is rejected when that cosine is far below what training texts of
-about its length reach.
+cosine, and is rejected when that cosine is far below what texts of that
+language and of about its length reach.  The rule is the same for all lengths:
+for every length class texts are made from the training rows of a language, by
+thinning the n-gram counts of longer rows and adding up those of shorter ones.
 
 Training.  Each language gives at most ``PER_LANG`` rows, all languages
 together at most ``TOTAL`` (documented bounds; the rows are those with the
@@ -30,10 +32,10 @@ from cadenza.llm.common import small_arrow, small_batches
 
 DIM = 4096
 PER_LANG, TOTAL, CENTROIDS, ROUNDS = 400, 4000, 4, 8
-# a cosine below this share of the lowest of the training texts of its length is rejected
-REJECT = 0.6
-# ... but texts under 2 ** SHORT n-grams, or of a length with fewer training texts than ENOUGH, never are
-SHORT, ENOUGH = 7, 20
+# a cosine below this share of a low quantile of its language's training texts of its length is rejected
+REJECT, QUANTILE = 0.4, 0.05
+# that many texts of each length class are made from a language's training rows, whatever lengths those have
+MADE = 60
 UNKNOWN = "und"
 SLICE = (500_000, 128)  # text bytes and rows that are turned into vectors at once
 
@@ -94,7 +96,7 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
 
 class Model:
     """Inverse document frequencies, centroids (unit rows) with the language
-    of each, and the lowest accepted cosine by length class."""
+    of each, and the lowest accepted cosine by language and length class."""
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.names = sorted(set(langs))
@@ -107,12 +109,29 @@ class Model:
             self.lang += [k] * len(found)
         self.lang = np.array(self.lang)
         self.centroids = np.concatenate(centroids).T.astype(np.float32)
-        best, classes = self.cosines(x).max(axis=1), _bucket(counts)
+        self.floor = np.stack([self._floors(counts[y == k]) for k in range(len(self.names))])
+
+    def _floors(self, rows: np.ndarray) -> np.ndarray:
+        """The lowest accepted cosine of one language's texts by length class."""
+        rng = np.random.default_rng(1)
+        total = rows.sum(axis=1)
         floor = np.zeros(32)
-        for b in range(SHORT, 32):
-            if (classes == b).sum() >= ENOUGH:
-                floor[b] = REJECT * best[classes == b].min()
-        self.floor = floor
+        for b in range(1, 32):
+            if b > 24:  # beyond that many n-grams the cosine no longer changes
+                floor[b] = floor[24]
+                continue
+            made = []
+            for k in rng.integers(len(rows), size=MADE):
+                # the class starts at 2 ** b - 1 n-grams; a text too short for it goes on with others
+                n, x, size = 1 << b, rows[k], total[k]
+                if size < n:
+                    more = rng.integers(len(rows), size=min(64, int(n // max(1, total.mean())) + 1))
+                    x = x + rows[more].sum(axis=0)
+                    size = x.sum()
+                made.append(rng.binomial(x.astype(np.int64), min(1.0, n / max(1, size))))
+            best = self.cosines(self.vectors(np.array(made, float))).max(axis=1)
+            floor[b] = REJECT * np.quantile(best, QUANTILE)
+        return floor
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
@@ -143,7 +162,7 @@ class Model:
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(texts)), best].astype(float), 0, 1)
         lettered = has_letter(texts)
-        rejected = ~lettered | (score < self.floor[_bucket(counts)])
+        rejected = ~lettered | (score < self.floor[self.lang[best], _bucket(counts)])
         lang = [self.names[self.lang[b]] if ok else UNKNOWN for b, ok in zip(best, lettered)]
         return lang, np.where(lettered, score, 0.0), rejected
 

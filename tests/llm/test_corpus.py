@@ -435,6 +435,19 @@ def test_language_held_out_accuracy(spark, sf_small):
     assert r[0] > 0.9
 
 
+def test_language_rejects_unlearned_at_all_lengths():
+    rng = random.Random(3)
+    learned = {"en": EN, "fr": FR}
+    fi = "yksi kaksi kolme neljä viisi kuusi seitsemän kahdeksan yhdeksän kymmenen hyvää päivää".split()
+    rows = [(k, _prose(w, n, rng)) for k, w in learned.items() for n in (40, 80, 120, 200, 300) for _ in range(12)]
+    model = langid.Model([k for k, _ in rows], langid.features([t for _, t in rows]))
+    for n in (4, 8, 15, 60, 200, 1000, 5000, 30_000):
+        assert model.predict([_prose(fi, n, rng) for _ in range(5)])[2].all(), n
+        for k, w in learned.items():
+            lang, _, rejected = model.predict([_prose(w, n, rng) for _ in range(5)])
+            assert lang == [k] * 5 and not rejected.any(), (k, n)
+
+
 def test_toxicity_grammar():
     assert toxicity.clause_events("oIo") == "I" and toxicity.clause_events("ToI") == "A"
     assert toxicity.clause_events("NoI") == "i" and toxicity.clause_events("NooooI") == "I"
