@@ -257,10 +257,13 @@ def block_features(found: list[tuple]) -> list[tuple[float, ...]]:
 def fit_tree(spark: SparkSession, depth: int = 8) -> list[tuple[int, float, int, int, int]]:
     """Train on the labelled table; the nodes as (feature or -1, threshold,
     left, right, label), the root first."""
-    rows = spark.createDataFrame([tuple(map(float, r)) for r in LABELLED], [*FEATURES, "label"]).coalesce(1)
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(data)
-    nodes: list[tuple] = []
+    nodes: list[tuple] = [()]
+
+    def learn(labelled: list[tuple]) -> int:
+        rows = spark.createDataFrame([tuple(map(float, r)) for r in labelled], [*FEATURES, "label"]).coalesce(1)
+        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+        model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(data)
+        return walk(model._java_obj.rootNode())
 
     def walk(node) -> int:
         at = len(nodes)
@@ -273,7 +276,10 @@ def fit_tree(spark: SparkSession, depth: int = 8) -> list[tuple[int, float, int,
             nodes[at] = (split.featureIndex(), split.threshold(), left, right, 0)
         return at
 
-    walk(model._java_obj.rootNode())
+    # the doubtful region has a tree of its own, so that its rows do not move the thresholds of the others
+    at = FEATURES.index("region")
+    left, right = learn([r for r in LABELLED if r[at] != DOUBTFUL]), learn([r for r in LABELLED if r[at] == DOUBTFUL])
+    nodes[0] = (at, (FURNITURE + DOUBTFUL) / 2, left, right, 0)
     return nodes
 
 
