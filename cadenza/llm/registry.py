@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import (decontaminate, html_extract, langid, linededup, minhash, packing, quality, secret_scan,
-                         token_files, toxicity)
+from cadenza.llm import (decontaminate, filter_audit, fim, html_extract, langid, linededup, minhash, packing, quality,
+                         secret_scan, sketch, token_files, toxicity)
 from cadenza.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -85,3 +85,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removed_lines(table(spark, sf_dir, "documents")).drop("h")
+
+
+@query(fim.ORACLE)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+@query(filter_audit.ORACLE)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query(sketch.ORACLE)
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
