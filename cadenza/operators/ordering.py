@@ -5,7 +5,9 @@ task.  With a limit (``row_number() <= k``) Spark inserts a partial
 ``WindowGroupLimit`` before the shuffle, so that is bounded; without a
 limit a key holding a third of the table becomes one straggler task.
 
-``rank_within`` sorts globally instead: range partitioning by
+``rank_within`` first counts the rows of each key (a partial aggregate over
+the key column alone).  Keys of up to ``hot_rows`` rows go through the window.
+The rows of larger keys are sorted globally instead: range partitioning by
 ``(key, order...)`` splits a hot key over many partitions.  Each row's
 position is its ``monotonically_increasing_id`` minus the first id of its
 key in the same partition, plus the rows of that key in earlier
@@ -21,12 +23,27 @@ from pyspark.sql import functions as F
 
 from cadenza.session import ensure_checkpoint_dir
 
+# rows of a key that one task ranks with ease
+HOT_ROWS = 100_000
+
 
 def rank_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "rank",
-                dtype: str = "int") -> DataFrame:
+                dtype: str = "int", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` as ``rank_col``
-    (int), computed without collecting any key into a single task.  A null
-    key is a group of its own, as in a window."""
+    (int), computed without collecting any key of more than ``hot_rows`` rows
+    into a single task.  A null key is a group of its own, as in a window."""
+    ensure_checkpoint_dir(df.sparkSession)
+    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = large.select(F.col(key).alias("_hot")).checkpoint(eager=True)
+    ranked = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast(dtype).alias(rank_col)
+    if hot.isEmpty():
+        return df.select(*df.columns, ranked)
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    cold = df.join(hot, same, "left_anti").select(*df.columns, ranked)
+    return cold.unionByName(_rank_sorted(df.join(hot, same, "left_semi"), key, order, rank_col, dtype))
+
+
+def _rank_sorted(df: DataFrame, key: str, order: list[Column], rank_col: str, dtype: str) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     # null-safe join columns: a null flag and the key as text
     jk = [F.col(key).isNull().alias("_knull"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k")]
@@ -44,11 +61,15 @@ def rank_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "r
     return tagged.join(offsets, keys).select(*df.columns, rank.alias(rank_col))
 
 
+def rank_all(df: DataFrame, order: list[Column], rank_col: str = "rank") -> DataFrame:
+    """``row_number() OVER (ORDER BY order)`` as a long, without sending all rows to one task."""
+    return _rank_sorted(df.withColumn("_one", F.lit(0)), "_one", order, rank_col, "long").drop("_one")
+
+
 def dense_index(df: DataFrame, col: str, idx_col: str) -> DataFrame:
     """0-based position of each distinct non-null value of ``col`` in
-    ascending order, as a long.  Same mechanism as ``rank_within`` with a
-    single key: a range sort plus per-partition offsets, all JVM-side, no
-    label list through the driver or Python."""
-    values = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(0))
-    ranked = rank_within(values, "_one", [F.col(col).asc()], "_pos", dtype="long")
+    ascending order, as a long: a range sort plus per-partition offsets, all
+    JVM-side, no label list through the driver or Python."""
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    ranked = rank_all(values, [F.col(col).asc()], "_pos")
     return ranked.select(col, (F.col("_pos") - 1).alias(idx_col))

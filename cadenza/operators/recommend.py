@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.prepare import interaction_triples
 from cadenza.session import ensure_checkpoint_dir
+from cadenza.operators.pruned import topk_pruned
 from cadenza.operators.vectors import padded, similar, topk, whole_groups
 
 
@@ -35,12 +36,14 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame, user_col: str = "user_i
 
 def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None, n: int = 5,
                  users: DataFrame | None = None, user_col: str = "user_id", item_col: str = "item_id",
-                 vec_col: str = "embedding", block_size: int | None = None) -> DataFrame:
+                 vec_col: str = "embedding", block_size: int | None = None, pruned: bool = False) -> DataFrame:
     """M4: the ``n`` highest dot-product items per user among items the user
     has not seen; fewer when the catalogue runs out.
 
     ``seen`` is ``(user, item)``; ``users`` optionally restricts who gets a
-    list.  Result: ``user, rank, item, score``.
+    list.  ``pruned`` takes the plan that stops at each user's bound
+    (``operators.pruned``): the same lists, no copy of a user, little work where
+    item vectors differ in length.  Result: ``user, rank, item, score``.
     """
     _check(n)
     left = user_vecs.select(user_col, vec_col)
@@ -52,8 +55,9 @@ def top_n_unseen(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | N
             # only the wanted users' seen pairs travel to the block groups
             seen = seen.join(left.select(user_col), user_col, "left_semi")
         ex = seen.select(F.col(user_col).alias("left_id"), F.col(item_col).alias("right_id"))
-    out = topk(left, item_vecs.select(item_col, vec_col), n, left_id=user_col, right_id=item_col,
-               left_vec=vec_col, right_vec=vec_col, exclude=ex, block_size=block_size)
+    names = dict(left_id=user_col, right_id=item_col, left_vec=vec_col, right_vec=vec_col, exclude=ex)
+    items = item_vecs.select(item_col, vec_col)
+    out = topk_pruned(left, items, n, **names).lists if pruned else topk(left, items, n, block_size=block_size, **names)
     return out.select(F.col("left_id").alias(user_col), F.col("rank").cast("int").alias("rank"),
                       F.col("right_id").alias(item_col), "score")
 

@@ -1,23 +1,27 @@
 """Offline evaluation: E17 evaluate_model, E18 compare_models, the flagship.
 
-A model is an ALS factor model (M1) plus a way of turning factors into
-lists: ``als`` (M4, plain top-n unseen), ``als_mmr`` (M9, pool + MMR) or
-``user_based`` (M12, neighbour plays).  Lists are made for every user with
-relevant test items in one distributed job (no per-user loop) and scored
-with E16.
+A model is a ``Recommender`` (see ``plans.contract``): any pair of functions that
+trains and that makes lists.  Built in are ALS factors (M1) with three ways of
+turning them into lists, ``als`` (M4, plain top-n unseen), ``als_mmr`` (M9,
+pool + MMR) and ``user_based`` (M12, neighbour plays), and ``popularity``.
+Lists are made for every user with relevant test items in one distributed job (no
+per-user loop) and scored with E16 and any further metrics given.
 
 Everything that is read more than once — the split sides, the relevant
 items, the lists — is checkpointed to the session's checkpoint folder
 (a shared folder on a cluster), so a lost executor never replays the
-split or the blocked scoring, and each config reuses the same inputs.
+split or the scoring, and each config reuses the same inputs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,43 +29,84 @@ from pyspark.sql import types as T
 from cadenza.operators import explore as X
 from cadenza.operators import metrics as M
 from cadenza.operators import recommend as RC
-from cadenza.operators.als import ALSParams, FactorModel, train_als
+from cadenza.operators.als import ALSParams, FactorModel, data_fingerprint, train_als
 from cadenza.operators.prepare import EvaluationData, prepare_evaluation_data
+from cadenza.operators.results import save_results
+from cadenza.plans.contract import Columns, Metric, Recommender, Scored, checked_lists, joined, popularity
 from cadenza.session import ensure_checkpoint_dir
-
-KINDS = ("als", "als_mmr", "user_based")
+from cadenza.sources import commits
 
 # inference parameters and their defaults (fixed values of the source's models)
 INFERENCE_DEFAULTS = {"use_mmr": True, "lambda_param": 0.5, "candidate_pool_size": 20,
                       "n_similar_users": 10}
 
 
+def _inference(params: dict) -> dict:
+    return {**INFERENCE_DEFAULTS, **{k: v for k, v in params.items() if k in INFERENCE_DEFAULTS}}
+
+
 @dataclass(frozen=True)
-class ModelConfig:
-    """One sweep entry: a display name, the list kind and all parameters."""
-    name: str
-    kind: str = "als"
-    params: dict = field(default_factory=dict)
+class _Fit:
+    """An ALS fit and, when configs share one, each user's longest candidate list."""
+    model: FactorModel
+    pool: DataFrame | None = None
+    pool_size: int = 0
 
-    def __post_init__(self):
-        if self.kind not in KINDS:
-            raise ValueError(f"unknown model kind {self.kind!r}; use one of {KINDS}")
-        p = self.inference()
+
+def _als_kind(kind: str) -> Recommender:
+    def train(rows: DataFrame, params: dict, c: Columns) -> _Fit:
+        return _Fit(train_als(rows, ALSParams.from_dict(params), c.user, c.item, c.plays))
+
+    def lists(fit: _Fit, users: DataFrame, k: int, params: dict) -> DataFrame:
+        return recommend(fit.model, kind, k, users, candidates=fit.pool, candidates_size=fit.pool_size,
+                         **_inference(params))
+
+    def share(fit: _Fit, users: DataFrame, k: int, asked: list) -> _Fit:
+        size = max(_pool_size(r.name, k, _inference(p)) for r, p in asked)
+        if size == 0 or len(asked) == 1:
+            return fit
+        return replace(fit, pool=candidate_lists(fit.model, size, users), pool_size=size)
+
+    def check(params: dict) -> None:
+        p = _inference(params)
         if not 0.0 <= float(p["lambda_param"]) <= 1.0:
             raise ValueError("lambda_param must be in [0, 1]")
         if int(p["candidate_pool_size"]) <= 0:
             raise ValueError("candidate_pool_size must be > 0")
         if int(p["n_similar_users"]) < 1:
             raise ValueError("n_similar_users must be >= 1")
-        self.als()
+        ALSParams.from_dict(params)
+
+    return Recommender(kind, train, lists, lambda params: ("als", ALSParams.from_dict(params)), share, check)
+
+
+RECOMMENDERS: dict[str, Recommender] = {r.name: r for r in (*map(_als_kind, ("als", "als_mmr", "user_based")),
+                                                            popularity())}
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    """One sweep entry: a display name, a recommender (one of one's own, or the
+    name of a built-in one) and all parameters."""
+    name: str
+    kind: str | Recommender = "als"
+    params: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if isinstance(self.kind, str) and self.kind not in RECOMMENDERS:
+            raise ValueError(f"unknown model kind {self.kind!r}; use one of {tuple(RECOMMENDERS)} or a Recommender")
+        if self.recommender.check:
+            self.recommender.check(self.params)
+
+    @property
+    def recommender(self) -> Recommender:
+        return RECOMMENDERS[self.kind] if isinstance(self.kind, str) else self.kind
 
     def als(self) -> ALSParams:
         return ALSParams.from_dict(self.params)
 
     def inference(self) -> dict:
-        out = dict(INFERENCE_DEFAULTS)
-        out.update({k: v for k, v in self.params.items() if k in INFERENCE_DEFAULTS})
-        return out
+        return _inference(self.params)
 
     def param_json(self) -> str:
         return json.dumps(self.params, sort_keys=True)
@@ -69,28 +114,27 @@ class ModelConfig:
 
 # the five parameter sets of the source's shipped sweep (fixed values)
 DEFAULT_CONFIGS = (
-    ModelConfig("MusicRecommender", "als",
+    ModelConfig("als", "als",
                 {"alpha": 0.4, "factors": 50, "regularization": 0.1, "iterations": 20}),
-    ModelConfig("MusicRecommender", "als",
+    ModelConfig("als", "als",
                 {"alpha": 0.8, "factors": 50, "regularization": 0.1, "iterations": 20}),
-    ModelConfig("MusicRecommenderMMR", "als_mmr",
+    ModelConfig("als_mmr", "als_mmr",
                 {"alpha": 0.4, "factors": 50, "regularization": 0.1, "iterations": 20,
                  "lambda_param": 0.5, "candidate_pool_size": 20}),
-    ModelConfig("MusicRecommenderMMR", "als_mmr",
+    ModelConfig("als_mmr", "als_mmr",
                 {"alpha": 0.4, "factors": 50, "regularization": 0.1, "iterations": 20,
                  "lambda_param": 0.3, "candidate_pool_size": 20}),
-    ModelConfig("MusicRecommenderMMR", "als_mmr",
+    ModelConfig("als_mmr", "als_mmr",
                 {"alpha": 0.4, "factors": 50, "regularization": 0.1, "iterations": 20,
                  "lambda_param": 0.7, "candidate_pool_size": 20}),
 )
 
 
-def candidate_lists(model: FactorModel, size: int, users: DataFrame | None = None,
-                    block_size: int | None = None) -> DataFrame:
+def candidate_lists(model: FactorModel, size: int, users: DataFrame | None = None) -> DataFrame:
     """The ``size`` best unseen items per wanted user in index space
     (``user_idx, rank, item_idx, score``), checkpointed.  Any top-n list with
     n <= size is its first n rows, and any MMR pool of p <= size items its
-    first p rows (ties break by item id in both), so one blocked top-k
+    first p rows (ties break by item id in both), so one top-k
     serves every list of a sweep that uses the same factors."""
     wanted = None
     if users is not None:
@@ -99,7 +143,7 @@ def candidate_lists(model: FactorModel, size: int, users: DataFrame | None = Non
                              model.item_factors.select("item_idx", "embedding"),
                              model.ratings.select("user_idx", "item_idx"), size, users=wanted,
                              user_col="user_idx", item_col="item_idx", vec_col="embedding",
-                             block_size=block_size).checkpoint(eager=True)
+                             pruned=True).checkpoint(eager=True)
 
 
 def _pool_size(kind: str, n: int, inference: dict) -> int:
@@ -113,14 +157,13 @@ def _pool_size(kind: str, n: int, inference: dict) -> int:
 
 
 def recommend(model: FactorModel, kind: str = "als", n: int = 5, users: DataFrame | None = None,
-              block_size: int | None = None, candidates: DataFrame | None = None,
-              candidates_size: int = 0, **inference) -> DataFrame:
+              candidates: DataFrame | None = None, candidates_size: int = 0, **inference) -> DataFrame:
     """Lists of ``n`` items for the wanted users (all trained users when
     ``users`` is None), in the model's id space: ``user, rank, item, score``.
     Unknown users get no rows (see ``recommend_status``).
 
     ``candidates`` (from ``candidate_lists`` for the same users, holding
-    ``candidates_size`` items per user) replaces the blocked top-k when it
+    ``candidates_size`` items per user) replaces the top-k when it
     is long enough for this list."""
     p = dict(INFERENCE_DEFAULTS)
     p.update(inference)
@@ -136,10 +179,10 @@ def recommend(model: FactorModel, kind: str = "als", n: int = 5, users: DataFram
     reuse = candidates is not None and 0 < need <= candidates_size
     if kind == "als" or (kind == "als_mmr" and not p["use_mmr"]):
         recs = (candidates.where(F.col("rank") <= n) if reuse
-                else RC.top_n_unseen(uf, itf, seen, n, block_size=block_size, **kw))
+                else RC.top_n_unseen(uf, itf, seen, n, pruned=True, **kw))
     elif kind == "als_mmr":
         pool = (candidates.where(F.col("rank") <= need) if reuse
-                else RC.candidate_pool(uf, itf, seen, need, block_size=block_size, **kw))
+                else RC.candidate_pool(uf, itf, seen, need, pruned=True, **kw))
         recs = RC.mmr_rerank(pool, itf, float(p["lambda_param"]), n, "user_idx", "item_idx", "embedding")
     elif kind == "user_based":
         ratings = model.ratings.select("user_idx", "item_idx", F.col("strength").alias("play_count"))
@@ -160,27 +203,38 @@ def _genres(train: DataFrame, item_col: str) -> DataFrame:
 
 
 def evaluate_model(config: ModelConfig, data: EvaluationData, k: int = 5,
-                   include_serendipity: bool = False, model: FactorModel | None = None,
+                   include_serendipity: bool = False, model=None,
                    user_col: str = "user_id", item_col: str = "artist",
-                   plays_col: str = "play_count", candidates: DataFrame | None = None,
-                   candidates_size: int = 0) -> DataFrame:
-    """Train (unless ``model`` is given), recommend ``k`` items for every
-    user with relevant test items, score with E16.  One row of metrics.
+                   plays_col: str = "play_count", metrics: Sequence[Metric] = ()) -> DataFrame:
+    """Train (unless ``model`` holds a fit), recommend ``k`` items for every
+    user with relevant test items, score with E16 and with each of ``metrics``.
+    One row.
 
     The catalogue is the distinct train items; genres come from the train
-    rows; popularity (novelty) from the train plays.  ``candidates`` are
-    shared candidate lists of the relevant users (see ``candidate_lists``).
+    rows; popularity (novelty) from the train plays.
     """
+    columns = Columns(user_col, item_col, plays_col)
     ensure_checkpoint_dir(data.train.sparkSession)
     if model is None:
-        model = train_als(data.train, config.als(), user_col, item_col, plays_col)
+        model = config.recommender.train(data.train, config.params, columns)
+    elif isinstance(model, FactorModel):
+        model = _Fit(model)
     users = data.relevant.select(user_col).distinct()
-    recs = recommend(model, config.kind, k, users, candidates=candidates, candidates_size=candidates_size,
-                     **config.inference()).checkpoint(eager=True)
-    catalog = data.train.select(item_col).distinct()
-    return M.all_metrics(recs, data.relevant, catalog, k, include_serendipity=include_serendipity,
-                         interactions=data.train, genres=_genres(data.train, item_col),
-                         users=users, user_col=user_col, item_col=item_col, plays_col=plays_col)
+    recs = checked_lists(config.recommender.lists(model, users, k, config.params), users, k, columns)
+    return score_lists(recs, data, k, include_serendipity, columns, metrics)
+
+
+def score_lists(recs: DataFrame, data: EvaluationData, k: int, include_serendipity: bool = False,
+                columns: Columns = Columns(), metrics: Sequence[Metric] = ()) -> DataFrame:
+    """E16 of written lists, and each of ``metrics``.  One row."""
+    c = columns
+    users = data.relevant.select(c.user).distinct()
+    catalog = data.train.select(c.item).distinct()
+    own = M.all_metrics(recs, data.relevant, catalog, k, include_serendipity=include_serendipity,
+                        interactions=data.train, genres=_genres(data.train, c.item),
+                        users=users, user_col=c.user, item_col=c.item, plays_col=c.plays)
+    scored = Scored(recs, data.relevant, data.train, users, k, c)
+    return joined([own, *(m(scored) for m in metrics)])
 
 
 def checkpointed_split(df: DataFrame, split_date=None, train_ratio: float = 0.8,
@@ -205,62 +259,100 @@ def checkpointed_split(df: DataFrame, split_date=None, train_ratio: float = 0.8,
     return EvaluationData(data.train, data.test, data.relevant.checkpoint(eager=True))
 
 
+def _config_key(config: ModelConfig, *setting) -> str:
+    """Name of a config's committed result: what it is and what it was run on."""
+    text = json.dumps([config.name, config.recommender.name, config.params, *setting], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
 def compare_models(configs, df: DataFrame, split_date=None, train_ratio: float = 0.8, k: int = 5,
                    include_serendipity: bool = False, results_path: str | None = None,
                    data_name: str = "data", execute_date: str | None = None,
                    user_col: str = "user_id", item_col: str = "artist",
-                   plays_col: str = "play_count") -> DataFrame:
+                   plays_col: str = "play_count", metrics: Sequence[Metric] = (),
+                   sweep_path: str | None = None, concurrent_fits: int = 2) -> DataFrame:
     """Split once, then evaluate every config on the same split.
 
-    Configs that differ only in inference parameters (MMR λ, pool size,
-    neighbours) share one ALS fit and one candidate list per user (the
-    longest any of them needs), so the blocked top-k runs once per fit.  A config that fails is reported with
-    ``status = 'failed: ...'`` and null metrics; the others go on.  With
-    ``results_path`` every result is appended to the results log (S4).
+    Configs whose recommenders name the same fit (for ALS: that differ only in
+    MMR λ, pool size, neighbours) share it and one candidate list per user, so the
+    scoring runs once per fit.  Different fits are independent: up to
+    ``concurrent_fits`` run as Spark jobs at a time.
+
+    Whatever goes wrong in a config (a bad parameter, a lost job, an error in a
+    function given) is reported as ``status = 'failed: ...'`` with null metrics; a
+    failed fit fails its configs; the others go on.
+
+    With ``sweep_path`` each result is committed there as soon as it is known,
+    under a key made of the config, the setting and the rows' fingerprint.  A later
+    call takes committed results as they are, trains only for the others, and
+    tries failed ones again.  Give a function of one's own a new name when it
+    changes: the key knows it by name.  With ``results_path`` every new result is
+    also saved in the results log (S4).
+
     Result: ``model_name, kind, param, status`` and the metric columns.
     """
     spark = df.sparkSession
-    data = checkpointed_split(df, split_date, train_ratio, user_col, item_col, plays_col=plays_col)
     configs = list(configs)
-    fits: dict[ALSParams, FactorModel] = {}
-    pools: dict[ALSParams, tuple[DataFrame, int]] = {}
-    # longest candidate list each fit needs: one blocked top-k per fit
-    need: dict[ALSParams, int] = {}
-    for cfg in configs:
-        try:
-            key = cfg.als()
-            need[key] = max(need.get(key, 0), _pool_size(cfg.kind, k, cfg.inference()))
-        except ValueError:
-            pass
-    users = data.relevant.select(user_col).distinct()
-    rows, names = [], None
-    for cfg in configs:
+    columns = Columns(user_col, item_col, plays_col)
+    got: dict[int, dict] = {}
+    failed: dict[int, str] = {}
+    keys: list[str | None] = [None] * len(configs)
+    if sweep_path:
+        sweep_path = sweep_path.rstrip("/")
+        used = [c for c in (user_col, item_col, plays_col, "interaction_date", "genre") if c in df.columns]
+        setting = [str(split_date), train_ratio, k, include_serendipity, user_col, item_col, plays_col,
+                   [getattr(m, "__qualname__", repr(m)) for m in metrics], data_fingerprint(df, *used)]
+        keys = [_config_key(cfg, *setting) for cfg in configs]
+        done = set(commits.names(spark, sweep_path))
+        got = {i: json.loads(commits.read_text(spark, f"{sweep_path}/{key}.json"))
+               for i, key in enumerate(keys) if f"{key}.json" in done}
+
+    fits: dict = {}
+    for i, cfg in enumerate(configs):
+        if i not in got:
+            try:
+                fits.setdefault(cfg.recommender.key(cfg.params), []).append(i)
+            except Exception as e:
+                failed[i] = f"failed: {type(e).__name__}: {e}"
+
+    def run(data: EvaluationData, group: list[int]) -> None:
         try:
-            key = cfg.als()
-            if key not in fits:
-                fits[key] = train_als(data.train, key, user_col, item_col, plays_col)
-            if key not in pools and need.get(key, 0) > 0:
-                pools[key] = (candidate_lists(fits[key], need[key], users), need[key])
-            cand, size = pools.get(key, (None, 0))
-            # one row of a dozen numbers per config
-            got = evaluate_model(cfg, data, k, include_serendipity, fits[key], user_col, item_col,
-                                 plays_col, candidates=cand, candidates_size=size).first().asDict()
-            names = names or list(got)
-            rows.append((cfg.name, cfg.kind, cfg.param_json(), "ok", got))
-            if results_path:
-                from cadenza.operators.results import save_results
-                save_results(spark, results_path, data_name, cfg.name, cfg.params, got, execute_date)
-        except (ValueError, KeyError, AnalysisException, IllegalArgumentException) as e:
-            # what a bad config raises is reported; anything else is fatal
-            rows.append((cfg.name, cfg.kind, cfg.param_json(), f"failed: {type(e).__name__}: {e}", {}))
-    if configs and names is None:
-        raise RuntimeError("no config succeeded: " + "; ".join(r[3] for r in rows))
-    names = names or []
-    schema = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("kind", T.StringType()),
-                           T.StructField("param", T.StringType()), T.StructField("status", T.StringType())]
+            first = configs[group[0]]
+            users = data.relevant.select(user_col).distinct()
+            learned = first.recommender.train(data.train, first.params, columns)
+            if first.recommender.share:
+                learned = first.recommender.share(learned, users, k, [(configs[i].recommender, configs[i].params)
+                                                                      for i in group])
+        except Exception as e:  # a sweep outlives any one fit
+            failed.update({i: f"failed: {type(e).__name__}: {e}" for i in group})
+            return
+        for i in group:
+            cfg = configs[i]
+            try:
+                # one row of a dozen numbers per config
+                row = evaluate_model(cfg, data, k, include_serendipity, learned, user_col, item_col, plays_col,
+                                     metrics).first().asDict()
+                if sweep_path:
+                    commits.publish_file(spark, f"{sweep_path}/{keys[i]}.json", json.dumps(row))
+                if results_path:
+                    save_results(spark, results_path, data_name, cfg.name, cfg.params, row, execute_date)
+                got[i] = row
+            except Exception as e:
+                failed[i] = f"failed: {type(e).__name__}: {e}"
+
+    if fits:
+        data = checkpointed_split(df, split_date, train_ratio, user_col, item_col, plays_col=plays_col)
+        with ThreadPoolExecutor(max(1, concurrent_fits)) as pool:
+            for job in [pool.submit(inheritable_thread_target(spark)(run), data, group) for group in fits.values()]:
+                job.result()
+
+    names = list(dict.fromkeys(n for i in sorted(got) for n in got[i]))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("model_name", "kind", "param", "status")]
                           + [T.StructField(n, T.DoubleType()) for n in names])
-    return spark.createDataFrame([(a, b, c, s, *[m.get(n) for n in names]) for a, b, c, s, m in rows],
-                                 schema)
+    rows = [(cfg.name, cfg.recommender.name, cfg.param_json(), failed.get(i, "ok"),
+             *(None if got.get(i, {}).get(n) is None else float(got[i][n]) for n in names))
+            for i, cfg in enumerate(configs)]
+    return spark.createDataFrame(rows, schema)
 
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:

@@ -646,3 +646,4 @@ for _n in ("precision_at_k", "recall_at_k", "ndcg_at_k", "hit_rate_at_k", "accur
 from cadenza.plans import registry_vectors  # noqa: E402,F401
 from cadenza.plans import registry_results  # noqa: E402,F401
 from cadenza.plans import registry_models  # noqa: E402,F401
+from cadenza.plans import registry_plugins  # noqa: E402,F401

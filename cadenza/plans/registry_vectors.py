@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions.columns import cosine
+from cadenza.operators import lsh as L
+from cadenza.operators import pruned as PR
 from cadenza.operators import reasons as RS
 from cadenza.operators import recommend as RC
 from cadenza.operators import vectors as V
@@ -31,7 +34,7 @@ _TOPN = """
 scored AS (SELECT u.user_id, i.item_id, list_dot_product(u.embedding, i.embedding) AS score
            FROM user_vecs u CROSS JOIN item_vecs i
            WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = i.item_id)),
-ranked AS (SELECT user_id, item_id, score,
+ranked AS MATERIALIZED (SELECT user_id, item_id, score,
                   CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
            FROM scored)"""
 
@@ -111,7 +114,7 @@ def _mmr_sql(lam: float, n: int, pool: int, as_cte: str | None = None) -> str:
     """Greedy MMR unrolled: one CTE per step (fixed n); ``as_cte`` names the
     final union as one more CTE instead of ending with it."""
     mu = 1.0 - lam
-    parts = [f"pv AS (SELECT r.user_id, r.item_id, r.rank, r.score, iv.embedding AS v FROM ranked r "
+    parts = [f"pv AS MATERIALIZED (SELECT r.user_id, r.item_id, r.rank, r.score, iv.embedding AS v FROM ranked r "
              f"JOIN item_vecs iv ON iv.item_id = r.item_id WHERE r.rank <= {pool})"]
     for step in range(1, n + 1):
         joins = " ".join(f"JOIN s{j} a{j} ON a{j}.user_id = p.user_id" for j in range(1, step))
@@ -119,7 +122,7 @@ def _mmr_sql(lam: float, n: int, pool: int, as_cte: str | None = None) -> str:
         sims = ", ".join(f"list_cosine_similarity(p.v, a{j}.v)" for j in range(1, step))
         maxsim = f"greatest(0.0, {sims})" if sims else "0.0"
         parts.append(
-            f"s{step} AS (SELECT user_id, item_id, rank, score, v FROM ("
+            f"s{step} AS MATERIALIZED (SELECT user_id, item_id, rank, score, v FROM ("
             f"SELECT p.*, row_number() OVER (PARTITION BY p.user_id ORDER BY "
             f"{lam!r} * p.score - {mu!r} * {maxsim} DESC, p.rank) AS rn "
             f"FROM pv p {joins} WHERE {notin}) WHERE rn = 1)")
@@ -262,7 +265,69 @@ def q_project(spark, d):
     return rounded(out.select("item_id", "genre", F.abs("x").alias("x"), F.abs("y").alias("y")), "x", "y")
 
 
-for _n in ("topn_unseen", "candidate_pool", "mmr_rerank", "mmr_recommend", "compare_methods",
+# items weighted by their plays: long vectors for what is played most, as trained factors have
+_WEIGHTED = """
+w AS (SELECT v.item_id, v.embedding, CAST(coalesce(p.plays, 0) AS DOUBLE) * coalesce(p.plays, 0) AS w
+      FROM item_vecs v LEFT JOIN (SELECT item_id, sum(play_count) AS plays FROM seen GROUP BY item_id) p ON p.item_id = v.item_id),
+scored AS MATERIALIZED (SELECT u.user_id, i.item_id, i.w * list_dot_product(u.embedding, i.embedding) AS score,
+                  sqrt(list_dot_product(u.embedding, u.embedding)) AS ul, i.w * sqrt(list_dot_product(i.embedding, i.embedding)) AS il
+           FROM user_vecs u CROSS JOIN w i)"""
+_UNSEEN = "NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = c.user_id AND s.item_id = c.item_id)"
+_PRUNE_BLOCK = 64
+
+
+def _weighted_items(i, s):
+    plays = s.groupBy("item_id").agg(F.sum("play_count").cast("double").alias("plays"))
+    weight = F.coalesce("plays", F.lit(0.0)) * F.coalesce("plays", F.lit(0.0))
+    return i.select("item_id", "embedding").join(plays, "item_id", "left").select(
+        "item_id", F.transform("embedding", lambda x: x * weight).alias("embedding"))
+
+
+@register("topn_pruned", ", " + _WEIGHTED.strip() + f"""
+SELECT user_id, rank, item_id, round(score, 6) AS score FROM (
+  SELECT c.*, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
+  FROM scored c WHERE {_UNSEEN}) WHERE rank <= 10""")
+def q_topn_pruned(spark, d):
+    """M4 by the pruned plan."""
+    u, i, s = _v(spark, d)
+    return rounded(RC.top_n_unseen(u, _weighted_items(i, s), s, 10, pruned=True), "score")
+
+
+@register("pruned_blocks", ", " + _WEIGHTED.strip() + f""",
+placed AS (SELECT item_id, (row_number() OVER (ORDER BY il DESC, item_id) - 1) // {_PRUNE_BLOCK} AS block, il
+           FROM (SELECT DISTINCT item_id, il FROM scored)),
+longest AS (SELECT block, max(il) AS il FROM placed GROUP BY block),
+best AS (SELECT c.user_id, l.block, max(c.score, 10) AS best FROM scored c JOIN placed p USING (item_id)
+         JOIN longest l ON p.block < l.block WHERE {_UNSEEN} GROUP BY c.user_id, l.block),
+met AS (SELECT u.user_id, l.block, l.block = 0 OR coalesce(len(b.best), 0) < 10 OR b.best[10] <= u.ul * l.il * (1 + 1e-9) AS met
+        FROM (SELECT DISTINCT user_id, ul FROM scored) u CROSS JOIN longest l LEFT JOIN best b USING (user_id, block))
+SELECT user_id, CAST(sum(met::INT) AS BIGINT) AS blocks_met, count(*) AS blocks, false AS went_on FROM met GROUP BY user_id""")
+def q_pruned_blocks(spark, d):
+    """How much of the right side each user met: what is left was skipped."""
+    u, i, s = _v(spark, d)
+    return PR.topk_pruned(u, _weighted_items(i, s), 10, left_id="user_id", right_id="item_id", exclude=s,
+                          exclude_left="user_id", exclude_right="item_id", block_rows=_PRUNE_BLOCK).work.withColumnRenamed(
+        "left_id", "user_id")
+
+
+@register("similar_users_lsh", """
+SELECT count(*) AS n_users, 10 * count(*) AS links, TRUE AS recall_reached, TRUE AS exact FROM user_vecs""", ("user_vecs",))
+def q_similar_users_lsh(spark, d):
+    """M11 by signatures, measured against the exact neighbours: nine in ten or
+    more of these are found, and each similarity is the exact one."""
+    u, _, _ = _v(spark, d)
+    found = L.similar_lsh(u, 10, id_col="user_id", copy_cost=16.0).checkpoint(eager=True)
+    exact = V.similar(u, 10, id_col="user_id")
+    got = L.recall(found, exact)
+    vec = u.select("user_id", "embedding")
+    true = (found.join(vec.select(F.col("user_id").alias("left_id"), F.col("embedding").alias("a")), "left_id")
+            .join(vec.select(F.col("user_id").alias("right_id"), F.col("embedding").alias("b")), "right_id"))
+    same = F.min(F.abs(cosine("a", "b") - F.col("similarity")) < 1e-9)
+    sums = true.agg(F.countDistinct("left_id").alias("n_users"), same.alias("exact"))
+    return sums.crossJoin(got).select("n_users", "links", (F.col("recall") >= 0.9).alias("recall_reached"), "exact")
+
+
+for _n in ("topn_unseen", "topn_pruned", "pruned_blocks", "candidate_pool", "mmr_rerank", "mmr_recommend", "compare_methods",
            "item_reasons", "recommend_status"):
     ORACLE[_n] = _prefix(_VIEWS) + ORACLE[_n]
 for _n in ("similar_items", "project_2d"):
