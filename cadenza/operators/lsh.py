@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import normalize
+from cadenza.operators.vectors import whole_groups
 from cadenza.session import ensure_checkpoint_dir
 
 CODE_BITS = 62  # signs taken per band; the first ``bits`` of them make its buckets
@@ -157,26 +158,36 @@ def _depths(codes: DataFrame, setting: Bands, max_bucket: int) -> DataFrame | No
     return found
 
 
-def _bucket_top(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy(np.int64)
-        x = np.vstack(pdf["vec"].to_numpy())
-        kk = min(k, len(ids) - 1)
-        out = []
-        step = max(1, 4_000_000 // len(ids))
-        for c0 in range(0, len(ids) if kk else 0, step):
-            c1 = min(c0 + step, len(ids))
-            s = x[c0:c1] @ x.T
-            s[np.arange(c1 - c0), np.arange(c0, c1)] = -np.inf
-            kth = np.partition(s, len(ids) - kk, axis=1)[:, len(ids) - kk][:, None]
-            above, tie = s > kth, s == kth
-            # ties at the k-th score go to the smallest ids
-            room = kk - above.sum(axis=1)[:, None]
-            r, c = np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= room)))
-            out.append(pd.DataFrame({"left_id": ids[c0 + r], "right_id": ids[c], "similarity": s[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"left_id": [], "right_id": [], "similarity": []}).astype(
-            {"left_id": "int64", "right_id": "int64", "similarity": "float64"})
+def _bucket(ids: np.ndarray, x: np.ndarray, k: int):
+    """Each row's best k others of a bucket: (left ids, right ids, similarities)."""
+    order = np.argsort(ids)
+    ids, x = ids[order], x[order]
+    n, kk = len(ids), min(k, len(ids) - 1)
+    step = max(1, 4_000_000 // n)
+    for c0 in range(0, n, step):
+        c1 = min(c0 + step, n)
+        s = x[c0:c1] @ x.T
+        s[np.arange(c1 - c0), np.arange(c0, c1)] = -np.inf
+        kth = np.partition(s, n - kk, axis=1)[:, n - kk][:, None]
+        above, tie = s > kth, s == kth
+        # ties at the k-th score go to the smallest ids
+        room = kk - above.sum(axis=1)[:, None]
+        r, c = np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= room)))
+        yield ids[c0 + r], ids[c], s[r, c]
+
+
+def _bucket_tops(k: int):
+    """Over a partition's rows sorted by bucket: all buckets of a batch at a time."""
+    def run(batches):
+        for pdf in whole_groups(batches, "bucket"):
+            ids, x = pdf["id"].to_numpy(np.int64), np.vstack(pdf["vec"].to_numpy())
+            bucket = pdf["bucket"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            stops = np.r_[starts[1:], len(bucket)]
+            out = [part for lo, hi in zip(starts.tolist(), stops.tolist()) if hi - lo > 1
+                   for part in _bucket(ids[lo:hi], x[lo:hi], k)]
+            if out:
+                yield pd.DataFrame(dict(zip(("left_id", "right_id", "similarity"), map(np.concatenate, zip(*out)))))
     return run
 
 
@@ -222,8 +233,10 @@ def similar_lsh(vecs: DataFrame, k: int, *, id_col: str = "id", vec: str = "embe
             F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / max_bucket))).otherwise(0)).drop("_n")
     else:
         named = named.withColumn("part", F.lit(0).cast("long"))
-    pairs = named.groupBy("band", "_depth", "key", "part").applyInPandas(
-        _bucket_top(k), "left_id long, right_id long, similarity double")
+    # two buckets of one name would only be compared together
+    bucket = F.xxhash64("band", "_depth", "key", "part")
+    pairs = (named.select(bucket.alias("bucket"), "id", "vec").repartition("bucket").sortWithinPartitions("bucket")
+             .mapInPandas(_bucket_tops(k), "left_id long, right_id long, similarity double"))
     # one shuffle: the pairs that several bands found are folded where the lists are cut
     once = pairs.repartition("left_id").groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id")
