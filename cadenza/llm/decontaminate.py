@@ -12,17 +12,20 @@ aligns the passage around the hits with the item by Smith-Waterman over words
 (vectorised over a slice's passages).  The score is the best local score
 divided by that of a full exact copy, so 1 is a whole copy; edited or
 paraphrased copies lose for each changed, added or missing word.  A document
-with a score of ``MIN_SCORE`` or more is contaminated by the item.
+is contaminated by the item if the score is ``MIN_SCORE`` or more, or if the
+local alignment alone is worth ``LONG_RUN`` equal words, whatever share of a long
+item that is.  Of an item under ``MIN_WORDS`` words only a whole exact copy counts.
 
 The benchmark is the small side: it is cut into blocks of at most
 ``BLOCK_BYTES`` of text by hash, and each block is shipped to the tasks, so
 what is shipped has a fixed bound and a large benchmark takes more passes.
 Documents are never shuffled or paired with one another.
 
-Words are lower-cased and freed of everything but letters and digits.
+Words are lower-cased and freed of everything but letters and digits.  In
+scripts that put no space between words every character is a word.
 
-Edge cases: null or empty texts match nothing; items under ``MIN_WORDS`` words
-are not looked for (too short to tell a leak from chance); a null doc_id or
+Edge cases: null or empty texts match nothing; items under ``N`` words
+are not looked for (one or two words are found in any text); a null doc_id or
 item_id is carried along; repeated rows or items each give their own rows;
 with an empty table on either side nothing matches; other columns are kept
 by ``decontaminate`` and ignored by ``matches``."""
@@ -41,22 +44,72 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import small_arrow, small_batches, word_table
 
 N, WINDOW, MIN_WORDS = 3, 3, 8
-MIN_SCORE = 0.5
+MIN_SCORE, LONG_RUN = 0.5, 30
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _DROP = re.compile(r"[\W_]+")
 _BITS = 20
+# Blocks of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han)
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_KNOWN = 200_000  # words whose hashes a task remembers
+
+
+def _parts(word: str) -> list[str]:
+    """The words that a white-space-delimited word holds: itself, but each
+    character of an unspaced script on its own."""
+    if word.isascii() or not _UNSPACED.search(word):
+        return [word]
+    return [x for x in re.split(f"({_UNSPACED.pattern})", word) if x]
+
+
+def _hash(word: str) -> int:
+    plain = _DROP.sub("", word).lower()
+    return xxhash.xxh3_64_intdigest(plain) if plain else 0
+
+
+class Words:
+    """Hashes of words, remembered within a task."""
+
+    def __init__(self):
+        self._one: dict[str, int] = {}
+        self._many: dict[str, list[int]] = {}
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word of the texts, and each text's first word."""
+        number, distinct, at = word_table(texts)
+        one, many = self._one, self._many
+        if len(one) > _KNOWN:
+            one.clear()
+            many.clear()
+        for w in distinct:
+            if w not in one:
+                found = [_hash(x) for x in _parts(w)]
+                one[w] = found[0] if len(found) == 1 else 0
+                if len(found) > 1:
+                    many[w] = found
+        table = np.fromiter(map(one.__getitem__, distinct), np.uint64, len(distinct))
+        words = table[number]
+        if many and not many.keys().isdisjoint(distinct):
+            apart = [many.get(w, ()) for w in distinct]
+            size = np.fromiter((max(1, len(x)) for x in apart), np.int64, len(apart))
+            starts = np.concatenate([[0], np.cumsum(size)])
+            every = np.zeros(starts[-1], np.uint64)
+            every[starts[:-1]] = table
+            for i, x in enumerate(apart):
+                if x:
+                    every[starts[i]:starts[i + 1]] = x
+            n = size[number]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            words = every[np.repeat(starts[number] - ends[:-1], n) + np.arange(ends[-1])]
+            at = ends[at]
+        real = words != 0
+        return words[real], np.concatenate([[0], np.cumsum(real)])[at]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, and each text's first word."""
-    number, distinct, at = word_table(texts)
-    plain = [_DROP.sub("", w).lower() for w in distinct]
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in plain), np.uint64, len(plain))
-    words = table[number]
-    real = words != 0
-    return words[real], np.concatenate([[0], np.cumsum(real)])[at]
+    return Words()(texts)
 
 
 def grams(words: np.ndarray) -> np.ndarray:
@@ -135,10 +188,17 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple
     return best, start, end
 
 
-def find(texts: pa.Array, index: Index, min_score: float) -> list[tuple[int, int, float, int, int]]:
+def accepted(best: int, length: int, min_score: float) -> bool:
+    """Whether a local score is a leak of an item of ``length`` words."""
+    if length < MIN_WORDS:
+        return best == MATCH * length
+    return best >= min_score * MATCH * length or best >= MATCH * LONG_RUN
+
+
+def find(texts: pa.Array, index: Index, min_score: float, hashes=word_hashes) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, word after the last) of every text and
-    item with a passage that reaches the score; the best passage of each."""
-    words, at = word_hashes(texts)
+    item with an accepted passage; the best passage of each."""
+    words, at = hashes(texts)
     h = grams(words)
     place, seed = index.look_up(h)
     row = np.searchsorted(at, place, side="right") - 1
@@ -169,7 +229,7 @@ def find(texts: pa.Array, index: Index, min_score: float) -> list[tuple[int, int
         best, start, end = smith_waterman([words[a:b] for _, _, a, b in part], [index.items[i] for _, i, _, _ in part])
         for (r, i, a, _), s, x, y in zip(part, best, start, end):
             score = float(s) / (MATCH * len(index.items[i]))
-            if score >= min_score and score > out.get((r, i), (0,))[0]:
+            if accepted(int(s), len(index.items[i]), min_score) and score > out.get((r, i), (0,))[0]:
                 first = a - int(at[r])
                 out[r, i] = (score, first + int(x), first + int(y))
     return [(r, i, *v) for (r, i), v in sorted(out.items())]
@@ -185,7 +245,7 @@ def _blocks(benchmark: DataFrame) -> list[tuple[list, list[np.ndarray]]]:
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
         words, at = word_hashes(pa.array([r.text for r in rows], pa.string()))
         cut = [words[at[i]:at[i + 1]] for i in range(len(rows))]
-        keep = [i for i, w in enumerate(cut) if len(w) >= MIN_WORDS]
+        keep = [i for i, w in enumerate(cut) if len(w) >= N]
         if keep:
             yield [rows[i].item_id for i in keep], [cut[i] for i in keep]
 
@@ -209,9 +269,9 @@ def build(docs: DataFrame, benchmark: DataFrame) -> list[tuple[list, Index]]:
         everything = Index(items, [np.arange(len(w) - N + 1) for w in items])
 
         def count(batches, index=everything):
-            total = np.zeros(len(index.seeds), np.int64)
+            total, hashes = np.zeros(len(index.seeds), np.int64), Words()
             for batch in small_batches(batches, 0):
-                words, at = word_hashes(batch.column(0))
+                words, at = hashes(batch.column(0))
                 place, seed = index.look_up(grams(words))
                 row = np.searchsorted(at, place, side="right") - 1
                 inside = place + N <= at[row + 1]
@@ -240,11 +300,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
         shipped = spark.sparkContext.broadcast((ids, index))
 
         def run(batches, shipped=shipped):
-            ids, index = shipped.value
+            (ids, index), hashes = shipped.value, Words()
             for batch in small_batches(batches, 1):
                 doc = batch.column(0).to_pylist()
                 got = [(doc[r], ids[i], s, a, b, len(index.items[i])) for r, i, s, a, b in
-                       find(batch.column(1), index, min_score)]
+                       find(batch.column(1), index, min_score, hashes)]
                 if got:
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays(
@@ -262,8 +322,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shipped=shipped):
+            hashes = Words()
             for batch in small_batches(batches, text_at):
-                hit = {r for r, *_ in find(batch.column(text_at), shipped.value, min_score)}
+                hit = {r for r, *_ in find(batch.column(text_at), shipped.value, min_score, hashes)}
                 yield batch.filter(pa.array([r not in hit for r in range(len(batch))]))
 
         out = out.mapInArrow(run, docs.schema)

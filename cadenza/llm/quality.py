@@ -9,9 +9,9 @@ removes.
 
 Only built-in column functions; one pass over the documents, no shuffle.
 
-Repeated 3-word windows.  Each window's hash and position are packed into one
-long and sorted; neighbours with equal hashes are compared word by word, so a
-hash collision marks nothing by itself.
+Repeated 3-word windows.  The windows of a text are sorted by a hash, then by
+their words, then by place.  So equal windows are neighbours whatever their
+hashes are, and the words are compared only where hashes are equal.
 
 Edge cases: a null or empty text has no words and fails ``few_words``; a null
 doc_id is carried along; repeated rows give repeated rows; an empty table
@@ -61,7 +61,6 @@ POLICIES = [
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters",
             "n_upper", "n_exclamations"]
-_POSITION = 31  # bits of a word's position in a packed long
 
 
 def _left(text: Column, drop: str) -> Column:
@@ -76,33 +75,32 @@ def measure(docs: DataFrame) -> DataFrame:
         "doc_id", "_t", F.filter(F.split("_t", WS), lambda w: w != "").alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     w, n = F.col("_w"), F.size("_w")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(
-        F.xxhash64(w[i], w[i + 1], w[i + 2]), _POSITION).bitwiseOR(i.cast("long")))
-    packed = F.when(n >= 3, F.sort_array(window)).otherwise(F.array().cast("array<long>"))
+    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
+        F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"),
+        i.alias("at")))
+    windows = F.when(n >= 3, F.sort_array(window)).otherwise(
+        F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,at:int>>"))
     counted = first.select(
-        "doc_id", "_w", packed.alias("_s"),
+        "doc_id", windows.alias("_s"),
         n.cast("long").alias("n_words"), _left(F.col("_t"), WS).alias("word_chars"),
         _left(F.col("_t"), r"[^#*$%&|<>]+").alias("n_symbols"), F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _left(F.col("_t"), r"[^\p{L}]+").alias("n_letters"), _left(F.col("_t"), r"[^\p{Lu}]+").alias("n_upper"),
         _left(F.col("_t"), "[^!]+").alias("n_exclamations"))
     s = F.col("_s")
-    low = F.lit((1 << _POSITION) - 1).cast("long")
 
     def same(x: Column, y: Column) -> Column:
-        p, q = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-        return ((F.shiftrightunsigned(x, _POSITION) == F.shiftrightunsigned(y, _POSITION))
-                & (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2]))
+        return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
     def repeated(x: Column, i: Column) -> Column:
         before = (i > 0) & same(x, F.get(s, i - 1))
         after = (i < F.size(s) - 1) & same(x, F.get(s, i + 1))
         return F.coalesce(before | after, F.lit(False))
 
-    at = F.sort_array(F.transform(F.filter(s, repeated), lambda x: x.bitwiseAND(low)))
-    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+    at = F.sort_array(F.transform(F.filter(s, repeated), lambda x: x["at"]))
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(at, start, lambda a, p: F.struct(
-        p.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n")), lambda a: a["n"])
+        p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
     return counted.withColumn("n_repeat_words", covered).select("doc_id", *MEASURES)
 
 
