@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import cosine, safe_div
-from cadenza.operators.ordering import rank_within
+from cadenza.operators.ordering import rank_within, spread_join
 from cadenza.operators.prepare import interaction_triples
 from cadenza.session import ensure_checkpoint_dir
 
@@ -65,10 +65,8 @@ def _filter_items(df: DataFrame, names, item_col: str) -> DataFrame:
         # size unknown: a plain semi join; AQE broadcasts it when it is small
         wanted = names.select(F.trim(F.col(names.columns[0])).alias(item_col)).distinct()
         return df.join(wanted, item_col, "left_semi")
-    wanted = _wanted(names)
-    # one plan for any length: Spark knows the local list's size and picks the join
-    frame = df.sparkSession.createDataFrame([(w,) for w in wanted], f"`{item_col}` string")
-    return df.join(frame, item_col, "left_semi").select(*df.columns)
+    # the list is in the plan anyway; as literals it reaches the scan
+    return df.where(F.col(item_col).isin(_wanted(names)))
 
 
 def items_in_list(df: DataFrame, names, item_col: str = "artist") -> DataFrame:
@@ -258,7 +256,7 @@ def common_items(df: DataFrame, pairs: DataFrame, top_n: int = 10, user_col: str
                             plays_col).checkpoint(eager=True)
     a = t.select(F.col(user_col).alias("user_id1"), F.col(item_col), F.col("strength").alias("plays1"))
     b = t.select(F.col(user_col).alias("user_id2"), F.col(item_col), F.col("strength").alias("plays2"))
-    j = pairs.join(a, "user_id1").join(b, ["user_id2", item_col])
+    j = spread_join(pairs, a, "user_id1").join(b, ["user_id2", item_col])
     w = Window.partitionBy("user_id1", "user_id2").orderBy(
         (F.col("plays1") + F.col("plays2")).desc(), F.col(item_col).asc())
     return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

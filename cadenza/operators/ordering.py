@@ -1,4 +1,4 @@
-"""Row numbers within a key that stay balanced when one key is huge.
+"""Row numbers within a key, and joins, that stay balanced when one key is huge.
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one
 task.  With a limit (``row_number() <= k``) Spark inserts a partial
@@ -73,3 +73,37 @@ def dense_index(df: DataFrame, col: str, idx_col: str) -> DataFrame:
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
     ranked = rank_all(values, [F.col(col).asc()], "_pos")
     return ranked.select(col, (F.col("_pos") - 1).alias(idx_col))
+
+
+# pairs of one key that one task makes with ease
+HOT_PAIRS = 4_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Inner join on ``key`` whose work on one key is dealt over tasks.
+
+    The rows of each key are counted on both sides.  Where their product
+    exceeds ``hot_pairs``, the longer side's rows of that key are dealt to as many
+    parts as bring each part's product below it, and the shorter side's rows are
+    copied to every part.  Other keys are joined as they are."""
+    ensure_checkpoint_dir(left.sparkSession)
+    n = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(
+        right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key)
+    pairs = F.col("_l").cast("double") * F.col("_r")
+    # at most (all pairs / hot_pairs) keys
+    hot = n.where(pairs > hot_pairs).select(
+        key, F.least(F.ceil(pairs / hot_pairs), F.greatest("_l", "_r")).cast("int").alias("_parts"),
+        (F.col("_l") >= F.col("_r")).alias("_deal_left")).checkpoint(eager=True)
+    if hot.isEmpty():
+        return left.join(right, key)
+
+    def dealt(df: DataFrame, deals) -> DataFrame:
+        one = F.array(F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_parts") - 1)
+        part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(deals, one).otherwise(every)
+        spread = df.where(F.col(key).isNotNull()).join(hot, key, "left").select(*df.columns, F.explode(part).alias("_part"))
+        # one column to join on: a partitioning by the key alone will not do
+        return spread.withColumn("_dealt", F.struct(key, "_part")).drop("_part")
+
+    a, b = dealt(left, F.col("_deal_left")), dealt(right, ~F.col("_deal_left")).drop(key)
+    return a.join(b, "_dealt").drop("_dealt")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.ordering import spread_join
 from cadenza.operators.prepare import interaction_triples
 from cadenza.session import ensure_checkpoint_dir
 from cadenza.operators.pruned import topk_pruned
@@ -212,16 +213,19 @@ def user_based_recommend(interactions: DataFrame, user_vecs: DataFrame, n: int =
     negative similarity subtracts); top ``n``.
 
     Histories are pre-aggregated to one cell per (user, item) before the
-    neighbour join, so a long history joins once per neighbour pair.
+    neighbour join, so a long history joins once per neighbour pair; a user
+    who is a neighbour of very many, or has very many cells, is dealt over
+    tasks (``spread_join``).
     """
     _check(n)
-    nb = similar_users(user_vecs, n_similar_users, users, user_col, vec_col)
+    ensure_checkpoint_dir(user_vecs.sparkSession)
+    nb = similar_users(user_vecs, n_similar_users, users, user_col, vec_col).checkpoint(eager=True)
     # ``aggregated``: the input already has one row per (user, item), e.g.
     # ALS ratings; skip the re-aggregation (and its shuffle)
     t = (interactions.select(user_col, item_col, F.col(plays_col).alias("strength")) if aggregated
          else interaction_triples(interactions, user_col, item_col, plays_col))
-    cand = (nb.select(user_col, F.col("similar_user"), "similarity")
-              .join(t.select(F.col(user_col).alias("similar_user"), item_col, "strength"), "similar_user")
+    cand = (spread_join(nb.select(user_col, "similar_user", "similarity"),
+                        t.select(F.col(user_col).alias("similar_user"), item_col, "strength"), "similar_user")
               .join(t.select(user_col, item_col), [user_col, item_col], "left_anti"))
     scores = cand.groupBy(user_col, item_col).agg(
         F.sum(F.col("similarity") * F.col("strength")).alias("score"))

@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import confidence, hash_user_id
+from cadenza.operators import daily as DY
 from cadenza.operators import explore as X
+from cadenza.operators import itemindex as IX
 from cadenza.operators import metrics as M
 from cadenza.operators import prepare as P
 from cadenza.session import scratch_path
+from cadenza.sources import layout as LY
 from cadenza.sources.fixtures import table, view, with_views
 from cadenza.sources.interactions import conform_interactions, read_interactions, write_interactions
 
@@ -81,6 +84,17 @@ def q_triples(spark, d):
     return P.interaction_triples(view(spark, d, "interactions"))
 
 
+@register("bucketed_triples", """
+SELECT user_id, artist, CAST(sum(play_count) AS BIGINT) AS strength, 0 AS exchanges
+FROM interactions GROUP BY user_id, artist""", ("interactions",))
+def q_bucketed_triples(spark, d):
+    """S6 and S1 by the bucketed layout; A1 on it, with the exchanges of its plan."""
+    path = scratch_path(spark, "bucketed")
+    rows = LY.write_bucketed(view(spark, d, "interactions"), "cadenza_" + path.rsplit("-", 1)[1], path, 16)
+    cells = P.interaction_triples(rows)
+    return cells.withColumn("exchanges", F.lit(cells._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+
+
 @register("confidence", """
 SELECT user_id, artist, round(1.0 + 0.4 * CAST(sum(play_count) AS DOUBLE), 6) AS confidence
 FROM interactions GROUP BY user_id, artist""", ("interactions",))
@@ -159,8 +173,27 @@ def q_split_stats(spark, d):
     return X.split_stats(P.label_split(view(spark, d, "interactions"), train_ratio=0.8))
 
 
-# the three ratio-split oracles continue a WITH that names the view first
-for _n in ("split_by_ratio", "relevant_items", "split_stats"):
+@register("split_stats_days", "", ())
+def q_split_stats_days(spark, d):
+    """A12 from one table of sketches per day, written once and read back."""
+    path = scratch_path(spark, "days")
+    DY.daily_sketches(view(spark, d, "interactions")).write.parquet(path)
+    return DY.split_stats_from_days(spark.read.parquet(path), train_ratio=0.8)
+
+
+ORACLE["split_stats_days"] = ORACLE["split_stats"]
+
+
+@register("dataset_summary_days", """
+SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT artist) AS n_items, count(*) AS n_rows
+FROM interactions WHERE interaction_date IS NOT NULL""", ("interactions",))
+def q_summary_days(spark, d):
+    """A7 from the days' sketches."""
+    return DY.summary_from_days(DY.daily_sketches(view(spark, d, "interactions")))
+
+
+# the ratio-split oracles continue a WITH that names the view first
+for _n in ("split_by_ratio", "relevant_items", "split_stats", "split_stats_days"):
     ORACLE[_n] = with_views("SELECT 1", ["interactions"]).rsplit("\nSELECT 1", 1)[0] + ORACLE[_n]
 
 
@@ -213,6 +246,45 @@ def q_users_all_items(spark, d):
     return X.users_by_all_items(view(spark, d, "interactions_dense"), _BRANDS)
 
 
+# wanted lists: the brands of each customer's latest order
+_LISTS = """
+orders_of AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth
+              FROM orders),
+lists AS (SELECT DISTINCT o_custkey AS list_id, p_brand AS artist FROM orders_of
+          JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE nth = 1)"""
+
+
+def _latest_brands(spark, d):
+    latest = table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("l_orderkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(latest, "l_orderkey")
+    return lines.join(table(spark, d, "part"), "p_partkey").select(
+        F.col("o_custkey").alias("list_id"), F.col("p_brand").alias("artist")).distinct()
+
+
+@register("users_by_many_lists", f"""
+, {_LISTS.strip()},
+have AS (SELECT DISTINCT user_id, artist FROM interactions_dense),
+sizes AS (SELECT list_id, count(*) AS n_items FROM lists GROUP BY list_id),
+met AS (SELECT l.list_id, h.user_id FROM lists l JOIN have h USING (artist) JOIN sizes s USING (list_id)
+        GROUP BY l.list_id, h.user_id, s.n_items HAVING count(*) = s.n_items)
+SELECT s.list_id, s.n_items, count(m.user_id) AS n_users FROM sizes s LEFT JOIN met m USING (list_id) GROUP BY s.list_id, s.n_items""", ())
+def q_users_many_lists(spark, d):
+    """J1 for every customer's list in one pass over the bitmap index."""
+    _, index = IX.build(view(spark, d, "interactions_dense"))
+    return IX.count_by_lists(index, _latest_brands(spark, d))
+
+
+@register("users_by_index", ORACLE["users_by_all_items"])
+def q_users_by_index(spark, d):
+    """J1 of one list by the index."""
+    users, index = IX.build(view(spark, d, "interactions_dense"))
+    wanted = spark.createDataFrame([(1, b) for b in _BRANDS], "list_id int, artist string")
+    return IX.users_by_lists(index, wanted, users).select("user_id")
+
+
+ORACLE["users_by_many_lists"] = with_views("SELECT 1", ["interactions_dense"]).rsplit("\nSELECT 1", 1)[0] + "\n" + ORACLE["users_by_many_lists"]
+
+
 _DEMO = """
 demo AS (SELECT user_id, gender, age FROM (
   SELECT user_id, gender, age,
