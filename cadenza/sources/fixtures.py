@@ -54,16 +54,21 @@ SELECT user_id, item_id, COUNT(*) AS play_count
 FROM (SELECT (event_id * 13 + user_id) % n AS user_id, (event_id * 7) % n AS item_id
       FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {embeddings}) WHERE event_type = 'purchase')
 GROUP BY user_id, item_id""",
-    # a user's first events as a list of parts; its length (0 to 7) follows the number of events
+    # the first ten distinct items that a user did more than view
     "recs_fx": """
 SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id
-FROM (SELECT user_id, (event_id * 7) % n AS item_id, COUNT(*) OVER (PARTITION BY user_id) AS events,
-             row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank
-      FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {part}))
-WHERE rank <= events % 8""",
+FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_event) AS rank
+      FROM (SELECT user_id, (event_id * 7) % n AS item_id, MIN(event_id) AS first_event
+            FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {part}) WHERE event_type <> 'view'
+            GROUP BY user_id, (event_id * 7) % n))
+WHERE rank <= 10""",
+    # the items that a user viewed; users after the last one, one per supplier, have no list
     "relevant_fx": """
 SELECT DISTINCT user_id, (event_id * 7) % n AS item_id
-FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {part}) WHERE event_type = 'view'""",
+FROM {events} CROSS JOIN (SELECT COUNT(*) AS n FROM {part}) WHERE event_type = 'view'
+UNION ALL
+SELECT last + s_suppkey AS user_id, s_suppkey % n AS item_id
+FROM {supplier} CROSS JOIN (SELECT MAX(user_id) AS last FROM {events}) CROSS JOIN (SELECT COUNT(*) AS n FROM {part})""",
     "genre_fx": """
 SELECT p_partkey AS item_id, CASE WHEN p_brand LIKE '%5' THEN NULL
        ELSE concat('g', substring(p_brand, 7, 1)) END AS genre
