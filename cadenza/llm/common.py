@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -20,9 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def work_paths() -> list[str]:
+    """The folders named so far and not dropped, in order."""
+    return list(_WRITTEN)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``work_path`` has named: nothing may read them any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _WRITTEN.remove(path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +69,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return a worker's unused memory to the system: an idle worker keeps no
+    more than it must."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(batches, text_col: int, max_bytes: int = 2_000_000,
                   max_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``max_bytes`` of text
@@ -66,8 +93,7 @@ def small_batches(batches, text_col: int, max_bytes: int = 2_000_000,
             size += n
         if len(lengths) > start:
             yield batch.slice(start)
-    # an idle worker keeps no more than it must
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def word_table(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

@@ -1,7 +1,6 @@
 """Operator 8, line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words; lines with fewer than
-``MIN_TOKENS`` take no part.  Two lines match when the Jaccard similarity of
+A line's tokens are its distinct words; lines without a word take no part.  Two lines match when the Jaccard similarity of
 their token sets is at least ``PERCENT`` percent; of matching lines the later
 one (by doc_id, text hash, line number) is removed.
 
@@ -26,32 +25,37 @@ wanted texts are arrays of fixed size; every shuffle is of narrow rows; all
 joins are plain equi-joins that Spark may split where a key is hot.
 
 Edge cases: null and empty texts have no line; a null doc_id comes last in the
-order; rows with the same doc_id and text are one document and share their
-fate (texts over 2 ** 24 lines are out of range); an empty table gives no rows; other columns are kept by ``dedup`` and
-ignored by ``removed_lines``."""
+order (doc_ids are below 2 ** 62); rows with the same doc_id and text are one
+document and share their fate (texts over 2 ** 24 lines are out of range); an
+empty table gives no rows; other columns, whatever their names, are kept by
+``dedup`` and ignored by ``removed_lines``."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import WS, saved
 
-PERCENT, MIN_TOKENS = 80, 5
+PERCENT, MIN_TOKENS = 80, 1
 BUCKET_BITS = 18
 FILTER_WORDS = 1 << 14  # 64 bits each
 # a token shared by more classes than this is compared by hubs first
-HOT = 512
+HOT = 2048
 LONG = 100  # lines with more tokens than this get 128 bits of parity
-NO_ID = (1 << 63) - 1  # stands for a null doc_id
+NO_ID = 1 << 62  # places from here on are of texts without doc_id
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     t = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h")).where("text IS NOT NULL AND text <> ''")
+    return docs.select(_first_place(), t.alias("text"), F.xxhash64(t).alias("h")).where("text IS NOT NULL AND text <> ''")
+
+
+def _first_place() -> Column:
+    other = F.xxhash64(F.lit(1), F.col("text").cast("string")).bitwiseAND(F.lit(NO_ID - 1).cast("long"))
+    return F.coalesce(F.col("doc_id").cast("long"), other.bitwiseOR(F.lit(NO_ID).cast("long"))).alias("p1")
 
 
 def _by_slot(rows: DataFrame, slot: str, value: Column, n: int) -> Column:
@@ -66,8 +70,7 @@ def _by_slot(rows: DataFrame, slot: str, value: Column, n: int) -> Column:
 def _words() -> Column:
     """Words of ``line``, with empty strings between repeated separators.  A
     line whose only white space is the space takes the cheap split."""
-    other = reduce(Column.__or__, (F.contains("line", F.lit(c)) for c in "\t\x0b\f\r"))
-    return F.when(other, F.split("line", WS)).otherwise(F.split("line", " "))
+    return F.when(F.col("line").rlike(r"[\t\x0B\f\r]"), F.split("line", WS)).otherwise(F.split("line", " "))
 
 
 def _bucket(h: Column) -> Column:
@@ -124,12 +127,11 @@ def _short_token(x: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """Place and text of every line.  A place is the doc_id (the largest long
-    for null) and the text's hash (40 bits) with the line number: later lines
-    compare greater."""
-    split = texts.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("p1"),
-                        F.shiftleft("h", 24).bitwiseOR(F.col("line_no").cast("long")).alias("p2"), "line")
+    """Place and text of every line.  A place is the doc_id (for null a second
+    hash of the text, above all ids) and the text's hash (40 bits) with the line
+    number: later lines compare greater."""
+    split = texts.select("p1", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.select("p1", F.shiftleft("h", 24).bitwiseOR(F.col("line_no").cast("long")).alias("p2"), "line")
 
 
 def _one_bit(x: Column) -> Column:
@@ -204,10 +206,9 @@ def _settled_by_hubs(docs: DataFrame, classes: DataFrame, percent: int, hot: int
     return found
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, hot: int = HOT) -> DataFrame:
-    """One row per removed line: doc_id, h (40 bits of the text's hash),
-    line_no (from 0), n_tokens, an earlier line that it matches, and their
-    similarity."""
+def _removed(docs: DataFrame, percent: int, min_tokens: int, hot: int) -> DataFrame:
+    """Per removed line its place, n_tokens, the place of an earlier line that it
+    matches (``m1, m2``), and their similarity."""
     lines = saved(_line_rows(docs, percent), "lines").where(F.col("n") >= min_tokens)
     classes = saved(lines.groupBy("k1", "k2").agg(
         F.min(F.struct("p1", "p2", "n", "par0", "par1", "prefix")).alias("c"), F.count(F.lit(1)).alias("members"))
@@ -226,15 +227,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
         .where("members > 1 OR a1 IS NOT NULL")
     placed = lines.select("k1", "k2", "n", "p1", "p2").join(saved(linked, "matched-classes"), ["k1", "k2"])
     match1, match2 = F.coalesce("a1", "f1"), F.coalesce("a2", "f2")
-    gone = placed.where("p1 <> f1 OR p2 <> f2 OR a1 IS NOT NULL").select(
+    return placed.where("p1 <> f1 OR p2 <> f2 OR a1 IS NOT NULL").select(
+        "p1", "p2", F.col("n").alias("n_tokens"), match1.alias("m1"), match2.alias("m2"),
+        F.coalesce(-F.col("minus"), F.lit(1.0)).alias("jaccard")).distinct()
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, hot: int = HOT) -> DataFrame:
+    """One row per removed line: doc_id, h (40 bits of the text's hash),
+    line_no (from 0), n_tokens, an earlier line that it matches, and their
+    similarity."""
+    return _removed(docs, percent, min_tokens, hot).select(
         _doc_id(F.col("p1")).alias("doc_id"), F.shiftrightunsigned("p2", 24).alias("h"), _line_no(F.col("p2")).alias("line_no"),
-        F.col("n").alias("n_tokens"), _doc_id(match1).alias("match_doc_id"), _line_no(match2).alias("match_line_no"),
-        F.coalesce(-F.col("minus"), F.lit(1.0)).alias("jaccard"))
-    return gone.distinct()
+        "n_tokens", _doc_id(F.col("m1")).alias("match_doc_id"), _line_no(F.col("m2")).alias("match_line_no"), "jaccard")
 
 
 def _doc_id(p1: Column) -> Column:
-    return F.when(p1 != NO_ID, p1)
+    return F.when(p1 < F.lit(NO_ID).cast("long"), p1)
 
 
 def _line_no(p2: Column) -> Column:
@@ -244,13 +252,16 @@ def _line_no(p2: Column) -> Column:
 def dedup(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``; every row and column
     stays, and ``n_chars``, where there is one, is counted anew."""
-    gone = removed_lines(docs, percent, min_tokens).groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_gone")) \
-        .select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_gone")
-    rows = docs.withColumn("_key", F.shiftrightunsigned(F.shiftleft(F.xxhash64(F.col("text").cast("string")), 24), 24))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_key"] == gone["_h"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    gone = _removed(docs, percent, min_tokens, HOT).groupBy("p1", F.shiftrightunsigned("p2", 24).alias("h")).agg(
+        F.collect_set(_line_no(F.col("p2"))).alias("gone"))
+    # the row's own columns stay together under one name, so none can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _first_place(),
+                       F.shiftrightunsigned(F.shiftleft(F.xxhash64(F.col("text").cast("string")), 24), 24).alias("h"))
+    joined = rows.join(gone, ["p1", "h"], "left")
+    lines = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    cut = {"text": F.array_join(lines, "\n")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        cut["n_chars"] = F.length(cut["text"]).cast(docs.schema["n_chars"].dataType)
+    own = lambda c: F.col("row").getField(c)
+    return joined.select(*[F.when(F.col("gone").isNull(), own(c)).otherwise(cut[c]).alias(c) if c in cut else own(c).alias(c)
+                           for c in docs.columns])

@@ -25,10 +25,11 @@ _TAIL = '.,;:!?%&*$#|"()<>[]{}/\\=+-_~^@`'
 
 
 class WordEncoder:
-    """Encodes Arrow string arrays.  At most ``max_pieces`` pieces (about 200
-    bytes each) are remembered; later new ones are encoded as they come."""
+    """Encodes Arrow string arrays.  About ``max_pieces`` pieces (200 bytes each)
+    are remembered; when there are more, all are forgotten, and the common ones
+    are soon back."""
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 800_000):
+    def __init__(self, tokenizer_path: str, max_pieces: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
@@ -58,6 +59,8 @@ class WordEncoder:
     def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Two pieces of every word (the second may be empty), and first id and
         id count of each piece, in arrays that hold this call's pieces."""
+        if len(self._index) > self._max:
+            self._index = {"": 0}
         index, n = self._index, len(self._index)
         new: dict[str, int] = {}
         letters, others, first, second = [], [], [], []
@@ -94,8 +97,7 @@ class WordEncoder:
             self._ends = _room(self._ends, n + len(new))
             self._pool[start:start + len(ids)] = ids
             self._ends[n:n + len(new)] = ends
-            if n + len(new) <= self._max:
-                index.update(zip(letters + others, range(n, n + len(new))))
+            index.update(zip(letters + others, range(n, n + len(new))))
         return a, b, np.concatenate([[0], self._ends[:n + len(new) - 1]]), self._ends[:n + len(new)]
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, langid, linededup, minhash, packing
-from cadenza.llm.common import saved, table
+from cadenza.llm.common import drop, saved, table, work_paths
 from cadenza.llm.registry import tokenizer_path
 
 
@@ -60,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
+        before = work_paths()
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        # the stage is written: what it was made from is not read again
+        mine = [p for p in work_paths() if p not in before]
+        drop(spark, kept + mine[:-1])
+        kept = mine[-1:]
     return docs

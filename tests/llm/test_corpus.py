@@ -237,7 +237,7 @@ def _removed(rows, percent=80):
     for d, t in dict.fromkeys(rows):
         for i, x in enumerate((t or "").split("\n")):
             s = frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", x) if w)
-            if len(s) >= 5:
+            if s:
                 lines.append(((d is None, d or 0, i), (d, i), s))
     lines.sort(key=lambda x: x[0])
     return {k for j, (_, k, s) in enumerate(lines)
@@ -262,6 +262,25 @@ def test_line_dedup_cuts_lines(docs, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines_and_any_column_names(spark):
+    """Short repeated lines go, whatever the other columns are called."""
+    rows = [(i, f"Read more here\nunique line number {i} of this table\nAll rights reserved\n{'' if i % 2 else 'ok'}") for i in range(4)]
+    rows += [(None, "Read more here\none two three four"), (None, "a text of its own\nfour three two one"), (None, "one two three four five")]
+    names = ["_key", "_id", "_gone", "_h", "row", "gone", "p1", "p2", "h", "line", "token"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    gone = _removed(rows)
+    assert (1, 0) in gone and (1, 2) in gone and (None, 1) in gone and (0, 0) not in gone
+    out = linededup.dedup(df)
+    assert out.columns == df.columns
+    want = Counter((d, "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in rows[:4])
+    assert Counter((r.doc_id, r.text) for r in out.where("doc_id IS NOT NULL").collect()) == want
+    assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+    # rows without doc_id come after all others, told apart by their texts; one of the three lines of four or five words stays
+    texts = [x for r in out.where("doc_id IS NULL").collect() for x in r.text.split("\n")]
+    assert "Read more here" not in texts and "a text of its own" in texts
+    assert sum(x in ("one two three four", "four three two one", "one two three four five") for x in texts) == 1
+
+
 def test_line_dedup_in_a_large_group(spark):
     rng = random.Random(11)
     base = [f"w{i}" for i in range(30)]
