@@ -3,14 +3,18 @@
 A page is read once into flat text blocks: the text between two block-level
 tags, with white space collapsed and character references decoded.  Every
 block gets its word count, its link density (share of its words inside
-links), the same two of the block before and after, whether it is a heading,
-and its region: inside a part marked as page furniture (navigation, header,
+links), the same two of the block before and after, the longest running text
+within ``NEAR`` blocks of it, whether it is a heading or an item of a list or
+table, whether running text elsewhere on the page is marked as the article, and its region: inside a part marked as page furniture (navigation, header,
 footer, aside, advert, comments ...), inside a part marked as the article,
 inside a form or a part whose name only suggests furniture (a page may be
 wrapped in one: an article or main element in it is the article again, and
-long running text stays), or none of these.  A decision tree, trained by Spark ML on the small
-labelled table below, keeps or drops each block.  The fitted tree (a few
-dozen numbers) travels to the tasks, and pages are handled one by one: one
+long running text stays), or none of these.  All of an article is kept, lists
+of links too: what does not belong to it there says so by its tag or name.  Where
+a page has nothing to keep, its unmarked blocks are kept that are not mostly links.
+Decision trees, trained by Spark ML on the small
+labelled table below, one for each region, keep or drop each block.  The fitted trees (a few
+dozen numbers) travel to the tasks, and pages are handled one by one: one
 pass over the table, no shuffle.
 
 Edge cases: null or empty html gives an empty text; unclosed comments and
@@ -32,10 +36,13 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import small_arrow, small_batches
 
-FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "region", "heading"]
+FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "region", "heading",
+            "near", "item", "marked"]
+NEAR = 6
 NEUTRAL, ARTICLE, FURNITURE, DOUBTFUL = 0.0, 1.0, 2.0, 3.0
 
-# The labelled blocks.  The features in the order above, then 1 to keep.
+# The labelled blocks.  The features in the order above, then 1 to keep.  Rows of nine values leave out
+# near (the longer of the neighbours that are not links) and item (0); those without marked hold for both of its values.
 LABELLED = [
     # in the article: headings, paragraphs of any length, list items, quotes, captions
     (8, 0.0, 6, 1.0, 40, 0.0, 1, 1, 1), (5, 0.0, 12, 0.0, 60, 0.0, 1, 1, 1), (3, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1),
@@ -45,7 +52,7 @@ LABELLED = [
     (40, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (6, 0.0, 6, 0.0, 6, 0.0, 1, 0, 1), (1, 0.0, 0, 0.0, 8, 0.2, 1, 0, 1),
     (12, 0.9, 40, 0.0, 30, 0.0, 1, 0, 1), (2, 0.0, 4, 1.0, 15, 0.0, 1, 0, 1), (20, 0.0, 10, 0.1, 5, 0.0, 1, 0, 1),
     # link lists inside the article part
-    (3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 1), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1),
     # page furniture, whatever it says
     (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 2, 0, 0), (9, 0.0, 1, 1.0, 8, 0.0, 2, 0, 0),
     (9, 0.1, 60, 0.0, 0, 0.0, 2, 0, 0), (45, 0.0, 9, 0.0, 50, 0.0, 2, 0, 0), (120, 0.0, 100, 0.0, 80, 0.0, 2, 0, 0),
@@ -66,11 +73,26 @@ LABELLED = [
     (7, 0.0, 2, 0.0, 85, 0.0, 3, 1, 1), (4, 0.0, 1, 1.0, 120, 0.0, 3, 1, 1), (30, 0.0, 90, 0.0, 70, 0.0, 3, 0, 1),
     (2, 0.0, 1, 1.0, 90, 0.0, 3, 1, 1), (3, 0.0, 5, 1.0, 70, 0.0, 3, 1, 1), (9, 0.0, 0, 0.0, 60, 0.0, 3, 1, 1),
     (2, 0.0, 3, 1.0, 80, 0.1, 3, 1, 1), (6, 0.0, 9, 0.2, 110, 0.0, 3, 1, 1), (4, 0.0, 20, 0.0, 75, 0.0, 3, 1, 1),
+    # ... where nothing else is the article, shorter running text too
+    (48, 0.0, 0, 0.0, 48, 0.0, 3, 0, 48, 0, 0, 1), (48, 0.0, 48, 0.0, 6, 0.0, 3, 0, 48, 0, 0, 1), (3, 0.0, 48, 0.0, 48, 0.0, 3, 0, 48, 0, 0, 1),
+    (45, 0.0, 40, 0.0, 0, 0.0, 3, 0, 40, 0, 0, 1), (42, 0.0, 3, 0.0, 55, 0.0, 3, 0, 55, 0, 0, 1), (8, 0.0, 48, 0.0, 50, 0.0, 3, 0, 50, 0, 0, 1),
+    (48, 0.0, 0, 0.0, 48, 0.0, 3, 0, 48, 0, 1, 0), (48, 0.0, 48, 0.0, 6, 0.0, 3, 0, 48, 0, 1, 0), (3, 0.0, 48, 0.0, 48, 0.0, 3, 0, 48, 0, 1, 0),
+    (45, 0.0, 40, 0.0, 0, 0.0, 3, 0, 40, 0, 1, 0), (42, 0.0, 3, 0.0, 55, 0.0, 3, 0, 55, 0, 1, 0), (8, 0.0, 48, 0.0, 50, 0.0, 3, 0, 50, 0, 1, 0),
     # no marked part: running text, its headings, short lines between running text
     (40, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1), (80, 0.05, 40, 0.0, 30, 0.0, 0, 0, 1), (25, 0.1, 60, 0.0, 4, 1.0, 0, 0, 1),
     (150, 0.1, 8, 0.0, 3, 0.5, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (6, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1),
     (5, 0.0, 70, 0.0, 45, 0.0, 0, 1, 1), (7, 0.0, 2, 1.0, 55, 0.0, 0, 1, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
     (12, 0.0, 45, 0.0, 35, 0.0, 0, 0, 1), (16, 0.2, 50, 0.0, 40, 0.0, 0, 0, 1), (4, 0.0, 20, 0.0, 60, 0.0, 0, 1, 1),
+    # ... items of lists and tables near running text, and the headings over them
+    (2, 0.0, 1, 0.0, 2, 0.0, 0, 0, 40, 1, 1), (1, 0.0, 3, 0.0, 2, 0.0, 0, 0, 60, 1, 1), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 25, 1, 1),
+    (2, 0.0, 45, 0.0, 1, 0.0, 0, 0, 45, 1, 1), (9, 0.0, 8, 0.0, 12, 0.0, 0, 0, 30, 1, 1), (1, 0.0, 2, 0.0, 1, 0.0, 0, 0, 120, 1, 1),
+    (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 20, 1, 1), (5, 0.0, 3, 0.0, 30, 0.0, 0, 0, 30, 1, 1), (3, 0.0, 1, 0.0, 1, 0.0, 0, 0, 22, 1, 1),
+    (1, 0.0, 40, 0.0, 2, 0.0, 0, 1, 60, 0, 1), (2, 0.0, 50, 0.0, 3, 0.0, 0, 1, 50, 0, 1), (1, 0.0, 2, 0.0, 25, 0.0, 0, 1, 40, 0, 1),
+    (1, 0.0, 4, 0.0, 2, 0.0, 0, 1, 30, 0, 1),
+    # ... but not where no running text is near, nor lists of links
+    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 4, 1, 0), (2, 0.0, 1, 0.0, 2, 0.0, 0, 0, 6, 1, 0), (1, 0.0, 2, 1.0, 3, 1.0, 0, 0, 2, 1, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 50, 1, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 60, 1, 0), (2, 1.0, 30, 0.0, 2, 1.0, 0, 0, 30, 1, 0),
+    (6, 0.9, 4, 1.0, 40, 0.0, 0, 0, 40, 1, 0), (3, 0.0, 0, 0.0, 3, 0.0, 0, 0, 3, 1, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 1, 0),
     # no marked part: menus, link lists, dates, credits, labels
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0), (2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0),
     (8, 0.8, 5, 0.9, 7, 0.9, 0, 0, 0), (22, 0.9, 20, 0.9, 18, 0.9, 0, 0, 0), (5, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0),
@@ -78,6 +100,18 @@ LABELLED = [
     (12, 0.6, 30, 0.0, 10, 0.8, 0, 0, 0), (2, 0.0, 5, 0.0, 3, 0.0, 0, 1, 0), (40, 0.95, 3, 1.0, 5, 1.0, 0, 0, 0),
 ]
 
+# Built by rule: links go wherever no article is marked, as do labels and lone short lines with no running text near
+LABELLED += [(n, density, *prev, *after, region, 0, near, item, 0)
+             for region in (NEUTRAL, DOUBTFUL) for n in (1, 2, 4, 9, 30) for density in (0.8, 1.0) for item in (0, 1)
+             for near, prev, after in ((2, (2, 1.0), (3, 1.0)), (60, (60, 0.0), (2, 1.0)), (90, (3, 1.0), (90, 0.0)),
+                                       (0, (0, 0.0), (0, 0.0)), (48, (48, 0.0), (48, 0.0)))]
+LABELLED += [(n, 0.0, *prev, *after, region, 0, near, item, 0)
+             for region in (NEUTRAL, DOUBTFUL) for n in (1, 2, 4, 7) for item in (0, 1)
+             for near, prev, after in ((2, (2, 0.0), (2, 0.0)), (3, (0, 0.0), (3, 0.0)), (8, (8, 0.0), (2, 1.0)),
+                                       (5, (2, 1.0), (5, 0.0)), (0, (2, 1.0), (3, 1.0)))]
+# ... a label behind running text in a form or a part named like furniture
+LABELLED += [(n, 0.0, before, 0.0, 0, 0.0, DOUBTFUL, 0, before, 0, 0) for n in (1, 2, 3) for before in (48, 70, 120)]
+
 # Tags that end a block, and those whose text is never shown (head is not one: what it may hold is,
 # and any other tag or text ends it, with or without its end tag)
 _BLOCK = frozenset(
@@ -85,6 +119,7 @@ _BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ITEM = frozenset("li td th dt dd".split())
 _HIDDEN = frozenset("script style noscript noframes template svg math iframe object canvas title textarea select "
                     "audio video map".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,8 +190,8 @@ def _region(tag: str, attributes: str, around: float) -> float | None:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, int, float, float, float]]:
-    """(text, words, link density, region, heading) of each block, in page order."""
+def blocks(page: str) -> list[tuple[str, int, float, float, float, float]]:
+    """(text, words, link density, region, heading, item) of each block, in page order."""
     out: list[tuple] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, float]] = []  # open elements with the region inside each
@@ -168,7 +203,8 @@ def blocks(page: str) -> list[tuple[str, int, float, float, float]]:
             if text:
                 linked = len(html.unescape(" ".join(p for p, inside in parts if inside)).split())
                 n = len(text.split(" "))
-                out.append((text, n, min(1.0, linked / n), stack[-1][1] if stack else NEUTRAL, float(headings > 0)))
+                out.append((text, n, min(1.0, linked / n), stack[-1][1] if stack else NEUTRAL, float(headings > 0),
+                            float(any(t in _ITEM for t, _ in stack[-3:]))))
             parts.clear()
 
     at, end = 0, len(page)
@@ -247,19 +283,34 @@ def blocks(page: str) -> list[tuple[str, int, float, float, float]]:
 
 def block_features(found: list[tuple]) -> list[tuple[float, ...]]:
     rows = []
-    for i, (_, n, density, region, heading) in enumerate(found):
+    running = [n if density < 0.3 and region != FURNITURE else 0 for _, n, density, region, *_ in found]
+    marked = float(any(n >= 20 and b[3] == ARTICLE for n, b in zip(running, found)))
+    for i, (_, n, density, region, heading, item) in enumerate(found):
         prev = found[i - 1][1:3] if i else (0, 0.0)
         after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
-        rows.append((n, density, *prev, *after, region, heading))
+        near = max(running[max(0, i - NEAR):i] + running[i + 1:i + 1 + NEAR], default=0)
+        rows.append((n, density, *prev, *after, region, heading, near, item, marked))
     return rows
 
 
+def _labelled(row: tuple) -> list[tuple[float, ...]]:
+    """A labelled block with all its features."""
+    *x, label = row
+    if len(x) == 8:
+        x += [max(x[2] if x[3] < 0.3 else 0, x[4] if x[5] < 0.3 else 0), 0]
+    return [(*x, label)] if len(x) == len(FEATURES) else [(*x, 0, label), (*x, 1, label)]
+
+
 def fit_tree(spark: SparkSession, depth: int = 8) -> list[tuple[int, float, int, int, int]]:
     """Train on the labelled table; the nodes as (feature or -1, threshold,
     left, right, label), the root first."""
-    nodes: list[tuple] = [()]
+    nodes: list[tuple] = []
 
     def learn(labelled: list[tuple]) -> int:
+        labels = {r[-1] for r in labelled}
+        if len(labels) == 1:
+            nodes.append((-1, 0.0, 0, 0, labels.pop()))
+            return len(nodes) - 1
         rows = spark.createDataFrame([tuple(map(float, r)) for r in labelled], [*FEATURES, "label"]).coalesce(1)
         data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
         model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(data)
@@ -276,10 +327,12 @@ def fit_tree(spark: SparkSession, depth: int = 8) -> list[tuple[int, float, int,
             nodes[at] = (split.featureIndex(), split.threshold(), left, right, 0)
         return at
 
-    # the doubtful region has a tree of its own, so that its rows do not move the thresholds of the others
-    at = FEATURES.index("region")
-    left, right = learn([r for r in LABELLED if r[at] != DOUBTFUL]), learn([r for r in LABELLED if r[at] == DOUBTFUL])
-    nodes[0] = (at, (FURNITURE + DOUBTFUL) / 2, left, right, 0)
+    # each region has a tree of its own, so that its rows do not move the thresholds of the others
+    at, regions = FEATURES.index("region"), [NEUTRAL, ARTICLE, FURNITURE, DOUBTFUL]
+    nodes.extend([()] * (len(regions) - 1))
+    roots = [learn([x for r in LABELLED for x in _labelled(r) if x[at] == region]) for region in regions]
+    for i in range(len(regions) - 1):
+        nodes[i] = (at, regions[i] + 0.5, roots[i], i + 1 if i + 2 < len(regions) else roots[-1], 0)
     return nodes
 
 
@@ -295,6 +348,8 @@ def main_text(page: str | None, tree: list[tuple]) -> tuple[str, int, int]:
     """Kept blocks joined by line ends, and how many were kept and found."""
     found = blocks(page or "")
     kept = [b[0] for b, x in zip(found, block_features(found)) if classify(tree, x)]
+    if not kept:
+        kept = [b[0] for b in found if b[3] == NEUTRAL and b[2] < 0.5]
     return "\n".join(kept), len(kept), len(found)
 
 
