@@ -33,6 +33,7 @@ empty table gives no rows; other columns, whatever their names, are kept by
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def _by_slot(rows: DataFrame, slot: str, value: Column, n: int) -> Column:
 def _words() -> Column:
     """Words of ``line``, with empty strings between repeated separators.  A
     line whose only white space is the space takes the cheap split."""
-    return F.when(F.col("line").rlike(r"[\t\x0B\f\r]"), F.split("line", WS)).otherwise(F.split("line", " "))
+    other = reduce(Column.__or__, (F.contains("line", F.lit(c)) for c in "\t\x0b\f\r"))
+    return F.when(other, F.split("line", WS)).otherwise(F.split("line", " "))
 
 
 def _bucket(h: Column) -> Column:
@@ -95,7 +97,9 @@ def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
 
     def packed(h: Column) -> Column:
         # the class in the top bits, so that sorting the longs is sorting by rarity
-        return F.shiftleft(order[_bucket(h)].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # without nulls by its type, so that arrays of it are sorted as plain longs
+        rarity = F.coalesce(F.get(order, _bucket(h)).cast("long"), F.lit(0).cast("long"))
+        return F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     hashes = F.transform(_words(), lambda w: F.xxhash64(w))
     distinct = F.array_remove(F.array_distinct(F.transform(hashes, packed)), packed(F.xxhash64(F.lit(""))))
@@ -139,19 +143,25 @@ def _one_bit(x: Column) -> Column:
 
 
 def _prefix_rows(classes: DataFrame) -> DataFrame:
+    """One row per class and prefix token.  ``meta`` packs the set's size, the
+    tokens from this one on, and whether the class is still open."""
+    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft((F.col("n") - F.col("i")).cast("long"), 1)) \
+            .bitwiseOR(F.col("open").cast("long"))
     return classes.select("p1", "p2", "n", "par0", "par1", "open", F.posexplode("prefix").alias("i", "token")) \
-                  .select("token", "p1", "p2", "n", (F.col("n") - F.col("i")).alias("left"), "par0", "par1", "open")
+                  .select("token", "p1", "p2", meta.alias("meta"), "par0", "par1")
 
 
 def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
     """Places of classes that share a prefix token and pass all filters, the
-    later one still open.  (``open`` is 0 or 1; asked of both sides at once, it
-    leaves a self-join one shuffle.)"""
-    on = F.expr(f"""a.token = b.token AND (a.p1 < b.p1 OR a.p1 = b.p1 AND a.p2 < b.p2) AND a.open + 2 * b.open >= 2
-        AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
-        AND least(a.left, b.left) * {100 + percent} >= {percent} * (a.n + b.n)
-        AND CASE WHEN least(a.n, b.n) > {LONG} THEN bit_count(a.par0 ^ b.par0) + bit_count(a.par1 ^ b.par1)
-            ELSE bit_count(a.par0 ^ a.par1 ^ b.par0 ^ b.par1) END * {100 + percent} <= {100 - percent} * (a.n + b.n)
+    later one still open.  (That is the lowest bit of ``meta``; asked of both sides
+    at once, it leaves a self-join one shuffle.)"""
+    na, nb = "shiftright(a.meta, 32)", "shiftright(b.meta, 32)"
+    left = f"least(a.meta & {(1 << 32) - 1}L, b.meta & {(1 << 32) - 1}L) div 2"
+    on = F.expr(f"""a.token = b.token AND (a.p1 < b.p1 OR a.p1 = b.p1 AND a.p2 < b.p2) AND (a.meta & 1) + 2 * (b.meta & 1) >= 2
+        AND 100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})
+        AND ({left}) * {100 + percent} >= {percent} * ({na} + {nb})
+        AND CASE WHEN least({na}, {nb}) > {LONG} THEN bit_count(a.par0 ^ b.par0) + bit_count(a.par1 ^ b.par1)
+            ELSE bit_count(a.par0 ^ a.par1 ^ b.par0 ^ b.par1) END * {100 + percent} <= {100 - percent} * ({na} + {nb})
         """)
     return earlier.alias("a").join(later.alias("b"), on).select(
         F.col("a.p1").alias("a1"), F.col("a.p2").alias("a2"), F.col("b.p1").alias("b1"), F.col("b.p2").alias("b2")).distinct()
@@ -171,14 +181,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     # rows with the same doc_id and text are one document: their lines are equal
     lines = _lines(_texts(docs).where(held)).join(wanted, ["p1", "p2"]).dropDuplicates(["p1", "p2"])
     sets = saved(lines.select("p1", "p2", F.array_remove(F.array_distinct(_words()), "").alias("own")), "wanted-sets")
-    both = pairs.join(sets.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("own").alias("a")), ["a1", "a2"]) \
-                .join(sets.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("own").alias("b")), ["b1", "b2"])
-    common = both.select("a1", "a2", "b1", "b2", F.size(F.array_intersect("a", "b")).alias("c"),
-                         (F.size("a") + F.size("b")).alias("total"))
-    union = F.col("total") - F.col("c")
-    match = F.min(F.struct("a1", "a2", (-F.col("c") / union).alias("minus"))).alias("m")
-    return common.where(F.col("c") * 100 >= union * percent).groupBy(F.col("b1").alias("p1"), F.col("b2").alias("p2")) \
-                 .agg(match).select("p1", "p2", "m.*")
+
+    def matching(some: DataFrame) -> DataFrame:
+        """Per later line the first of its pairs that match."""
+        both = some.join(sets.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("own").alias("a")), ["a1", "a2"]) \
+                   .join(sets.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("own").alias("b")), ["b1", "b2"])
+        common = both.select("a1", "a2", "b1", "b2", F.size(F.array_intersect("a", "b")).alias("c"),
+                             (F.size("a") + F.size("b")).alias("total"))
+        union = F.col("total") - F.col("c")
+        match = F.min(F.struct("a1", "a2", (-F.col("c") / union).alias("minus"))).alias("m")
+        return common.where(F.col("c") * 100 >= union * percent).groupBy("b1", "b2").agg(match).select("b1", "b2", "m.*")
+
+    # nearly every line matches the earliest line that passed the filters; the others try all of theirs
+    earliest = pairs.groupBy("b1", "b2").agg(F.min(F.struct("a1", "a2")).alias("a")).select("a.*", "b1", "b2")
+    most = saved(matching(earliest), "earliest-matches")
+    rest = matching(pairs.join(most.select("b1", "b2"), ["b1", "b2"], "left_anti"))
+    return most.unionByName(rest).select(F.col("b1").alias("p1"), F.col("b2").alias("p2"), "a1", "a2", "minus")
 
 
 def _settled_by_hubs(docs: DataFrame, classes: DataFrame, percent: int, hot: int) -> DataFrame | None:
