@@ -1,17 +1,13 @@
 """Driver contract: every registered query runs; every oracle agrees (sf0.001)."""
 
 import os
+import subprocess
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 
-# these train several models or run the whole metric plan; test_results_models
-# covers their operators on a small fixture
-_SLOW = {"evaluate_model", "compare_models"}
-
-
 def test_oracles_are_a_subset_of_queries():
     from __spark_entry__ import oracle_sql, queries
     q, o = queries(), oracle_sql()
@@ -26,8 +22,6 @@ def test_queries_match_oracles(spark, sf_small):
     sqls = oracle_sql()
     bad = []
     for name, fn in queries().items():
-        if name in _SLOW:
-            continue
         pdf = fn(spark, sf_small).toPandas()
         if name in sqls:
             diff = oracle_check.compare(pdf, con.execute(sqls[name]).fetchdf())
@@ -36,6 +30,14 @@ def test_queries_match_oracles(spark, sf_small):
     assert not bad, bad
 
 
+@pytest.mark.parametrize("missing", ["cadenza.llm", "public_tokenizers", "corpus_pipeline"])
+def test_entry_without_the_optional_parts(missing):
+    code = (f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); "
+            "assert len(q) >= 85 and set(o) <= set(q) and 'pipeline' not in q, sorted(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
 @pytest.mark.skipif(os.environ.get("CADENZA_FULL") != "1", reason="set CADENZA_FULL=1 to train in tests")
 def test_entry_runs(spark):
     from __spark_entry__ import entry
