@@ -44,7 +44,7 @@ PERCENT, MIN_TOKENS = 80, 1
 BUCKET_BITS = 18
 FILTER_WORDS = 1 << 14  # 64 bits each
 # a token shared by more classes than this is compared by hubs first
-HOT = 2048
+HOT = 512
 LONG = 100  # lines with more tokens than this get 128 bits of parity
 NO_ID = 1 << 62  # places from here on are of texts without doc_id
 
