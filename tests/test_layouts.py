@@ -93,6 +93,26 @@ def test_index_over_several_segments(spark):
     assert got == [7 + 5000 * i for i in range(7)]
 
 
+def test_list_counts_over_runs_and_parts(spark, monkeypatch):
+    """Small bounds deal segments and sets over many groups; no list's bitmap is shuffled."""
+    n = 3 * IX.SEGMENT + 9
+    df = spark.range(n).select(F.format_string("%06d", "id").alias("user_id"), F.explode(F.expr(
+        "filter(array('x', 'y', 'z'), (v, i) -> i = 0 OR id % (5 * i) = 0)")).alias("artist"))
+    _, index = IX.build(df)
+    lists = [(i, a) for i in range(30) for a in "xyzw"[:i % 4 + 1]] + [(40, " "), (41, None), (None, "x"), (42, "z"), (42, "y ")]
+    frame = spark.createDataFrame(lists, "list_id int, artist string")
+    size = {1: n, 2: -(-n // 5), 3: -(-n // 10), 4: 0}
+    want = {i: (i % 4 + 1, size[i % 4 + 1]) for i in range(30)} | {40: (0, 0), 41: (0, 0), None: (1, 0), 42: (2, -(-n // 10))}
+    monkeypatch.setattr(IX, "_CELLS", 3000)
+    for bounds in ({}, {"group_bitmaps": 1, "group_sets": 2}):
+        found = IX.count_by_lists(index, frame, **bounds)
+        assert {r.list_id: (r.n_items, r.n_users) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "bitmap_and_agg" not in plan
+    assert IX.count_by_lists(index, frame.limit(0)).collect() == []
+    assert [tuple(r) for r in IX.count_by_lists(index.limit(0), frame.where("list_id = 42")).collect()] == [(42, 2, 0)]
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
