@@ -140,3 +140,23 @@ def test_adaptive_block_size():
     assert V._block_size(15000, 20000, 8) == 3061
     assert V._block_size(10, 10, 8) == 512
     assert V._block_size(12_000_000, 20_000_000, 4000) == 16384
+
+
+def test_topk_exclusions_travel_as_lists(spark):
+    """A left row's excluded ids of a block are one row, as 64-bit numbers, and
+    vectors stay Arrow columns: no Python object for a pair or a vector."""
+    rng = np.random.default_rng(5)
+    vecs = rng.standard_normal((60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, embedding array<double>")
+    pairs = [(i, j) for i in range(60) for j in range(60) if (i * 7 + j) % 3] * 2 + [(3, None), (None, 4), (99, 1), (1, 99)]
+    seen = spark.createDataFrame(pairs, "left_id long, right_id long")
+    found = V.topk(df, df, 5, exclude=seen, block_size=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_set(other" in plan
+    held = set(pairs)
+    want = {(i, r, j) for i in range(60) for r, j in enumerate(sorted(
+        (j for j in range(60) if (i, j) not in held), key=lambda j: (-(vecs[i] @ vecs[j]), j))[:5], 1)}
+    assert {(r.left_id, r["rank"], r.right_id) for r in found.collect()} == want
+    bad = spark.createDataFrame([(1, None), (2, [1.0] * 4)], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors must be given"):
+        V.topk(bad, df, 5).collect()
