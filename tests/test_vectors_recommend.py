@@ -160,3 +160,24 @@ def test_topk_exclusions_travel_as_lists(spark):
     bad = spark.createDataFrame([(1, None), (2, [1.0] * 4)], "id long, embedding array<double>")
     with pytest.raises(Exception, match="vectors must be given"):
         V.topk(bad, df, 5).collect()
+
+
+def test_item_reasons_shuffle_no_pairs(spark):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "item_id long, embedding array<double>")
+        seen = spark.createDataFrame([(1, 0), (1, 2), (1, 9), (2, 9), (None, 1)], "user_id long, item_id long")
+        recs = spark.createDataFrame([(1, 1, 3), (1, 2, 8), (2, 1, 3), (None, 1, 1), (3, 1, 1)], "user_id long, rank int, item_id long")
+        found = item_reasons(recs, seen, items)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # the pairs stay where the join by user made them
+        assert "hashpartitioning(user_id" in plan and "rank" not in "".join(
+            line for line in plan.splitlines() if "hashpartitioning" in line)
+        got = {(r.user_id, r.item_id): (r.reason_item, r.reason) for r in found.collect()}
+        assert got == {(1, 3): (2, "similar_item"), (1, 8): (None, "popularity"), (2, 3): (None, "popularity"),
+                       (None, 1): (None, "popularity"), (3, 1): (None, "popularity")}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
