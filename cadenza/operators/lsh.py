@@ -38,6 +38,7 @@ from cadenza.session import ensure_checkpoint_dir
 CODE_BITS = 62  # signs taken per band; the first ``bits`` of them make its buckets
 SAMPLE = 256  # rows whose true neighbours are found to choose a setting
 MAX_BUCKET = 4096
+_CELLS = 1_000_000  # similarities or signs held at once in a task
 COPY_COST = 500.0  # the price of copying a row to a band, in scored pairs
 
 
@@ -73,10 +74,9 @@ def tune(unit: DataFrame, k: int, target: float = 0.95, max_bands: int = 128, sa
 
     def meet(batches):
         ids, vecs = shared.value
-        for batch in batches:
+        step = max(1, _CELLS // len(q_ids))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             n = batch.num_rows
-            if not n:
-                continue
             rid = np.asarray(batch.column(0), np.int64)
             s = np.clip(_matrix(batch.column(1), n) @ vecs.T, -1, 1)
             other = rid[:, None] != ids[None, :]
@@ -122,7 +122,7 @@ def _codes(unit: DataFrame, setting: Bands, seed: int) -> DataFrame:
     def run(batches):
         nonlocal size
         for batch in batches:
-            step = max(1, 4_000_000 // (bands * CODE_BITS))
+            step = max(1, _CELLS // (bands * CODE_BITS))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 x = _matrix(part.column(1), part.num_rows)
@@ -163,7 +163,7 @@ def _bucket(ids: np.ndarray, x: np.ndarray, k: int):
     order = np.argsort(ids)
     ids, x = ids[order], x[order]
     n, kk = len(ids), min(k, len(ids) - 1)
-    step = max(1, 4_000_000 // n)
+    step = max(1, _CELLS // n)
     for c0 in range(0, n, step):
         c1 = min(c0 + step, n)
         s = x[c0:c1] @ x.T
@@ -171,8 +171,8 @@ def _bucket(ids: np.ndarray, x: np.ndarray, k: int):
         kth = np.partition(s, n - kk, axis=1)[:, n - kk][:, None]
         above, tie = s > kth, s == kth
         # ties at the k-th score go to the smallest ids
-        room = kk - above.sum(axis=1)[:, None]
-        r, c = np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= room)))
+        room = kk - above.sum(axis=1, dtype=np.int32)[:, None]
+        r, c = np.nonzero(above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= room)))
         yield ids[c0 + r], ids[c], s[r, c]
 
 

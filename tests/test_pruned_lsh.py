@@ -143,3 +143,15 @@ def test_neighbours_of_few_rows(spark):
     assert L.similar_lsh(_frame(spark, x).limit(0), 3).count() == 0
     with pytest.raises(ValueError):
         L.similar_lsh(_frame(spark, x), 0)
+
+
+def test_lsh_holds_few_cells_at_once(spark, monkeypatch):
+    """Any bound on the numbers held at once gives the same lists."""
+    from cadenza.operators import lsh as H
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 6)))], "id long, embedding array<double>")
+    lists = []
+    for cells in (H._CELLS, 300):
+        monkeypatch.setattr(H, "_CELLS", cells)
+        lists.append({(r.left_id, r["rank"], r.right_id) for r in H.similar_lsh(df, 3).collect()})
+    assert H._CELLS == 300 and lists[0] == lists[1] and len(lists[0]) > 300
