@@ -29,7 +29,7 @@ class WordEncoder:
     are remembered; when there are more, all are forgotten, and the common ones
     are soon back."""
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 200_000):
+    def __init__(self, tokenizer_path: str, max_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
