@@ -64,10 +64,29 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
     selector = np.full(grid.shape, 1, np.int8)
     todo = np.ones(grid.shape, bool)
     usable = [0, *range(2, 16)]
-    need = np.searchsorted(np.array([1 << int(WIDTH[s]) for s in usable], np.uint64), padded, side="right")
+    limits = np.array([1 << int(WIDTH[s]) for s in usable], np.uint64)
+    if n and values.max() < 1 << 16:
+        need = np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.int8)[padded.astype(np.int64)]
+    else:
+        need = np.searchsorted(limits, padded, side="right")
     need = np.where(inside, need.reshape(grid.shape), 0).astype(np.int8)
     wide_before = np.zeros((n_blocks, block + 1), np.int16)
     for k, s in enumerate(usable):
+        small = need <= k
+        n_small = np.count_nonzero(small)
+        if n_small == need.size:
+            selector[todo] = s
+            break
+        if 4 * n_small < need.size:
+            fit = np.flatnonzero(small)
+            # few ids fit the width: only their runs are looked at
+            ends = np.flatnonzero(np.append((np.diff(fit) != 1) | (fit[1:] % block == 0), True)) if len(fit) else fit
+            stop = np.repeat(fit[ends], np.diff(ends, prepend=-1))
+            fit = fit[(stop - fit + 1 >= int(COUNT[s])) | (stop % block == block - 1)]
+            fit = fit[todo.ravel()[fit]]
+            selector.ravel()[fit] = s
+            todo.ravel()[fit] = False
+            continue
         np.cumsum(need > k, axis=1, dtype=np.int16, out=wide_before[:, 1:])
         n_ids = min(int(COUNT[s]), block)
         fits = np.empty(grid.shape, bool)

@@ -5,8 +5,9 @@ punctuation: its normaliser works character by character, its splitter drops
 white space and parts letters from other characters.  So a text's ids are the
 concatenated ids of its pieces: a white-space-delimited word, or, where a word
 is letters followed by punctuation, those two.  A batch is cut into words by
-Arrow, each distinct word into its pieces, each new piece is encoded by the
-``tokenizers`` library and remembered, and the ids are gathered with numpy.
+Arrow, each distinct word into its pieces (by Arrow too, if it is ASCII), each new
+piece is encoded by the ``tokenizers`` library and remembered, and the ids are
+gathered with numpy.
 The file's added tokens (<|endoftext|>, <|startoftext|>) found in a text are
 one id each, as in a plain call of the library; a word that holds one is a
 single piece."""
@@ -14,6 +15,8 @@ single piece."""
 from __future__ import annotations
 
 import os
+import string
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ import pyarrow.compute as pc
 END_ID = 1
 # Punctuation that may follow a word's letters (no apostrophe: the splitter knows contractions)
 _TAIL = '.,;:!?%&*$#|"()<>[]{}/\\=+-_~^@`'
+_LETTERS = string.ascii_letters
+_LINE = 200  # pieces encoded as one text
 
 
 class WordEncoder:
@@ -42,12 +47,13 @@ class WordEncoder:
         """Ids of the pieces one after the other, and how many each has."""
         ids, counts = [], []
         if letters:
-            # each run of letters is one unit of the splitter
-            joined = self._tok.encode(" ".join(letters), add_special_tokens=False)
-            unit = np.asarray(joined.word_ids, np.int64)
-            if len(unit) and unit[-1] + 1 == len(letters):
-                ids.append(np.asarray(joined.ids, np.uint32))
-                counts.append(np.bincount(unit, minlength=len(letters)))
+            # each run of letters is one unit of the splitter; long texts cost more a letter
+            lines = [letters[i:i + _LINE] for i in range(0, len(letters), _LINE)]
+            joined = self._tok.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)
+            units = [np.bincount(np.asarray(e.word_ids, np.int64)) for e in joined]
+            if all(len(u) == len(x) for u, x in zip(units, lines)):
+                ids += [np.asarray(e.ids, np.uint32) for e in joined]
+                counts += units
             else:  # a letter that the library does not take for one
                 others = letters + others
         if others:
@@ -56,49 +62,48 @@ class WordEncoder:
             counts.append(np.fromiter(map(len, each), np.int64, len(each)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two pieces of every word (the second may be empty), and first id and
-        id count of each piece, in arrays that hold this call's pieces."""
+    def _split(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct pieces of the words, and the two of every word (the
+        second may be empty)."""
+        core, tail = pc.ascii_rtrim(words, _TAIL), pc.ascii_ltrim(words, _LETTERS)
+        plain = pc.ascii_is_alpha(core)
+        first, second = pc.if_else(plain, pc.ascii_lower(core), words), pc.if_else(plain, tail, "")
+        # other letters are known to Python
+        other = pc.invert(pc.string_is_ascii(words))
+        cut = core.filter(other)
+        alpha = pa.array(map(str.isalpha, cut.to_numpy(zero_copy_only=False)), pa.bool_())
+        first = pc.replace_with_mask(first, other, pc.if_else(alpha, cut, words.filter(other)))
+        tailed = np.asarray(pc.not_equal(pc.binary_length(cut), pc.binary_length(words.filter(other)))) & np.asarray(alpha)
+        if tailed.any():
+            far = np.flatnonzero(np.asarray(other))[tailed]
+            mask = np.zeros(len(words), bool)
+            mask[far] = True
+            tails = [w[len(w.rstrip(_TAIL)):] for w in words.take(pa.array(far)).to_pylist()]
+            second = pc.replace_with_mask(second, pa.array(mask), pa.array(tails, words.type))
+        both = pa.concat_arrays([first, second]).dictionary_encode()
+        at = np.asarray(both.indices, np.int64)
+        return both.dictionary, at[:len(words)], at[len(words):]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers under which the pieces' ids are remembered."""
         if len(self._index) > self._max:
             self._index = {"": 0}
         index, n = self._index, len(self._index)
-        new: dict[str, int] = {}
-        letters, others, first, second = [], [], [], []
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if core.isalpha():
-                tail = w[len(core):]
-                if core.isascii():
-                    core = core.lower()
-            else:
-                core, tail = w, ""
-            for piece, out in ((core, first), (tail, second)):
-                at = index.get(piece)
-                if at is None:
-                    at = new.get(piece)
-                    if at is None:
-                        # letters are numbered from 0, other pieces from -1 down
-                        if piece is core and piece.isalpha():
-                            at = n + len(letters)
-                            letters.append(piece)
-                        else:
-                            others.append(piece)
-                            at = -len(others)
-                        new[piece] = at
-                out.append(at)
-        a, b = np.array(first, np.int64), np.array(second, np.int64)
-        if new:
-            base = n + len(letters) - 1
-            a, b = np.where(a < 0, base - a, a), np.where(b < 0, base - b, b)
+        found = np.fromiter(map(index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            alpha = np.fromiter(map(str.isalpha, new), bool, len(new))
+            letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
             ids, counts = self._ids(letters, others)
-            ends = self._ends[n - 1] + np.cumsum(counts)
             start = int(self._ends[n - 1])
             self._pool = _room(self._pool, start + len(ids))
             self._ends = _room(self._ends, n + len(new))
             self._pool[start:start + len(ids)] = ids
-            self._ends[n:n + len(new)] = ends
+            self._ends[n:n + len(new)] = start + np.cumsum(counts)
             index.update(zip(letters + others, range(n, n + len(new))))
-        return a, b, np.concatenate([[0], self._ends[:n + len(new) - 1]]), self._ends[:n + len(new)]
+            found[missing] = n + np.where(alpha, np.cumsum(alpha) - 1, len(letters) + np.cumsum(~alpha) - 1)
+        return found
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the offset of each
@@ -107,15 +112,15 @@ class WordEncoder:
         bounds = np.asarray(words.offsets, np.int64)
         bounds = bounds - bounds[0]
         coded = words.flatten().dictionary_encode()
-        a, b, begin, end = self._pieces(coded.dictionary.to_pylist())
-        number = np.asarray(coded.indices, np.int64) if len(coded) else np.zeros(0, np.int64)
-        piece = np.empty(2 * len(number), np.int64)
-        piece[0::2], piece[1::2] = a[number], b[number]
-        first = begin[piece]
-        count = end[piece] - first
-        before = np.concatenate([[0], np.cumsum(count)])
-        ids = self._pool[np.repeat(first - before[:-1], count) + np.arange(before[-1])]
-        offsets = before[2 * bounds]
+        pieces, first, second = self._split(coded.dictionary)
+        known = self._numbers(pieces.to_numpy(zero_copy_only=False).tolist())
+        # the ids of every distinct word one after the other, then those of every word
+        two = known[np.stack([first, second], 1).ravel()]
+        pool, count = _gather(self._pool, self._ends[two], self._ends[two] - np.where(two > 0, self._ends[two - 1], 0))
+        count = count[0::2] + count[1::2]
+        number = np.asarray(coded.indices) if len(coded) else np.zeros(0, np.int32)
+        ids, count = _gather(pool, np.cumsum(count)[number], count[number])
+        offsets = np.concatenate([[0], np.cumsum(count)])[bounds]
         if end_id is None:
             return ids, offsets
         n = len(bounds) - 1
@@ -127,6 +132,14 @@ class WordEncoder:
         return closed, offsets + np.arange(n + 1)
 
 
+def _gather(pool: np.ndarray, end: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of the pool that have these ends and lengths one after the other, and the lengths."""
+    before = np.cumsum(count)
+    total = int(before[-1]) if len(before) else 0
+    narrow = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    return pool[np.repeat((end - before).astype(narrow), count) + np.arange(total, dtype=narrow)], count
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 

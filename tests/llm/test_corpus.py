@@ -78,6 +78,29 @@ def test_word_encoder_equals_whole_texts():
             assert [ids[at[i]:at[i + 1]].tolist() for i in range(len(part))] == [_whole_ids(t) for t in part]
 
 
+def test_new_words_are_encoded_in_short_texts():
+    # long texts cost the library more for each letter
+    enc, sizes = tokens.WordEncoder(registry.tokenizer_path()), []
+    real = enc._tok
+
+    class Noted:
+        def encode(self, text, **kw):
+            sizes.append(len(text))
+            return real.encode(text, **kw)
+
+        def encode_batch(self, texts, **kw):
+            sizes.extend(map(len, texts))
+            return real.encode_batch(texts, **kw)
+
+    enc._tok = Noted()
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéßЖ", k=9)) + rng.choice(["", ",", ").", "'s", "7"]) for _ in range(3000)]
+    texts = [" ".join(words[:2000]), " ".join(words[1000:]).title()]
+    ids, at = enc.encode(pa.array(texts))
+    assert [ids[at[i]:at[i + 1]].tolist() for i in range(2)] == [_whole_ids(t) for t in texts]
+    assert 0 < max(sizes) <= 4000
+
+
 SPECIAL = ["a <|endoftext|> b", "word<|endoftext|>word", "x.<|startoftext|>, y<|endoftext|", "<|endoftext|>",
            "<|endoftext|><|startoftext|>", "É<|endoftext|>É's <|EndOfText|> <| endoftext|>", "<<|endoftext|>> 1<|startoftext|>2"]
 
