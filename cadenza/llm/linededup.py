@@ -18,10 +18,10 @@ one (by doc_id, text hash, line number) is removed.
    joined with a share of them first, then with larger shares for what is still
    unmatched; a line needs only one earlier match.
 5. The pairs left are verified on the words themselves, read again from the
-   few texts that hold them.
+   few lines that the pairs name; they travel as text.
 
-Everything is built-in column functions.  The bucket counts and the filter of
-wanted texts are arrays of fixed size; every shuffle is of narrow rows; all
+Everything is built-in column functions.  The bucket counts and the filters of
+wanted texts and lines are arrays of bounded size; every shuffle is of narrow rows; all
 joins are plain equi-joins that Spark may split where a key is hot.
 
 Edge cases: null and empty texts have no line; a null doc_id comes last in the
@@ -33,6 +33,7 @@ empty table gives no rows; other columns, whatever their names, are kept by
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ from cadenza.llm.common import WS, saved
 
 PERCENT, MIN_TOKENS = 80, 1
 BUCKET_BITS = 18
-FILTER_WORDS = 1 << 14  # 64 bits each
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 14, 1 << 18  # 64 bits each
 # a token shared by more classes than this is compared by hubs first
 HOT = 512
 LONG = 100  # lines with more tokens than this get 128 bits of parity
@@ -68,11 +69,11 @@ def _by_slot(rows: DataFrame, slot: str, value: Column, n: int) -> Column:
     return filled.agg(listed.alias("x")).scalar()
 
 
-def _words() -> Column:
+def _words(line: str = "line") -> Column:
     """Words of ``line``, with empty strings between repeated separators.  A
     line whose only white space is the space takes the cheap split."""
-    other = reduce(Column.__or__, (F.contains("line", F.lit(c)) for c in "\t\x0b\f\r"))
-    return F.when(other, F.split("line", WS)).otherwise(F.split("line", " "))
+    other = reduce(Column.__or__, (F.contains(line, F.lit(c)) for c in "\t\x0b\f\r"))
+    return F.when(other, F.split(line, WS)).otherwise(F.split(line, " "))
 
 
 def _bucket(h: Column) -> Column:
@@ -82,11 +83,14 @@ def _bucket(h: Column) -> Column:
 def _token_order(docs: DataFrame) -> Column:
     """Rarity class (0 the rarest, up to 126) of each hash bucket, as a
     constant array: at most ``2 ** BUCKET_BITS`` counts reach the driver."""
-    words = _texts(docs).select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words()).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    # lines end at a word's end: the text is cut into words at once
+    words = _texts(docs).select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("line")).select(F.explode(_words()).alias("w"))
+    # four buckets a row: a quarter of the groups, which a task's table holds at less cost
+    b = words.select(_bucket(F.xxhash64("w")).alias("b"))
+    counts = b.groupBy(F.shiftright("b", 2).alias("slot")).agg(*[F.count_if(F.col("b").bitwiseAND(F.lit(3)) == i) for i in range(4)])
     classes = ["0"] * (1 << BUCKET_BITS)
-    for slot, n in counts.collect():
-        classes[slot] = str(int(2 * math.log2(n)))
+    for slot, *four in counts.collect():
+        classes[4 * slot:4 * slot + 4] = [str(int(2 * math.log2(max(n, 1)))) for n in four]
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
@@ -102,32 +106,29 @@ def _line_rows(docs: DataFrame, percent: int) -> DataFrame:
         return F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     hashes = F.transform(_words(), lambda w: F.xxhash64(w))
-    distinct = F.array_remove(F.array_distinct(F.transform(hashes, packed)), packed(F.xxhash64(F.lit(""))))
+    distinct = F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
     # no filter here: Spark would push it below and build the tokens twice
-    tokens = line.select("p1", "p2", F.sort_array(distinct).alias("s"))
+    tokens = line.select("p1", "p2", F.sort_array(F.transform(distinct, packed)).alias("s"))
     s, n = F.col("s"), F.size("s")
 
-    def parity(half: int | None) -> Column:
+    def parity(half: bool) -> Column:
         def flip(a: Column, x: Column) -> Column:
             flipped = a.bitwiseXOR(_one_bit(x))
-            if half is None:
-                return flipped
-            return F.when(x.bitwiseAND(F.lit(64).cast("long")) == half, flipped).otherwise(a)
+            return F.when(x.bitwiseAND(F.lit(64).cast("long")) != 0, flipped).otherwise(a) if half else flipped
         return F.aggregate(s, F.lit(0).cast("long"), flip)
 
     kept = F.greatest(n - F.floor((n * percent + 99) / 100).cast("int") + 1, F.lit(0))
-    return tokens.select(
+    built = tokens.select(
         "p1", "p2", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(n, "s").alias("k2"),
-        F.transform(F.slice("s", 1, kept), _short_token).alias("prefix"),
-        # 128 bits in two halves for long lines; the halves' xor is the 64 bits of a short one
-        F.when(n > LONG, parity(0)).otherwise(parity(None)).alias("par0"),
-        F.when(n > LONG, parity(64)).otherwise(F.lit(0).cast("long")).alias("par1"))
+        F.transform(F.slice("s", 1, kept), _short_token).alias("prefix"), parity(False).alias("par"),
+        F.when(n > LONG, parity(True)).otherwise(F.lit(0).cast("long")).alias("par1"))
+    # 128 bits in two halves for long lines; the halves' xor is the 64 bits of a short one
+    return built.select("p1", "p2", "n", "k1", "k2", "prefix", F.col("par").bitwiseXOR(F.col("par1")).alias("par0"), "par1")
 
 
 def _short_token(x: Column) -> Column:
     """32 bits of a token: 7 of its rarity class, 25 of its hash."""
-    top = F.shiftleft(F.shiftright(x, 56), 25).bitwiseOR(F.shiftright(x, 31).bitwiseAND(F.lit((1 << 25) - 1).cast("long")))
-    return (top - (1 << 31)).cast("int")
+    return (F.shiftright(x, 31) - (1 << 31)).cast("int")
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -167,30 +168,47 @@ def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame
         F.col("a.p1").alias("a1"), F.col("a.p2").alias("a2"), F.col("b.p1").alias("b1"), F.col("b.p2").alias("b2")).distinct()
 
 
+def _filter_words(keys: int) -> int:
+    """Words of a filter of so many keys: about 16 bits a key, within bounds."""
+    return min(max(1 << (keys // 4).bit_length(), FILTER_WORDS), MOST_FILTER_WORDS)
+
+
+def _seen(rows: DataFrame, key: Column, n: int) -> Callable[[Column], Column]:
+    """A test that holds for every value of ``key`` in ``rows`` and few others: one bit per value in ``n`` words."""
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(n - 1).cast("long")).cast("int")
+
+    def bit(x: Column) -> Column:
+        return _one_bit(F.shiftright(x, 20))
+    words = _by_slot(rows.select(place(key).alias("slot"), bit(key).alias("bit")), "slot", F.bit_or("bit"), n)
+    return lambda x: words[place(x)].bitwiseAND(bit(x)) != 0
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that match on their words, with the similarity."""
     wanted = saved(pairs.select(F.col("a1").alias("p1"), F.col("a2").alias("p2")).unionByName(
         pairs.select(F.col("b1").alias("p1"), F.col("b2").alias("p2"))).distinct(), "wanted-lines")
-    # texts that hold a wanted line, by a bit per hash; the join decides
+    # texts that hold a wanted line, and then lines, by a bit per hash; the join decides
+    n = _filter_words(wanted.count())
     h = F.shiftright("p2", 24)
-    slots = wanted.select(h.bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")).cast("int").alias("slot"),
-                          F.shiftright(h, 14).alias("bit"))
-    bits = _by_slot(slots, "slot", F.bit_or(_one_bit(F.col("bit"))), FILTER_WORDS)
-    place = F.col("h").bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")).cast("int")
-    held = bits[place].bitwiseAND(_one_bit(F.shiftright("h", 14))) != 0
+    held = _seen(wanted, h, n)(F.shiftright(F.shiftleft("h", 24), 24))
+    own = _seen(wanted, F.xxhash64("p1", "p2"), n)(F.xxhash64("p1", "p2"))
     # rows with the same doc_id and text are one document: their lines are equal
-    lines = _lines(_texts(docs).where(held)).join(wanted, ["p1", "p2"]).dropDuplicates(["p1", "p2"])
-    sets = saved(lines.select("p1", "p2", F.array_remove(F.array_distinct(_words()), "").alias("own")), "wanted-sets")
+    lines = _lines(_texts(docs).where(held)).where(own).join(wanted, ["p1", "p2"]).dropDuplicates(["p1", "p2"])
+    # whole lines travel, cut into words where a pair meets: as text they take a fraction of the room of arrays
+    lines = saved(lines.select("p1", "p2", "line"), "wanted-texts")
 
     def matching(some: DataFrame) -> DataFrame:
         """Per later line the first of its pairs that match."""
-        both = some.join(sets.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("own").alias("a")), ["a1", "a2"]) \
-                   .join(sets.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("own").alias("b")), ["b1", "b2"])
-        common = both.select("a1", "a2", "b1", "b2", F.size(F.array_intersect("a", "b")).alias("c"),
+        both = some.join(lines.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("line").alias("a")), ["a1", "a2"]) \
+                   .join(lines.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("line").alias("b")), ["b1", "b2"])
+        sets = both.select("a1", "a2", "b1", "b2", *[F.array_remove(F.array_distinct(_words(x)), "").alias(x) for x in "ab"])
+        common = sets.select("a1", "a2", "b1", "b2", F.size(F.array_intersect("a", "b")).alias("c"),
                              (F.size("a") + F.size("b")).alias("total"))
         union = F.col("total") - F.col("c")
-        match = F.min(F.struct("a1", "a2", (-F.col("c") / union).alias("minus"))).alias("m")
-        return common.where(F.col("c") * 100 >= union * percent).groupBy("b1", "b2").agg(match).select("b1", "b2", "m.*")
+        # no filter: Spark would push it below and build the words twice
+        match = F.min(F.when(F.col("c") * 100 >= union * percent, F.struct("a1", "a2", (-F.col("c") / union).alias("minus")))).alias("m")
+        return common.groupBy("b1", "b2").agg(match).where("m IS NOT NULL").select("b1", "b2", "m.*")
 
     # nearly every line matches the earliest line that passed the filters; the others try all of theirs
     earliest = pairs.groupBy("b1", "b2").agg(F.min(F.struct("a1", "a2")).alias("a")).select("a.*", "b1", "b2")

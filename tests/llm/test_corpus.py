@@ -318,6 +318,27 @@ def test_line_dedup_in_a_large_group(spark):
         assert {(r.doc_id, r.line_no) for r in linededup.removed_lines(df, hot=hot).collect()} == _removed(rows)
 
 
+def test_line_dedup_reads_again_only_lines_of_pairs(spark):
+    """The filter before the join on lines loses none and lets few others pass; it grows with the lines, within bounds."""
+    assert [linededup._filter_words(k) for k in (0, 1 << 17, 10 ** 9)] == [1 << 14, 1 << 16, 1 << 18]
+    keys = F.xxhash64("id", F.lit(7))
+    seen = linededup._seen(spark.range(40_000), keys, linededup._filter_words(40_000))
+    passed = {r.id for r in spark.range(120_000).where(seen(keys)).collect()}
+    assert passed >= set(range(40_000)) and len(passed) < 50_000
+
+
+def test_line_dedup_of_any_separators(spark):
+    """Lines match by their words whatever white space lies between, empty strings never count."""
+    words = [f"w{i}" for i in range(9)]
+    rows = [(1, " ".join(words) + "\nx"), (2, "\t".join(reversed(words)) + "\r\n x  y"), (3, "  " + " \x0b ".join([*words, "z"]) + " \n\n"),
+            (4, " ".join([*words[:6], "p", "q", "r"])), (5, "long " * 3 + " ".join(f"v{i}" for i in range(150))),
+            (6, " ".join(f"v{i}" for i in range(140)) + "\tlong"), (7, " ".join(f"v{i}" for i in range(70)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.match_doc_id, r.match_line_no, r.n_tokens, round(r.jaccard, 6)) for r in linededup.removed_lines(df).collect()}
+    assert set(got) == _removed(rows)
+    assert got == {(2, 0): (1, 0, 9, 1.0), (3, 0): (1, 0, 10, 0.9), (6, 0): (5, 0, 141, round(141 / 151, 6))}
+
+
 # --- 1: decontamination ---------------------------------------------------------------
 
 def test_smith_waterman():
