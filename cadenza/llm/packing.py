@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import small_arrow, small_batches
-from cadenza.llm.tokens import END_ID, encoder
+from cadenza.llm.tokens import END_ID, MAX_PIECES, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -152,18 +152,20 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, low: int = 1024,
-         high: int = 4096) -> DataFrame:
+         high: int = 4096, max_pieces: int = MAX_PIECES, slice_bytes: int = 3_000_000) -> DataFrame:
     """Pieces of packed sequences: doc_id, start (ids of the document before
     the piece), length, doc_tokens, sequence_id, offset in the sequence, and
     the ids as little-endian unsigned 32-bit integers.  ``capacity`` must be a
-    power of two."""
+    power of two.  A task encodes about ``slice_bytes`` of text at a time and
+    remembers about ``max_pieces`` words: less takes less memory and more time,
+    the rows are the same."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def run(batches):
-        words = encoder(tokenizer_path)
+        words = encoder(tokenizer_path, max_pieces)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40, low, high)
-        for batch in small_batches(batches, 1, 3_000_000, 1024):
+        for batch in small_batches(batches, 1, slice_bytes, 1024):
             ids, at = words.encode(batch.column(1), END_ID)
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc, ids[at[i]:at[i + 1]])

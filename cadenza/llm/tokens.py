@@ -26,6 +26,7 @@ END_ID = 1
 # Punctuation that may follow a word's letters (no apostrophe: the splitter knows contractions)
 _TAIL = '.,;:!?%&*$#|"()<>[]{}/\\=+-_~^@`'
 _LETTERS = string.ascii_letters
+MAX_PIECES = 500_000
 _LINE = 200  # pieces encoded as one text
 
 
@@ -34,11 +35,11 @@ class WordEncoder:
     are remembered; when there are more, all are forgotten, and the common ones
     are soon back."""
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 500_000):
+    def __init__(self, tokenizer_path: str, max_pieces: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
-        self._max = max_pieces
+        self.max_pieces = max_pieces
         # piece 0 is empty
         self._index: dict[str, int] = {"": 0}
         self._pool, self._ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
@@ -86,7 +87,7 @@ class WordEncoder:
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers under which the pieces' ids are remembered."""
-        if len(self._index) > self._max:
+        if len(self._index) > self.max_pieces:
             self._index = {"": 0}
         index, n = self._index, len(self._index)
         found = np.fromiter(map(index.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -147,8 +148,10 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 _SHARED: dict[str, WordEncoder] = {}
 
 
-def encoder(tokenizer_path: str) -> WordEncoder:
-    """The Python worker's encoder: the tasks that it runs share what it remembers."""
+def encoder(tokenizer_path: str, max_pieces: int = MAX_PIECES) -> WordEncoder:
+    """The Python worker's encoder: the tasks that it runs share what it
+    remembers, which is about ``max_pieces`` pieces from now on."""
     if tokenizer_path not in _SHARED:
         _SHARED[tokenizer_path] = WordEncoder(tokenizer_path)
+    _SHARED[tokenizer_path].max_pieces = max_pieces
     return _SHARED[tokenizer_path]

@@ -118,6 +118,19 @@ def test_special_tokens_in_texts(spark):
     assert {r.doc_id: r.doc_tokens for r in packing.pack(df, registry.tokenizer_path()).collect()} == dict(enumerate(map(len, rows)))
 
 
+def test_less_remembered_same_pieces(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    path, batches = registry.tokenizer_path(), [pa.array(texts[i:i + 10]) for i in range(0, 80, 10)]
+    shared = tokens.encoder(path, 300)
+    for b in batches:
+        shared.encode(b)
+        assert len(shared._index) <= 300 + 10 * 60
+    assert tokens.encoder(path) is shared and shared.max_pieces == tokens.MAX_PIECES
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert packing.pack(df, path, max_pieces=300, slice_bytes=2000).collect() == packing.pack(df, path).collect()
+
+
 def test_best_fill_is_best():
     rng = random.Random(3)
     for _ in range(60):
