@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import normalize
+from cadenza.functions.columns import dot, normalize
 from cadenza.operators.vectors import whole_groups
 from cadenza.session import ensure_checkpoint_dir
 
@@ -39,6 +39,9 @@ CODE_BITS = 62  # signs taken per band; the first ``bits`` of them make its buck
 SAMPLE = 256  # rows whose true neighbours are found to choose a setting
 MAX_BUCKET = 4096
 _CELLS = 1_000_000  # similarities or signs held at once in a task
+FEW = 200_000  # rows of numbers that may be broadcast
+# candidates kept beyond k: rough similarities may put neighbours in another order
+SPARE = 2
 COPY_COST = 500.0  # the price of copying a row to a band, in scored pairs
 
 
@@ -114,8 +117,8 @@ def tune(unit: DataFrame, k: int, target: float = 0.95, max_bands: int = 128, sa
 
 
 def _codes(unit: DataFrame, setting: Bands, seed: int) -> DataFrame:
-    """(id, vec, band, code) of every row and band; a code's first sign is its
-    highest bit."""
+    """(id, rough, codes) of every row: the vector in single precision and its code
+    in each band, in order; a code's first sign is its highest bit."""
     size, weights = None, 1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64)
     bands = setting.bands
 
@@ -129,21 +132,29 @@ def _codes(unit: DataFrame, setting: Bands, seed: int) -> DataFrame:
                 if size is None:
                     size = _directions(x.shape[1], bands, seed)
                 signs = (x @ size.T >= 0).reshape(-1, bands, CODE_BITS)
-                code = (signs @ weights).ravel()
-                again = pa.array(np.repeat(np.arange(part.num_rows), bands))
+                code = pa.array((signs @ weights).ravel(), pa.int64())
+                at, wide = (np.arange(part.num_rows + 1, dtype=np.int32) * n for n in (bands, x.shape[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(again), part.column(1).take(again),
-                     pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows)), pa.array(code, pa.int64())],
-                    names=["id", "vec", "band", "code"])
+                    [part.column(0), pa.ListArray.from_arrays(wide, pa.array(x.astype(np.float32).ravel())),
+                     pa.ListArray.from_arrays(at, code)], names=["id", "rough", "codes"])
 
-    return unit.select("id", "vec").mapInArrow(run, "id long, vec array<double>, band int, code long")
+    return unit.select("id", "vec").mapInArrow(run, "id long, rough array<float>, codes array<long>")
+
+
+def _by_band(codes: DataFrame, *cols: str) -> DataFrame:
+    return codes.select(*cols, F.posexplode("codes").alias("band", "code"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def _depths(codes: DataFrame, setting: Bands, max_bucket: int) -> DataFrame | None:
     """(band, depth, key, deeper) of the buckets that are split, level by level;
     None if there is none.  A bucket of a level is named by its first ``depth`` signs."""
     found, depth = None, setting.bits
-    level = codes.select("band", "code")
+    level = _by_band(codes)
     while depth < CODE_BITS:
         key = F.shiftrightunsigned("code", CODE_BITS - depth)
         large = level.groupBy("band", key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket)
@@ -180,7 +191,7 @@ def _bucket_tops(k: int):
     """Over a partition's rows sorted by bucket: all buckets of a batch at a time."""
     def run(batches):
         for pdf in whole_groups(batches, "bucket"):
-            ids, x = pdf["id"].to_numpy(np.int64), np.vstack(pdf["vec"].to_numpy())
+            ids, x = pdf["id"].to_numpy(np.int64), np.vstack(pdf["rough"].to_numpy())
             bucket = pdf["bucket"].to_numpy()
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             stops = np.r_[starts[1:], len(bucket)]
@@ -216,31 +227,37 @@ def similar_lsh(vecs: DataFrame, k: int, *, id_col: str = "id", vec: str = "embe
 
     split = _depths(codes, setting, max_bucket)
     depth = F.lit(setting.bits)
-    placed = codes.withColumn("_depth", depth)
+    placed = _by_band(codes, "id", "rough").withColumn("_depth", depth)
     if split is not None:
         levels = [r[0] for r in split.select("depth").distinct().orderBy("depth").collect()]
         for at, following in zip(levels, [*levels[1:], CODE_BITS]):
             here = split.where(F.col("depth") == at).select("band", "key", F.lit(following).alias("_next"))
             key = F.shiftrightunsigned("code", CODE_BITS - at)
-            placed = placed.withColumn("key", key).join(here, ["band", "key"], "left").withColumn(
+            placed = placed.withColumn("key", key).join(_small(here), ["band", "key"], "left").withColumn(
                 "_depth", F.coalesce("_next", "_depth")).drop("key", "_next")
     shift = F.lit(CODE_BITS) - F.col("_depth")
-    named = placed.select("id", "vec", "band", "_depth", F.call_function("shiftrightunsigned", "code", shift).alias("key"))
+    named = placed.select("id", "rough", "band", "_depth", F.call_function("shiftrightunsigned", "code", shift).alias("key"))
     sizes = named.groupBy("band", "_depth", "key").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") > max_bucket) if split is not None else None
+        F.col("_n") > max_bucket).checkpoint(eager=True) if split is not None else None
     if sizes is not None:
-        named = named.join(sizes, ["band", "_depth", "key"], "left").withColumn("part", F.when(
+        named = named.join(_small(sizes), ["band", "_depth", "key"], "left").withColumn("part", F.when(
             F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / max_bucket))).otherwise(0)).drop("_n")
     else:
         named = named.withColumn("part", F.lit(0).cast("long"))
     # two buckets of one name would only be compared together
     bucket = F.xxhash64("band", "_depth", "key", "part")
-    pairs = (named.select(bucket.alias("bucket"), "id", "vec").repartition("bucket").sortWithinPartitions("bucket")
-             .mapInPandas(_bucket_tops(k), "left_id long, right_id long, similarity double"))
+    # single precision goes to the buckets: a copy of a vector in every band is most of what is shuffled
+    pairs = (named.select(bucket.alias("bucket"), "id", "rough").repartition("bucket").sortWithinPartitions("bucket")
+             .mapInPandas(_bucket_tops(k), "left_id long, right_id long, similarity float"))
     # one shuffle: the pairs that several bands found are folded where the lists are cut
     once = pairs.repartition("left_id").groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id")
-    near = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r").checkpoint(eager=True)
+    rough = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + SPARE).select("left_id", "right_id")
+    # what is left gets its exact similarity
+    a, b = (classes.select(F.col("id").alias(f"{side}_id"), F.col("vec").alias(side)) for side in ("left", "right"))
+    exact = rough.join(b, "right_id").join(a, "left_id").select(
+        "left_id", "right_id", dot("left", "right").alias("similarity")).groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity"))
+    near = exact.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r").checkpoint(eager=True)
 
     # back from classes to rows: the k + 1 smallest ids of a class stand for it
     members = classes.select(F.col("id").alias("right_id"), "ids")
